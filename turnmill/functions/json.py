@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
 
+OBJECT, ARRAY, STRING, NULL = "OBJECT", "ARRAY", "STRING", "VOID"
+
+# JSON values that count as not given.
+EMPTY_VALUES = ["null", '""', "0", "0.0", "false", "{}", "[]"]
+
 
 def variant_kind(v: Column) -> Column:
-    """object, array, string, null or scalar; NULL when there is no value."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "VOID", "null")
-        .when(kind.isNotNull(), "scalar")
-    )
+    """OBJECT, ARRAY, STRING, VOID (JSON null) or a scalar type; NULL when there is no value."""
+    return F.split_part(F.schema_of_variant(v), F.lit("<"), F.lit(1))
 
 
 def field(v: Column, name: str, kind: str = "variant") -> Column:
@@ -25,14 +23,19 @@ def field(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
-def present(v: Column) -> Column:
-    """The variant, or NULL when Python would call it false: null, '', 0, false, {} and []."""
-    return F.when(~F.to_json(v).isin("null", '""', "0", "0.0", "false", "{}", "[]"), v)
+def variant_text(v: Column) -> Column:
+    """A string as it is, anything else as compact JSON, NULL for JSON null."""
+    return F.try_variant_get(v, "$", "string")
+
+
+def given(v: Column) -> Column:
+    """The variant, or NULL when it holds nothing: null, '', 0, false, {} or []."""
+    return F.when(~F.to_json(v).isin(EMPTY_VALUES), v)
 
 
-def first_present(v: Column, names: list[str]) -> Column:
+def first_given(v: Column, names: list[str]) -> Column:
     """The first field among ``names`` that holds something."""
-    return F.coalesce(*[present(field(v, n)) for n in names])
+    return F.coalesce(*[given(field(v, n)) for n in names])
 
 
 def variant_items(v: Column) -> Column:
@@ -40,13 +43,5 @@ def variant_items(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
-def variant_text(v: Column) -> Column:
-    """A string as it is, anything else as compact JSON, NULL for JSON null."""
-    return (
-        F.when(variant_kind(v) == "string", F.try_variant_get(v, "$", "string"))
-        .when(variant_kind(v) != "null", F.to_json(v))
-    )
-
-
 def parse(c: Column | str) -> Column:
     return F.try_parse_json(col(c))

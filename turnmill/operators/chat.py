@@ -7,14 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import (
-    field,
-    first_present,
-    parse,
-    variant_items,
-    variant_kind,
-    variant_text,
-)
+from turnmill.functions.json import ARRAY, OBJECT, field, parse, variant_items, variant_kind
 from turnmill.functions.text import col, strip_ws
 
 # Keys under which a record may hold its messages, and keys of a message.
@@ -102,12 +95,20 @@ TRAINING_SETUPS = {
 SPLIT_SEED = 3407
 
 
+def lookup_only(names: dict[str, str], key: Column) -> Column:
+    """The name for a key, NULL when it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
+
+
+def lookup(names: dict[str, str], key: Column) -> Column:
+    """The name for a key, or the key itself when it has none."""
+    return F.coalesce(lookup_only(names, key), key)
+
+
 def message_of(item: Column) -> Column:
-    role = F.coalesce(variant_text(first_present(item, ROLE_KEYS)), F.lit(""))
-    for other, own in CHAT_ROLES.items():
-        role = F.when(role == other, own).otherwise(role)
-    content = F.coalesce(*[variant_text(field(item, k)) for k in CONTENT_KEYS], F.lit(""))
-    return F.struct(role.alias("role"), content.alias("content"))
+    role = F.coalesce(*[field(item, k, "string") for k in ROLE_KEYS], F.lit(""))
+    content = F.coalesce(*[field(item, k, "string") for k in CONTENT_KEYS], F.lit(""))
+    return F.struct(lookup(CHAT_ROLES, role).alias("role"), content.alias("content"))
 
 
 def coerce_conversation(records: DataFrame, record: str = "record") -> DataFrame:
@@ -117,9 +118,9 @@ def coerce_conversation(records: DataFrame, record: str = "record") -> DataFrame
     list with a non-object in it, is not valid and has NULL messages.
     """
     convo = F.col("_convo")
-    items = F.when(variant_kind(convo) == "object", F.array(convo)).when(
-        (variant_kind(convo) == "array")
-        & F.forall(variant_items(convo), lambda m: variant_kind(m) == "object"),
+    items = F.when(variant_kind(convo) == OBJECT, F.array(convo)).when(
+        (variant_kind(convo) == ARRAY)
+        & F.forall(variant_items(convo), lambda m: variant_kind(m) == OBJECT),
         variant_items(convo),
     )
     return (
@@ -134,15 +135,8 @@ def coerce_conversation(records: DataFrame, record: str = "record") -> DataFrame
 
 def map_roles(messages: Column | str, mapping: str) -> Column:
     """The messages with the role names of one mapping; other roles stay as they are."""
-
-    def renamed(role: Column) -> Column:
-        name = F.lit(None).cast("string")
-        for own, other in ROLE_MAPPINGS[mapping].items():
-            name = F.when(role == own, other).otherwise(name)
-        return F.coalesce(name, role)
-
     return F.transform(
-        col(messages), lambda m: F.struct(renamed(m["role"]).alias("role"), m["content"])
+        col(messages), lambda m: F.struct(lookup(ROLE_MAPPINGS[mapping], m["role"]).alias("role"), m["content"])
     )
 
 
@@ -169,11 +163,10 @@ def render_chat_template(messages: Column | str, template: str) -> Column:
         body = fold_system(body, t.fold_system)
 
     def rendered(m: Column) -> Column:
-        before, after = F.lit(""), F.lit("")
-        for role, (b, a) in t.around.items():
-            before = F.when(m["role"] == role, b).otherwise(before)
-            after = F.when(m["role"] == role, a).otherwise(after)
-        return F.concat(before, m["content"], after)
+        side = lambda n: F.coalesce(
+            lookup_only({r: texts[n] for r, texts in t.around.items()}, m["role"]), F.lit("")
+        )
+        return F.concat(side(0), m["content"], side(1))
 
     text = F.concat(F.lit(t.start), F.array_join(F.transform(body, rendered), ""))
     return F.coalesce(text, F.lit(""))

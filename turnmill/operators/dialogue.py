@@ -11,6 +11,7 @@ from turnmill.functions.text import col, strip_ws
 from turnmill.operators.ordering import (
     CHUNK_ROWS,
     add_earlier_chunks,
+    chunk_of,
     chunk_window,
     drop_edge_copies,
     spread_chunks,
@@ -50,6 +51,8 @@ SPEAKER_PREFIXES = {
     ],
 }
 
+SEGMENT_TURNS = 256
+
 DEFAULT_SYSTEM_PROMPT = (
     "Play the civilian in this police encounter. Answer with the civilian's next words only."
 )
@@ -101,9 +104,9 @@ def turn_pairs(turns: DataFrame, compat: bool = False, chunk_rows: int = CHUNK_R
 
 def prompt_line(role: Column, content: Column) -> Column:
     """'Officer: …' and the like; a role without a name gives NULL."""
-    name = None
-    for key, text in ROLE_NAMES.items():
-        name = F.when(role == key, text) if name is None else name.when(role == key, text)
+    name = F.try_element_at(
+        F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair]), role
+    )
     return F.concat(name, F.lit(": "), content)
 
 
@@ -164,18 +167,15 @@ def with_copies(marked: DataFrame, compat: bool) -> DataFrame:
     )
 
 
-def dialogue_history(
-    turns: DataFrame,
-    system_prompt: str = DEFAULT_SYSTEM_PROMPT,
-    compat: bool = False,
-    segment_turns: int = 256,
+def history_segments(
+    turns: DataFrame, compat: bool = False, segment_turns: int = SEGMENT_TURNS
 ) -> DataFrame:
-    """Whole history per evaluation point: source_file, turn_index, history (role, content).
+    """Turns cut into segments, each with the turns of its conversation that come before it.
 
-    The real replies are in the history, not generated ones. A conversation is cut into
-    segments, and each segment gets its own turns and those before it, so a long conversation
-    spreads over many tasks. The copied turns are a small part (about 2 / segment_turns) of the
-    histories that are returned. Use history_index where the prefix form is enough.
+    Read in turn order, the rows of one (source_file, segment) build up the history of every
+    point of that segment, so a long conversation spreads over many tasks. All copies together
+    are about 2 / segment_turns of the histories they stand for. asked marks the points that
+    belong to the segment itself.
     """
     marked = with_neighbours(
         role_turns(turns, compat),
@@ -184,52 +184,64 @@ def dialogue_history(
         ahead={"_next_role": "role"},
         behind={"_previous_role": "role"},
     ).withColumn("is_point", is_point())
-    own = with_copies(marked, compat).withColumn(
-        "_own", F.floor(F.col("turn_index") / segment_turns).cast("bigint")
-    ).drop("_next_role", "_previous_role")
-    segments = (
-        own.groupBy("source_file")
-        .agg(F.max("_own").alias("_last"))
+    own = with_copies(marked, compat).withColumn("_own", chunk_of("turn_index", segment_turns))
+    last = own.groupBy("source_file").agg(F.max("_own").alias("_last"))
+    spans = last.select(
+        F.col("source_file").alias("_file"),
+        "_last",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_at"),
+    )
+    same = own["source_file"].eqNullSafe(spans["_file"]) & (own["_own"] == spans["_at"])
+    return (
+        own.join(spans, same)
+        .withColumn("segment", F.explode(F.sequence("_own", "_last")))
         .select(
-            F.col("source_file").alias("_file"),
-            "_last",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_at"),
+            "source_file",
+            "segment",
+            "turn_index",
+            "role",
+            "content",
+            "copies",
+            (F.col("is_point") & (F.col("_own") == F.col("segment"))).alias("asked"),
         )
     )
-    copied = own.join(
-        segments, own.source_file.eqNullSafe(segments["_file"]) & (own["_own"] == segments["_at"])
-    ).withColumn("_segment", F.explode(F.sequence("_own", "_last")))
-    gathered = copied.groupBy("source_file", "_segment").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "turn_index",
-                    (F.col("is_point") & (F.col("_own") == F.col("_segment"))).alias("point"),
-                    "copies",
-                    F.struct("role", "content").alias("message"),
-                )
-            )
-        ).alias("_turns")
+
+
+def dialogue_history(
+    turns: DataFrame,
+    system_prompt: str = DEFAULT_SYSTEM_PROMPT,
+    compat: bool = False,
+    segment_turns: int = SEGMENT_TURNS,
+) -> DataFrame:
+    """Whole history per evaluation point: source_file, turn_index, history (role, content).
+
+    The real replies are in the history, not generated ones. A row is as long as its
+    conversation up to the point; use history_index where the prefix form is enough.
+    """
+    turn = F.struct(
+        "turn_index", "asked", "copies", F.struct("role", "content").alias("message")
     )
-    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))
-    points = gathered.filter(F.exists("_turns", lambda t: t["point"])).select(
-        "source_file",
-        "_turns",
-        F.explode(
-            F.filter(
-                F.transform("_turns", lambda t, i: F.struct(
-                    t["turn_index"].alias("turn_index"), t["point"].alias("point"), i.alias("i"))),
-                lambda t: t["point"],
-            )
-        ).alias("_p"),
+    gathered = (
+        history_segments(turns, compat, segment_turns)
+        .groupBy("source_file", "segment")
+        .agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    )
+    places = F.filter(
+        F.transform(
+            "_turns",
+            lambda t, i: F.struct(
+                t["turn_index"].alias("turn_index"), t["asked"].alias("asked"), i.alias("i")
+            ),
+        ),
+        lambda t: t["asked"],
     )
+    points = gathered.select("source_file", "_turns", F.explode(places).alias("_p"))
     upto = F.slice("_turns", F.lit(1), F.col("_p.i") + 1)
     if compat:
-        messages = F.flatten(
-            F.transform(upto, lambda t: F.array_repeat(t["message"], t["copies"]))
-        )
+        messages = F.flatten(F.transform(upto, lambda t: F.array_repeat(t["message"], t["copies"])))
     else:
         messages = F.transform(upto, lambda t: t["message"])
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))
     return points.select(
         "source_file",
         F.col("_p.turn_index").alias("turn_index"),

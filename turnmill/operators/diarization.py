@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import parse, variant_kind
+from turnmill.functions.json import OBJECT, parse, variant_kind
 from turnmill.functions.text import col, non_empty
 from turnmill.sources.schemas import SEGMENTS, SPEAKERS, TRANSCRIPTION
 
@@ -39,7 +39,7 @@ def read_response(df: DataFrame, response: str = "response") -> DataFrame:
     """
     parsed = F.from_json(F.col(response), TRANSCRIPTION)
     lists = {"task1_transcripts": SEGMENTS, "task2_speakers": SPEAKERS}
-    ok = F.coalesce(variant_kind(parse(response)) == "object", F.lit(False))
+    ok = F.coalesce(variant_kind(parse(response)) == OBJECT, F.lit(False))
     return df.withColumn("_t", F.when(ok, parsed)).select(
         *df.columns,
         ok.alias("parsed"),

@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.operators.dialogue import build_transcript
+from turnmill.operators.dialogue import (
+    DEFAULT_SYSTEM_PROMPT,
+    SEGMENT_TURNS,
+    build_transcript,
+    history_segments,
+)
 from turnmill.operators.models import ModelSpec, case_model_grid
 from turnmill.operators.scenarios import render_system_prompt
 from turnmill.sources.schemas import GENERATED_TURNS
@@ -141,38 +146,52 @@ def _play_case(generator: ReplyGenerator, row: dict, sampling: Sampling) -> list
 
 
 def predict_replies(
-    histories: DataFrame,
+    turns: DataFrame,
     specs: list[ModelSpec],
     factory: Factory = builtin_factory,
     sampling: Sampling = Sampling(),
+    system_prompt: str = DEFAULT_SYSTEM_PROMPT,
+    compat: bool = False,
+    segment_turns: int = SEGMENT_TURNS,
 ) -> DataFrame:
-    """Reply of each model at each evaluation point, with predicted_response and error.
+    """Reply of each model at each evaluation point of the turns.
 
-    histories: any columns and history. A failed call leaves NULL, it is not scored as text.
+    The rows of a (model, file, segment) pass through one task in turn order. They build up one
+    history, and the model is asked where a point comes, so no history is stored or shipped
+    per point. A failed call leaves predicted_response NULL and its message in error; it is not
+    scored as text. Write the result before using it twice.
     """
-    grid = case_model_grid(histories, specs)
-    kept = [f for f in grid.schema if f.name != "history"]
-    out = T.StructType([*kept, *T.StructType.fromDDL("predicted_response string, error string")])
+    keys = ["model_name", "source_file", "segment"]
+    grid = case_model_grid(history_segments(turns, compat, segment_turns), specs)
+    ordered = grid.repartition(*keys).sortWithinPartitions(*keys, "turn_index")
+    kept = ["source_file", "turn_index", "model_name", "model_family", "model_type"]
+    out = T.StructType(
+        [
+            *[f for f in grid.select(*kept).schema],
+            *T.StructType.fromDDL("officer_input string, predicted_response string, error string"),
+        ]
+    )
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = _Models(factory)
+        models, group, history = _Models(factory), None, []
         for batch in batches:
-            replies, errors = [], []
+            rows = []
             for row in batch.to_dict("records"):
-                reply, error = None, None
-                try:
-                    history = [dict(m) for m in row["history"]]
-                    reply = models.get(row).generate(history, **vars(sampling))
-                except Exception as exc:
-                    error = str(exc)
-                replies.append(reply)
-                errors.append(error)
-            yield batch.drop(columns=["history"]).assign(
-                predicted_response=replies, error=errors
-            )[out.fieldNames()]
+                if group != (here := tuple(row[k] for k in keys)):
+                    group, history = here, [{"role": "system", "content": system_prompt}]
+                message = {"role": row["role"], "content": row["content"]}
+                history.extend([message] * row["copies"])
+                if row["asked"]:
+                    reply, error = None, None
+                    try:
+                        reply = models.get(row).generate(history, **vars(sampling))
+                    except Exception as exc:
+                        error = str(exc)
+                    rows.append((*[row[k] for k in kept], row["content"], reply, error))
+            yield pd.DataFrame(rows, columns=out.fieldNames())
         models.close()
 
-    return grid.sortWithinPartitions("model_name").mapInPandas(predict, out)
+    return ordered.mapInPandas(predict, out)
 
 
 def generation_lines(conversations: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.functions.json import variant_kind
+from turnmill.functions.json import OBJECT, variant_kind
 from turnmill.functions.text import col, strip_ws
 from turnmill.operators.generation import call_with_retries
 
@@ -95,7 +95,7 @@ def verdict_error(raw: Column, parsed: Column) -> Column:
     """Why an answer cannot be used; NULL when it is a JSON object."""
     return (
         F.when(raw.isNull(), "Empty judge response.")
-        .when(variant_kind(parsed) == "object", None)
+        .when(variant_kind(parsed) == OBJECT, None)
         .when(F.instr(unfenced(raw), "{") == 0, "Could not find JSON object in response.")
         .otherwise("Broken JSON in response.")
     )

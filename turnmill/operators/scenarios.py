@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.functions.json import first_present, variant_items, variant_kind, variant_text
+from turnmill.functions.json import (
+    ARRAY,
+    OBJECT,
+    first_given,
+    variant_items,
+    variant_kind,
+    variant_text,
+)
 from turnmill.functions.text import col, strip_ws
 
 # Accepted names of each field, the first one that holds something counts.
@@ -24,13 +31,13 @@ ROLEPLAY_PROMPT = (
 def case_id(case: Column, pos: Column) -> Column:
     """Own id as text, else case_0001 … by place."""
     return F.coalesce(
-        variant_text(first_present(case, ID_NAMES)), F.format_string("case_%04d", pos + 1)
+        variant_text(first_given(case, ID_NAMES)), F.format_string("case_%04d", pos + 1)
     )
 
 
 def field_text(case: Column, names: list[str]) -> Column:
     """First filled field as trimmed text; objects and lists as compact JSON; '' when none."""
-    return F.coalesce(strip_ws(variant_text(first_present(case, names))), F.lit(""))
+    return F.coalesce(strip_ws(variant_text(first_given(case, names))), F.lit(""))
 
 
 def turn_of(item: Column) -> Column:
@@ -38,7 +45,7 @@ def turn_of(item: Column) -> Column:
     return strip_ws(
         F.coalesce(
             F.when(
-                variant_kind(item) == "object", variant_text(first_present(item, TURN_TEXT_NAMES))
+                variant_kind(item) == OBJECT, variant_text(first_given(item, TURN_TEXT_NAMES))
             ).otherwise(variant_text(item)),
             F.lit(""),
         )
@@ -53,12 +60,12 @@ def police_turns(dialogue: Column) -> Column:
 def normalize_cases(cases: DataFrame) -> DataFrame:
     """(pos, case) to case_id, scenario_context, character_profile, police_turns, error."""
     dialogue = F.col("_dialogue")
-    shaped = cases.withColumn("_dialogue", first_present(F.col("case"), DIALOGUE_NAMES)).select(
+    shaped = cases.withColumn("_dialogue", first_given(F.col("case"), DIALOGUE_NAMES)).select(
         case_id(F.col("case"), F.col("pos")).alias("case_id"),
         field_text(F.col("case"), CONTEXT_NAMES).alias("scenario_context"),
         field_text(F.col("case"), PROFILE_NAMES).alias("character_profile"),
-        F.when(variant_kind(dialogue) == "array", police_turns(dialogue)).alias("_turns"),
-        (dialogue.isNotNull() & (variant_kind(dialogue) != "array")).alias("_no_list"),
+        F.when(variant_kind(dialogue) == ARRAY, police_turns(dialogue)).alias("_turns"),
+        (dialogue.isNotNull() & (variant_kind(dialogue) != ARRAY)).alias("_no_list"),
     )
     return shaped.select(
         "case_id",

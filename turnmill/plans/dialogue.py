@@ -77,9 +77,9 @@ def _prompts(line: str) -> str:
     string_agg({line}, chr(10)) OVER (PARTITION BY source_file ORDER BY turn_index) AS so_far,
     count(*) OVER (PARTITION BY source_file ORDER BY turn_index) AS n
   FROM near)
-SELECT source_file, turn_index,
-  concat('System: Stay in role.', chr(10), so_far, chr(10), 'Civilian:') AS prompt
-FROM told WHERE role = 'user' AND next_role = 'assistant'"""
+SELECT source_file, turn_index, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5
+FROM (SELECT *, concat('System: Stay in role.', chr(10), so_far, chr(10), 'Civilian:') AS prompt
+  FROM told) WHERE role = 'user' AND next_role = 'assistant'"""
 
 
 LINE = "concat(CASE role WHEN 'user' THEN 'Officer: ' ELSE 'Civilian: ' END, content)"
@@ -87,8 +87,13 @@ LINE = "concat(CASE role WHEN 'user' THEN 'Officer: ' ELSE 'Civilian: ' END, con
 
 def _prompted(spark, sf, compat):
     histories = D.dialogue_history(A.turns(spark, sf), "Stay in role.", compat)
-    return histories.select(
-        "source_file", "turn_index", D.render_plain_prompt("history").alias("prompt")
+    prompts = histories.withColumn("prompt", D.render_plain_prompt("history"))
+    # The whole prompts are rendered; a digest keeps the comparison small.
+    return prompts.select(
+        "source_file",
+        "turn_index",
+        F.length("prompt").cast("bigint").alias("prompt_chars"),
+        F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"),
     )
 
 

@@ -66,8 +66,7 @@ def token_usage(spark, sf):
 
 LABELLED = """labelled AS (
   SELECT concat(conv_id, '_', turn // 64) AS video_id, CAST(turn % 64 AS INT) AS turn_index,
-    concat(lpad(CAST(turn * 7 // 60 AS VARCHAR), 2, '0'), ':',
-           lpad(CAST(turn * 7 % 60 AS VARCHAR), 2, '0')) AS start_time,
+    format('{:02d}:{:02d}', turn * 7 // 60, turn * 7 % 60) AS start_time,
     CASE WHEN role NOT IN ('user', 'assistant') THEN '[Voice 3]'
       WHEN conv_id % 4 = 0 THEN concat('Person ', CASE role WHEN 'user' THEN 1 ELSE 2 END)
       WHEN conv_id % 4 = 1 THEN concat('[Rank ', CASE role WHEN 'user' THEN 1 ELSE 2 END, ']')

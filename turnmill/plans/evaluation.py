@@ -9,14 +9,13 @@ from turnmill.operators import generation as G
 from turnmill.operators import judging as J
 from turnmill.operators import scenarios as C
 from turnmill.operators import summaries as M
-from turnmill.operators.dialogue import dialogue_history
 from turnmill.operators.models import case_model_grid, default_specs, select_models, skip_unconfigured
 from turnmill.plans import adapters as A
-from turnmill.plans.dialogue import SCORED, TURNS, _rounded, scored
+from turnmill.plans.dialogue import SCORED, TURNS, WS, _rounded, scored
 from turnmill.plans.registry import query
 
 # conv_id decides the spelling of a case: see adapters.scenario_cases.
-CASES = """users AS (
+CASES = f"""users AS (
   SELECT conv_id, turn // 64 AS block, turn, text FROM conversations WHERE role = 'user'),
 heads AS (SELECT DISTINCT conv_id, block FROM users),
 cases AS (
@@ -27,12 +26,12 @@ cases AS (
         CAST(greatest(4, length(CAST(conv_id + 1 AS VARCHAR))) AS INT), '0')) END AS case_id,
     CASE conv_id % 5 WHEN 0 THEN 'a street' WHEN 1 THEN 'a shop' WHEN 2 THEN 'a park'
       ELSE '' END AS scenario_context,
-    CASE conv_id % 5 WHEN 0 THEN '{"age":30,"mood":"calm"}' WHEN 1 THEN 'angry'
+    CASE conv_id % 5 WHEN 0 THEN '{{"age":30,"mood":"calm"}}' WHEN 1 THEN 'angry'
       WHEN 2 THEN 'tired' WHEN 3 THEN '["a","b"]' ELSE '' END AS character_profile,
     CASE WHEN conv_id % 11 = 10 THEN 'police_dialogue must be a list.' END AS error
   FROM heads),
 said AS (
-  SELECT conv_id, block, CAST(row_number() OVER w - 1 AS INT) AS turn_index, trim(text) AS police
+  SELECT conv_id, block, CAST(row_number() OVER w - 1 AS INT) AS turn_index, trim(text, {WS}) AS police
   FROM users WHERE conv_id % 11 <> 10 WINDOW w AS (PARTITION BY conv_id, block ORDER BY turn))"""
 
 
@@ -149,7 +148,7 @@ SELECT source_file, turn_index, model_name,
 FROM told CROSS JOIN models WHERE role = 'user' AND next_role = 'assistant'""",
 )
 def predict_replies(spark, sf):
-    replies = G.predict_replies(dialogue_history(A.turns(spark, sf)), A.BASELINES)
+    replies = G.predict_replies(A.turns(spark, sf), A.BASELINES)
     return replies.select("source_file", "turn_index", "model_name", "predicted_response", "error")
 
 
@@ -242,7 +241,7 @@ def flatten_judge(spark, sf):
 @query(
     "parse_judge_json",
     f"""WITH {VERDICTS} SELECT CAST(i AS VARCHAR) AS case_id, model_name,
-  CASE WHEN i % 12 NOT IN (3, 9) THEN 'object' END AS kind,
+  CASE WHEN i % 12 NOT IN (3, 9) THEN 'OBJECT' END AS kind,
   CASE WHEN i % 12 NOT IN (3, 9) THEN CAST(score AS VARCHAR) END AS score
 FROM answers""",
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnmill.operators import chat as C
 from turnmill.operators import training as T
 from turnmill.plans import adapters as A
+from turnmill.plans.dialogue import WS
 from turnmill.plans.registry import query, table
 
 # conv_id % 8: 5 holds only the first message, 6 and 7 are not valid.
@@ -43,18 +44,12 @@ FROM messages""",
 def map_roles(spark, sf):
     valid = C.coerce_conversation(A.chat_records(spark, sf)).filter("valid")
     names = list(C.ROLE_MAPPINGS)
-    zipped = valid.select(
-        "record_id",
-        "messages",
-        *[C.map_roles("messages", n).alias(n) for n in names],
+    mapped = F.arrays_zip(
+        *[F.transform(C.map_roles("messages", n), lambda m: m["role"]).alias(n) for n in names],
+        F.transform("messages", lambda m: m["content"]).alias("content"),
     )
-    return zipped.select(
-        "record_id", "messages", *names, F.posexplode("messages").alias("pos", "message")
-    ).select(
-        "record_id",
-        "pos",
-        *[F.col(n)[F.col("pos")]["role"].alias(n) for n in names],
-        F.col("message.content").alias("content"),
+    return valid.select("record_id", F.posexplode(mapped).alias("pos", "_m")).select(
+        "record_id", "pos", "_m.*"
     )
 
 
@@ -84,18 +79,19 @@ def _lit(text: str) -> str:
 def _rendered(name: str) -> str:
     ub, ua, ab, aa, sb, sa, start = map(_lit, _FORMS[name])
     folded = name in ("gemma", "mistral")
+    content = f"trim(content, {WS})" if name in ("gemma", "llama-3") else "content"
     # A folded system text opens the first user message, or stands alone as one.
     user_before = (
         f"CASE WHEN led THEN '' ELSE {ub} END" if folded else ub
     )
     system = (
-        f"concat({ub}, content, CASE WHEN n = 1 THEN {ua} ELSE {sa} END)"
+        f"concat({ub}, {content}, CASE WHEN n = 1 THEN {ua} ELSE {sa} END)"
         if folded
-        else f"concat({sb}, content, {sa})"
+        else f"concat({sb}, {content}, {sa})"
     )
     return f"""SELECT record_id, '{name}' AS template, concat({start}, string_agg(CASE role
-    WHEN 'user' THEN concat({user_before}, content, {ua})
-    WHEN 'assistant' THEN concat({ab}, content, {aa}) ELSE {system} END, '' ORDER BY pos)) AS text
+    WHEN 'user' THEN concat({user_before}, {content}, {ua})
+    WHEN 'assistant' THEN concat({ab}, {content}, {aa}) ELSE {system} END, '' ORDER BY pos)) AS text
 FROM told GROUP BY record_id"""
 
 

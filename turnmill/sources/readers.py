@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnmill.functions.json import field, parse, variant_items, variant_kind, variant_text
+from turnmill.functions.json import ARRAY, OBJECT, field, parse, variant_items, variant_kind, variant_text
 from turnmill.functions.text import na_to_null
 from turnmill.operators.diarization import IGNORED, PROCESSED
 from turnmill.sources.schemas import (
@@ -161,9 +161,9 @@ def scenario_items(v: Column) -> Column:
     """The cases under any accepted root: a list, {"cases": […]} or a single case."""
     listed = field(v, "cases")
     return (
-        F.when(variant_kind(v) == "array", variant_items(v))
-        .when((variant_kind(v) == "object") & listed.isNotNull(), variant_items(listed))
-        .when(variant_kind(v) == "object", F.array(v))
+        F.when(variant_kind(v) == ARRAY, variant_items(v))
+        .when((variant_kind(v) == OBJECT) & listed.isNotNull(), variant_items(listed))
+        .when(variant_kind(v) == OBJECT, F.array(v))
         .otherwise(
             F.raise_error(F.lit("Scenario JSON must be a list of cases or an object.")).cast(
                 "array<variant>"
