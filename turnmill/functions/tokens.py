@@ -1,84 +1,89 @@
-"""Word splitting rules and per-pair text overlap scores.
+"""Word splitting rules, and per-pair text overlap scores.
 
-The scores need only the two texts of one row, so they run as one Arrow batch stage
-without a shuffle. Each helper is linear in the text, but for the longest common
-subsequence, which works on whole machine words of a bit set at a time.
+The words are found by column expressions. The scores need only the words of one row, so
+they run as one Arrow batch stage next to them, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The public "13a" rules that put blanks around punctuation.
+from turnmill.functions.text import col
+
+# The public "13a" rules that put blanks around punctuation. The rules that look
+# at one mark by itself are one pattern; the blank, which the public rule also widens, is left
+# out of it: words end there anyway.
 BLEU_SPLITS = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
-    (r"([^0-9])([\.,])", r"\1 \2 "),
-    (r"([\.,])([^0-9])", r" \1 \2"),
-    (r"([0-9])(-)", r"\1 \2 "),
+    (r"[{-~\[-`!-&(-+:-@/]|(?<=[0-9])-", " $0 "),
+    (r"([^0-9])([.,])", "$1 $2 "),
+    (r"([.,])([^0-9])", " $1 $2"),
 ]
+BLEU_ENTITIES = {"&quot;": '"', "&amp;": "&", "&lt;": "<", "&gt;": ">"}
 
 # Punctuation, sentence ends and English contractions stand as words of their own.
 METEOR_SPLITS = [
-    (r"([\[\](){}<>\"?!,;:@#$%&*]|\.\.\.)", r" \1 "),
-    (r"\.(\s|$)", r" . \1"),
-    (r"(n't|'ll|'re|'ve|'s|'m|'d)(\s|$)", r" \1 \2"),
+    (r"[\[\](){}<>\"?!,;:@#$%&*]|\.\.\.", " $0 "),
+    (r"([^.])\.(\s|\z)", "$1 . $2"),
+    (r"(n't|'ll|'re|'ve|'s|'m|'d)(\s|\z)", " $1 $2"),
 ]
 
 
-def rouge_tokens(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+def _spaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return text
+
+
+def rouge_words(text: Column | str) -> Column:
+    """Lower-case runs of a-z and 0-9, parted by blanks."""
+    return F.regexp_replace(F.lower(col(text)), F.lit("[^a-z0-9]+"), F.lit(" "))
 
 
-def bleu_tokens(text: str) -> list[str]:
-    text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
-    for name, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        text = text.replace(name, char)
-    text = f" {text} "
-    for pattern, spaced in BLEU_SPLITS:
-        text = re.sub(pattern, spaced, text)
-    return text.split()
+def bleu_words(text: Column | str) -> Column:
+    """Words in their own case, parted by white space."""
+    plain = col(text)
+    for old, new in {"<skipped>": "", "-\n": "", "\n": " ", **BLEU_ENTITIES}.items():
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    return _spaced(F.concat(F.lit(" "), plain, F.lit(" ")), BLEU_SPLITS)
 
 
-def meteor_tokens(text: str) -> list[str]:
-    text = text.lower()
-    for pattern, spaced in METEOR_SPLITS:
-        text = re.sub(pattern, spaced, text)
-    return text.split()
+def meteor_words(text: Column | str) -> Column:
+    """Lower-case words with punctuation apart, parted by white space."""
+    return _spaced(F.lower(col(text)), METEOR_SPLITS)
 
 
-def rouge_l(prediction: str, reference: str) -> float:
+def rouge_l(pred: list[str], ref: list[str]) -> float:
     """F1 of the longest common subsequence, found with one bit per reference word."""
-    pred, ref = rouge_tokens(prediction), rouge_tokens(reference)
     if not pred or not ref:
         return 0.0
     places: dict[str, int] = defaultdict(int)
     for i, word in enumerate(ref):
         places[word] |= 1 << i
     full = (1 << len(ref)) - 1
-    open_bits = full
+    unmatched = full
     for word in pred:
-        hit = open_bits & places.get(word, 0)
-        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
-    common = len(ref) - open_bits.bit_count()
+        if hit := unmatched & places.get(word, 0):
+            unmatched = ((unmatched + hit) | (unmatched - hit)) & full
+    common = len(ref) - unmatched.bit_count()
     return 2.0 * common / (len(pred) + len(ref))
 
 
-def bleu_4(prediction: str, reference: str, order: int = 4) -> float:
+def bleu_4(pred: list[str], ref: list[str], order: int = 4) -> float:
     """Smoothed sentence BLEU: (m + 1) / (p + 1) per order, times the brevity penalty."""
-    pred, ref = bleu_tokens(prediction), bleu_tokens(reference)
     if not pred or not ref:
         return 0.0
-    log_sum = 0.0
+    log_sum, matched = 0.0, 1
     for n in range(1, order + 1):
-        have = Counter(zip(*[pred[i:] for i in range(n)]))
-        want = Counter(zip(*[ref[i:] for i in range(n)]))
-        matched = sum((have & want).values())
+        # Texts that share no run of n words share no longer one either.
+        if matched:
+            have = Counter(zip(*[pred[i:] for i in range(n)]))
+            want = Counter(zip(*[ref[i:] for i in range(n)]))
+            matched = sum(min(have[g], want[g]) for g in have.keys() & want.keys())
         possible = max(len(pred) - n + 1, 0)
         log_sum += math.log((matched + 1.0) / (possible + 1.0))
     ratio = len(pred) / len(ref)
@@ -86,45 +91,44 @@ def bleu_4(prediction: str, reference: str, order: int = 4) -> float:
     return math.exp(log_sum / order) * brevity
 
 
-def meteor(prediction: str, reference: str) -> float:
+def meteor(pred: list[str], ref: list[str]) -> float:
     """Exact-word METEOR: the last free copies of a word pair up, chunks are penalised."""
-    pred, ref = meteor_tokens(prediction), meteor_tokens(reference)
     free: dict[str, list[int]] = defaultdict(list)
     for j, word in enumerate(ref):
         free[word].append(j)
-    pairs = [(i, free[w].pop()) for i, w in reversed(list(enumerate(pred))) if free.get(w)]
+    pairs = [
+        (i, free[pred[i]].pop()) for i in range(len(pred) - 1, -1, -1) if free.get(pred[i])
+    ]
     if not pairs:
         return 0.0
-    pairs.reverse()
-    joined = sum(1 for a, b in zip(pairs, pairs[1:]) if b[0] == a[0] + 1 and b[1] == a[1] + 1)
+    joined = sum(a[0] == b[0] + 1 and a[1] == b[1] + 1 for a, b in zip(pairs, pairs[1:]))
     precision, recall = len(pairs) / len(pred), len(pairs) / len(ref)
     f_mean = precision * recall / (0.9 * precision + 0.1 * recall)
     penalty = 0.5 * ((len(pairs) - joined) / len(pairs)) ** 3
     return (1.0 - penalty) * f_mean
 
 
-def _batch_score(score):
-    def run(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-        return pd.Series(
-            [score(p or "", r or "") for p, r in zip(prediction, reference)], dtype="float64"
-        )
-
-    return run
-
+METRICS = {
+    "rouge_l": (rouge_words, rouge_l),
+    "bleu_4": (bleu_words, bleu_4),
+    "meteor": (meteor_words, meteor),
+}
 
-def _batch_overlap(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    rows = [
-        (rouge_l(p or "", r or ""), bleu_4(p or "", r or ""), meteor(p or "", r or ""))
-        for p, r in zip(prediction, reference)
-    ]
-    return pd.DataFrame(rows, columns=["rouge_l", "bleu_4", "meteor"], dtype="float64")
 
+def overlap(prediction: Column, reference: Column, metrics: list[str]) -> Column:
+    """The named scores of two texts as a struct, from one pass over the Arrow batches."""
+    scores = [METRICS[m][1] for m in metrics]
 
-def score_udf(score) -> Column:
-    """Arrow function of (prediction, reference) for one of the scores above."""
-    return F.pandas_udf(_batch_score(score), "double")
-
+    def run(words: pd.DataFrame) -> pd.DataFrame:
+        columns = [[(x or "").split() for x in words[c]] for c in words.columns]
+        return pd.DataFrame(
+            {
+                name: [s(p, r) for p, r in zip(columns[2 * i], columns[2 * i + 1])]
+                for i, (name, s) in enumerate(zip(metrics, scores))
+            },
+            dtype="float64",
+        )
 
-def overlap_udf() -> Column:
-    """Arrow function that returns all three scores from one pass over the batch."""
-    return F.pandas_udf(_batch_overlap, "rouge_l double, bleu_4 double, meteor double")
+    words = [METRICS[m][0](side) for m in metrics for side in (prediction, reference)]
+    udf = F.pandas_udf(run, ", ".join(f"{m} double" for m in metrics))
+    return udf(F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)]))

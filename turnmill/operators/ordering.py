@@ -104,10 +104,9 @@ def group_offsets(
     """
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.select(
-        key,
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(name),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_rows") - 1) / span))).alias(
-            "_chunk"
-        ),
+    # The running sum comes before the lines are spread out, or it would count each line.
+    started = counts.select(key, "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(name))
+    last = F.floor((F.col("_rows") - 1) / span)
+    return started.select(
+        key, name, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_chunk")
     )

@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import col
-from turnmill.functions.tokens import bleu_4, meteor, overlap_udf, rouge_l, score_udf
+from turnmill.functions.tokens import overlap
 from turnmill.operators.dialogue import clean_text
 
 TEXT_METRICS = ["rouge_l", "bleu_4", "meteor"]
 
 
 def score_rouge_l(prediction: Column | str, reference: Column | str) -> Column:
-    return score_udf(rouge_l)(col(prediction), col(reference))
+    return overlap(col(prediction), col(reference), ["rouge_l"])["rouge_l"]
 
 
 def score_bleu4(prediction: Column | str, reference: Column | str) -> Column:
-    return score_udf(bleu_4)(col(prediction), col(reference))
+    return overlap(col(prediction), col(reference), ["bleu_4"])["bleu_4"]
 
 
 def score_meteor(prediction: Column | str, reference: Column | str) -> Column:
-    return score_udf(meteor)(col(prediction), col(reference))
+    return overlap(col(prediction), col(reference), ["meteor"])["meteor"]
 
 
 def score_predictions(predictions: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def score_predictions(predictions: DataFrame) -> DataFrame:
     All three come from one Arrow stage, next to the row's own texts: no key, no join.
     """
     failed = F.col("error").isNotNull() if "error" in predictions.columns else F.lit(False)
-    scores = overlap_udf()(clean_text("predicted_response"), clean_text("reference_response"))
+    scores = overlap(
+        clean_text("predicted_response"), clean_text("reference_response"), TEXT_METRICS
+    )
     scored = predictions.withColumn("_s", scores)
     return scored.withColumns(
         {m: F.when(~failed, F.col("_s")[m]) for m in TEXT_METRICS}

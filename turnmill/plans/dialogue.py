@@ -253,7 +253,7 @@ def _bleu_words(c: str) -> str:
 def _meteor_words(c: str) -> str:
     rules = [
         (r"([\[\](){}<>\"?!,;:@#$%&*]|\.\.\.)", r" \1 "),
-        (r"\.(\s|$)", r" . \1"),
+        (r"([^.])\.(\s|$)", r"\1 . \2"),
         (r"(n't|'ll|'re|'ve|'s|'m|'d)(\s|$)", r" \1 \2"),
     ]
     return _words(_spaced(f"lower({c})", rules))
