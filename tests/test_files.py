@@ -20,12 +20,17 @@ def test_turn_files(spark, tmp_path):
     put(tmp_path, "short.csv", "start_time,speaker_label,transcript\n0:1,P,x\n")
     put(tmp_path, "other.csv", "start_time,text\n0:1,x\n0:2,y\n")
     put(tmp_path, "empty.csv", "")
+    put(tmp_path, "c d%20+é[1].csv", "start_time,speaker_label,transcript\n0:1,P,x\n0:2,Q,y\n")
     put(tmp_path, "notes.txt", "speaker_label,transcript\na,b\nc,d\n")
     got = R.read_turns(spark, path).orderBy("source_file", "turn_index").collect()
     assert [(r.source_file, r.turn_index, r.speaker_label, r.transcript) for r in got] == [
         ("a.csv", 0, "P", "x"), ("a.csv", 1, None, "y"),
         ("b.csv", 0, "Officer", 'a, "q"\nline'), ("b.csv", 1, "Civ", "None"),
+        ("c d%20+é[1].csv", 0, "P", "x"), ("c d%20+é[1].csv", 1, "Q", "y"),
     ]
+    same = put(tmp_path / "same", "a.csv", "start_time,speaker_label,transcript\n0:1,P,x\n0:2,Q,y\n")
+    known = R.read_turns(spark, same, ["start_time", "speaker_label", "transcript"])
+    assert known.count() == 2 and known.filter("turn_index = 1").first().transcript == "y"
 
 
 def test_channel_files(spark, tmp_path):

@@ -112,10 +112,10 @@ def metric_vs_judge(metrics: DataFrame, judged: DataFrame) -> DataFrame:
 
 def corpus_stats(turns: DataFrame, tokens_per_word: float = 4.7 / 3.6) -> DataFrame:
     """One row: files, turns, words and an estimate of tokens."""
-    words = F.size(F.filter(F.split("transcript", r"\s+"), lambda w: w != ""))
+    text = F.btrim(F.coalesce("transcript", F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    words = F.when(text == "", 0).otherwise(F.size(F.split(text, r"\s+")))
     per_file = turns.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("transcript").isNull(), 0).otherwise(words)).alias("w"),
+        F.count(F.lit(1)).alias("n"), F.sum(words).alias("w")
     )
     return per_file.agg(
         F.count("source_file").alias("n_files"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,50 +24,66 @@ from turnmill.sources.schemas import (
 CSV_TEXT = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
-def file_name() -> Column:
-    return F.col("_metadata.file_name")
+def file_part(name: str) -> Column:
+    """A field of the scan's file metadata as plain text; it comes percent-encoded."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def header_groups(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, list[str]]:
+def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Files of a folder by their first line.
 
     A scan of many CSV files reads by position, so files whose columns differ must be read apart.
-    Only the first line of each file is kept, and each different header comes to the driver
-    once with the paths that have it, as the file listing itself does.
+    The driver sees the name and first line of each file one by one, never their rows. It lists
+    the same files when it plans the scan.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
-        .option("encoding", encoding)
         .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("at"))
+        .select(
+            "value",
+            file_part("file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("at"),
+        )
         .filter("start = 0")
     )
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    rows = first.groupBy("header").agg(F.collect_list("file").alias("files")).toLocalIterator()
-    return {r.header.rstrip("\r").lstrip("﻿"): sorted(r.files) for r in rows if r.header}
+    groups: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).toLocalIterator():
+        groups.setdefault(r.line.lstrip("\ufeff").rstrip("\r"), []).append(literal_path(r.file))
+    return {line: sorted(files) for line, files in groups.items() if line}
 
 
 def read_csv_by_name(
-    spark: SparkSession, path: str, columns: list[str], required: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    columns: list[str],
+    required: list[str] | None = None,
+    header: list[str] | None = None,
 ) -> DataFrame:
     """CSV files of a folder, columns matched by name, as strings with source_file and file_pos.
 
     Columns that a file lacks are NULL; a file that lacks a required one is skipped, and so is
-    an empty file. file_pos grows with the row's place in its file.
+    an empty file. file_pos grows with the row's place in its file. When all files are known to
+    have the same columns, give them as ``header``: the files are then read only once.
     """
+    groups = header_groups(spark, path) if header is None else {",".join(header): path}
     frames = []
-    for header, files in header_groups(spark, path).items():
-        names = [n.strip().strip('"') for n in header.split(",")]
+    for line, files in groups.items():
+        names = [n.strip() for n in next(csv.reader([line]))]
         if not set(required or []) <= set(names):
             continue
         schema = ", ".join(f"`{n}` string" for n in names)
-        frame = spark.read.schema(schema).options(**CSV_TEXT).csv(files)
+        reader = spark.read.schema(schema).options(**CSV_TEXT, pathGlobFilter="*.csv")
+        frame = reader.csv(files)
         frames.append(
             frame.select(
                 *[F.col(f"`{c}`") for c in columns if c in names],
-                file_name().alias("source_file"),
+                file_part("file_name").alias("source_file"),
                 F.monotonically_increasing_id().alias("file_pos"),
             )
         )
@@ -89,9 +108,11 @@ def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHANNEL_LIST).csv(path, header=True)
 
 
-def read_channel_videos(spark: SparkSession, path: str) -> DataFrame:
+def read_channel_videos(
+    spark: SparkSession, path: str, header: list[str] | None = None
+) -> DataFrame:
     """Channel files of a folder with typed columns; 'N/A' and the like become NULL."""
-    raw = read_csv_by_name(spark, path, list(VIDEO_COLUMNS))
+    raw = read_csv_by_name(spark, path, list(VIDEO_COLUMNS), header=header)
     named = raw.select(
         *[na_to_null(F.col(f"`{c}`")).alias(n) for c, n in VIDEO_COLUMNS.items()],
         "source_file",
@@ -139,12 +160,12 @@ def read_status_json(spark: SparkSession, path: str) -> DataFrame:
     return lists[0].unionByName(lists[1])
 
 
-def read_turns(spark: SparkSession, path: str) -> DataFrame:
+def read_turns(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
     """Turn files of a folder: source_file, turn_index, start_time, speaker_label, transcript.
 
     A file without speaker_label or transcript, or with fewer than two rows, is skipped.
     """
-    raw = read_csv_by_name(spark, path, TURN_COLUMNS, ["speaker_label", "transcript"])
+    raw = read_csv_by_name(spark, path, TURN_COLUMNS, ["speaker_label", "transcript"], header)
     placed = raw.withColumn("turn_index", (row_in_file() - 1).cast("int"))
     rows = F.count(F.lit(1)).over(Window.partitionBy("source_file"))
     return placed.withColumn("_rows", rows).filter("_rows >= 2").select(
