@@ -130,10 +130,10 @@ def test_ordered_text_outputs(spark, tmp_path):
         F.col("id").alias("line_no"), F.col("id").cast("string").alias("line"),
     ).coalesce(1).orderBy(F.rand(1))
     out = str(tmp_path / "txt")
-    W.write_dialogues(lines.coalesce(1), out)
+    W.write_dialogues(lines.coalesce(1), out, per_video=True)
     got = "".join(p.read_text() for p in sorted((tmp_path / "txt" / "video_id=v1").glob("*.txt")))
     assert got.split() == [str(i) for i in range(1, 200, 2)]
     W.write_summary(lines.limit(5), str(tmp_path / "summary"))
     turns = lines.selectExpr("video_id as source_file", "line_no as turn_index", "line as transcript")
-    W.write_turns(turns, str(tmp_path / "turns"))
+    W.write_turns(turns, str(tmp_path / "turns"), per_file=True)
     assert spark.read.csv(str(tmp_path / "turns"), header=True).count() == 200

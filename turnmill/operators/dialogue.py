@@ -123,7 +123,11 @@ def history_index(
     """
     w = chunk_window("source_file", "turn_index")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = spread_chunks(role_turns(turns, compat), "turn_index", True, compat, chunk_rows)
+    # Measured before the shuffle, so that the chunk totals need no texts.
+    measured = role_turns(turns, compat).withColumn(
+        "_line", F.length(prompt_line(F.col("role"), F.col("content"))) + 1
+    )
+    spread = spread_chunks(measured, "turn_index", True, compat, chunk_rows)
     neighbours = {"_next_role": F.lead("role").over(w)}
     if compat:
         neighbours["_previous_role"] = F.lag("role").over(w)
@@ -131,11 +135,10 @@ def history_index(
         spread.withColumns(neighbours).withColumn("is_point", is_point()), compat
     )
     own = F.col("_chunk") == F.col("_home")
-    line_chars = F.length(prompt_line(F.col("role"), F.col("content"))) + 1
     counted = marked.withColumns(
         {
             "_point": F.when(own & F.col("is_point"), 1).otherwise(0).cast("bigint"),
-            "_chars": F.when(own, line_chars * F.col("copies")).otherwise(0).cast("bigint"),
+            "_chars": F.when(own, F.col("_line") * F.col("copies")).otherwise(0).cast("bigint"),
         }
     ).withColumns(
         {"_points": F.sum("_point").over(so_far), "_length": F.sum("_chars").over(so_far)}
@@ -177,24 +180,28 @@ def history_segments(
     are about 2 / segment_turns of the histories they stand for. asked marks the points that
     belong to the segment itself.
     """
-    marked = with_neighbours(
-        role_turns(turns, compat),
-        "source_file",
-        "turn_index",
-        ahead={"_next_role": "role"},
-        behind={"_previous_role": "role"},
-    ).withColumn("is_point", is_point())
-    own = with_copies(marked, compat).withColumn("_own", chunk_of("turn_index", segment_turns))
-    last = own.groupBy("source_file").agg(F.max("_own").alias("_last"))
-    spans = last.select(
-        F.col("source_file").alias("_file"),
-        "_last",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_at"),
+    w = chunk_window("source_file", "turn_index")
+    neighbours = {"_next_role": F.lead("role").over(w)}
+    if compat:
+        neighbours["_previous_role"] = F.lag("role").over(w)
+    spread = spread_chunks(role_turns(turns, compat), "turn_index", True, compat, segment_turns)
+    marked = with_copies(
+        drop_edge_copies(spread.withColumns(neighbours).withColumn("is_point", is_point())), compat
+    )
+    # The last segment of each file, once per segment, so that the join has no hot key and
+    # meets the turns where the window left them.
+    spans = (
+        turns.groupBy("source_file")
+        .agg(F.max(chunk_of("turn_index", segment_turns)).alias("_last"))
+        .select(
+            "source_file",
+            "_last",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk"),
+        )
     )
-    same = own["source_file"].eqNullSafe(spans["_file"]) & (own["_own"] == spans["_at"])
     return (
-        own.join(spans, same)
-        .withColumn("segment", F.explode(F.sequence("_own", "_last")))
+        marked.join(spans, ["source_file", "_chunk"])
+        .withColumn("segment", F.explode(F.sequence("_chunk", "_last")))
         .select(
             "source_file",
             "segment",
@@ -202,7 +209,7 @@ def history_segments(
             "role",
             "content",
             "copies",
-            (F.col("is_point") & (F.col("_own") == F.col("segment"))).alias("asked"),
+            (F.col("is_point") & (F.col("_chunk") == F.col("segment"))).alias("asked"),
         )
     )
 

@@ -2,7 +2,7 @@
 
 A plain window over a group sends the whole group to one task. Here a group is cut into
 chunks of consecutive positions, so that a group with a third of all rows spreads over
-many tasks, and only one summary row per chunk is combined per group.
+many tasks, and only one summary row per chunk is combined per group. Group keys are not NULL.
 """
 
 from __future__ import annotations
@@ -67,13 +67,11 @@ def add_earlier_chunks(df: DataFrame, key: str, sums: dict[str, Column]) -> Data
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(key, "_chunk").agg(*[c.alias(n) for n, c in sums.items()])
     starts = totals.select(
-        F.col(key).alias("_key"),
-        F.col("_chunk").alias("_at"),
+        key,
+        "_chunk",
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums],
     )
-    return df.join(
-        starts, df[key].eqNullSafe(starts["_key"]) & (df["_chunk"] == starts["_at"])
-    ).drop("_key", "_at")
+    return df.join(starts, [key, "_chunk"], "left")
 
 
 def dense_index(

@@ -47,47 +47,70 @@ def _normalized(block: list) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _block_best(own: pd.Series, other: pd.Series) -> pd.Series:
-    """Per vector of a block, its best cosine among the vectors of another block."""
-    return pd.Series(
-        [(_normalized(a) @ _normalized(b).T).max(axis=1) for a, b in zip(own, other)]
+def _best_matches(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Per vector of either block, its best cosine among the vectors of the other one."""
+    cosines = [_normalized(p) @ _normalized(r).T for p, r in zip(pred, ref)]
+    return pd.DataFrame(
+        {"pred": [c.max(axis=1) for c in cosines], "ref": [c.max(axis=0) for c in cosines]}
     )
 
 
-def embedding_f1(tokens: DataFrame, block_tokens: int = 128) -> DataFrame:
+def embedding_f1(tokens: DataFrame, block_tokens: int = 512) -> DataFrame:
     """Greedy-match precision, recall and F1 of token vectors per (pair_id, model_name).
 
     tokens: pair_id, model_name, side (pred or ref), pos (unique in its side), vec. Each side is
-    cut into blocks of consecutive positions. Blocks meet on (pair, block of the other side), so
-    a long text spreads over many tasks and a task holds two blocks at a time. A side without
-    vectors scores 0.
+    cut into blocks of consecutive positions. Every two blocks of a pair meet once, spread by the
+    block of the reference, so a long text uses many tasks and a task holds two blocks at a time.
+    A side without vectors scores 0.
     """
     keys = ["pair_id", "model_name"]
     block = F.floor(F.col("pos") / block_tokens).cast("bigint")
-    blocks = (
-        tokens.groupBy(*keys, "side", block.alias("block"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("vecs"))
+    of_side = lambda side, c: F.when(F.col("side") == side, c)
+
+    def vectors(side: str) -> Column:
+        found = F.sort_array(F.collect_list(of_side(side, F.struct("pos", "vec"))))
+        return F.transform(found, lambda t: t["vec"])
+
+    blocks = tokens.groupBy(*keys, block.alias("block")).agg(
+        vectors("pred").alias("pred"), vectors("ref").alias("ref")
     )
     spans = tokens.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("side") == s, block)).alias(f"last_{s}") for s in ("pred", "ref")]
+        F.max(of_side("pred", block)).alias("last_pred"),
+        F.max(of_side("ref", block)).alias("last_ref"),
+    )
+    first = F.lit(0).cast("bigint")
+    wanted = spans.select(
+        *keys, "last_ref", F.explode(F.sequence(first, "last_pred")).alias("block")
+    )
+    asking = (
+        blocks.select(*keys, "block", "pred")
+        .join(wanted, [*keys, "block"])
+        .withColumn("ref_block", F.explode(F.sequence(first, "last_ref")))
+    )
+    answering = blocks.filter(F.size("ref") > 0).select(
+        *keys, F.col("block").alias("ref_block"), "ref"
+    )
+    best = F.pandas_udf(_best_matches, "pred array<double>, ref array<double>")
+    met = (
+        asking.filter(F.size("pred") > 0)
+        .join(answering, [*keys, "ref_block"])
+        .withColumn("best", best("pred", "ref"))
+    )
+    sides = F.array(
+        F.struct(F.lit("pred").alias("side"), F.col("block").alias("at"), F.col("best.pred").alias("c")),
+        F.struct(F.lit("ref").alias("side"), F.col("ref_block").alias("at"), F.col("best.ref").alias("c")),
+    )
+    per_token = (
+        met.select(*keys, F.inline(sides))
+        .select(*keys, "side", "at", F.posexplode("c").alias("i", "cosine"))
+        .groupBy(*keys, "side", "at", "i")
+        .agg(F.max("cosine").alias("cosine"))
+    )
+    means = per_token.groupBy(*keys).agg(
+        F.avg(of_side("pred", F.col("cosine"))).alias("precision"),
+        F.avg(of_side("ref", F.col("cosine"))).alias("recall"),
     )
-    best = None
-    for side, other in (("pred", "ref"), ("ref", "pred")):
-        wanted = spans.select(
-            *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), f"last_{other}")).alias("other_block"),
-            F.col(f"last_{side}").alias("last"),
-        ).select(*keys, "other_block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("block"))
-        left = blocks.filter(F.col("side") == side).select(*keys, "block", F.col("vecs").alias("own"))
-        right = blocks.filter(F.col("side") == other).select(
-            *keys, F.col("block").alias("other_block"), F.col("vecs").alias("others")
-        )
-        met = wanted.join(left, [*keys, "block"]).join(right, [*keys, "other_block"])
-        per_token = met.select(
-            *keys, "block", F.posexplode(F.pandas_udf(_block_best, "array<double>")("own", "others")).alias("i", "c")
-        ).groupBy(*keys, "block", "i").agg(F.max("c").alias("c"))
-        part = per_token.groupBy(*keys).agg(F.avg("c").alias("precision" if side == "pred" else "recall"))
-        best = part if best is None else best.join(part, keys, "full")
-    scored = spans.select(*keys).join(best, keys, "left").fillna(0.0, ["precision", "recall"])
+    scored = spans.select(*keys).join(means, keys, "left").fillna(0.0, ["precision", "recall"])
     total = F.col("precision") + F.col("recall")
     return scored.withColumn(
         "f1",

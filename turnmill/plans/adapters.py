@@ -500,9 +500,12 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as token vectors of pairs; some pairs lack one side."""
     v = F.col("vec_id")
-    return table(spark, sf, "embeddings").filter(~((F.expr("vec_id div 10") % 9 == 4) & (v % 2 == 1))).select(
+    one_sided = (F.expr("vec_id div 10") % 9 == 4) & (v % 2 == 1)
+    return table(spark, sf, "embeddings").filter(~one_sided).select(
         F.expr("vec_id div 10").alias("pair_id"),
-        F.lit("echo_base").alias("model_name"),
+        F.when(F.expr("vec_id div 10") % 2 == 0, "echo_base")
+        .otherwise("echo_finetuned")
+        .alias("model_name"),
         F.when(v % 2 == 0, "pred").otherwise("ref").alias("side"),
         F.expr("(vec_id % 10) div 2").cast("int").alias("pos"),
         F.col("embedding").alias("vec"),

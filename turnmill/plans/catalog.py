@@ -4,6 +4,7 @@ from turnmill.plans import (  # noqa: F401
     dialogue,
     diarization,
     evaluation,
+    files,
     incremental,
     relevance,
     training,

@@ -384,7 +384,7 @@ parts AS (
     coalesce((SELECT avg(b) FROM (SELECT max(c) AS b FROM cosines x
       WHERE x.pair_id = t.pair_id GROUP BY j)), 0.0) AS r
   FROM (SELECT DISTINCT pair_id FROM tokens) t)
-SELECT pair_id, 'echo_base' AS model_name, round(p, 6) AS precision, round(r, 6) AS recall,
+SELECT pair_id, CASE WHEN pair_id % 2 = 0 THEN 'echo_base' ELSE 'echo_finetuned' END AS model_name, round(p, 6) AS precision, round(r, 6) AS recall,
   round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM parts""",
 )
 def score_embedding_f1(spark, sf):

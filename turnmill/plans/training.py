@@ -153,14 +153,16 @@ FROM keyed CROSS JOIN setups GROUP BY model_key""",
 )
 def training_setups(spark, sf):
     """Sizes of the two sides for every model family, from one pass over the records."""
-    valid = C.coerce_conversation(A.chat_records(spark, sf)).filter("valid").select("record_id")
+    valid = C.coerce_conversation(A.chat_records(spark, sf)).filter("valid").select(
+        C.split_bucket("record_id").alias("b")
+    )
     counts = valid.agg(
         *[
-            F.count_if(C.split_bucket("record_id") >= round(s.eval_fraction * 10000)).alias(f"train_{k}")
+            F.count_if(F.col("b") >= round(s.eval_fraction * 10000)).alias(f"train_{k}")
             for k, s in C.TRAINING_SETUPS.items()
         ],
         *[
-            F.count_if(C.split_bucket("record_id") < round(s.eval_fraction * 10000)).alias(f"eval_{k}")
+            F.count_if(F.col("b") < round(s.eval_fraction * 10000)).alias(f"eval_{k}")
             for k, s in C.TRAINING_SETUPS.items()
         ],
     )

@@ -147,17 +147,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).csv(path, header=True).withColumnRenamed("URL", "url")
 
 
-def read_status_json(spark: SparkSession, path: str) -> DataFrame:
-    """Status lists of a JSON file as (id, status) rows; an unreadable file gives no rows."""
-    whole = spark.read.text(path, wholetext=True).select(parse("value").alias("v"))
-    lists = [
-        whole.select(
-            F.explode(field(F.col("v"), name, "array<string>")).alias("id"),
-            F.lit(name).alias("status"),
-        )
-        for name in (PROCESSED, IGNORED)
-    ]
-    return lists[0].unionByName(lists[1])
+def read_status_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """Status lists as (id, status) rows; an unreadable file (or line) gives no rows."""
+    texts = spark.read.text(path, wholetext=not json_lines)
+    lists = F.create_map(
+        *[
+            part
+            for name in (PROCESSED, IGNORED)
+            for part in (F.lit(name), field(F.col("v"), name, "array<string>"))
+        ]
+    )
+    return (
+        texts.select(parse("value").alias("v"))
+        .select(F.explode(lists).alias("status", "ids"))
+        .select(F.explode("ids").alias("id"), "status")
+    )
 
 
 def read_turns(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:

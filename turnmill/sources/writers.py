@@ -41,18 +41,27 @@ def write_with_errors(df: DataFrame, path: str) -> None:
     ).partitionBy("outcome").parquet(path)
 
 
-def write_dialogues(lines: DataFrame, path: str) -> None:
-    """Dialogue lines (video_id, line_no, line) as text, one folder per video."""
-    lines.sortWithinPartitions("video_id", "line_no").select(
-        "video_id", F.col("line").alias("value")
-    ).write.mode("overwrite").partitionBy("video_id").text(path)
-
-
-def write_turns(turns: DataFrame, path: str) -> None:
-    """Turn rows as CSV, one folder per source file; turn_index keeps the order."""
-    turns.sortWithinPartitions("source_file", "turn_index").write.mode("overwrite").options(
-        header=True, escape='"'
-    ).partitionBy("source_file").csv(path)
+def write_dialogues(lines: DataFrame, path: str, per_video: bool = False) -> None:
+    """Dialogue lines (video_id, line_no, line) in order.
+
+    One table by default. ``per_video`` writes readable text with a folder per video, which
+    suits a selection of videos: a file per video of a large corpus is too many files.
+    """
+    ordered = lines.sortWithinPartitions("video_id", "line_no")
+    if per_video:
+        ordered.select("video_id", F.col("line").alias("value")).write.mode(
+            "overwrite"
+        ).partitionBy("video_id").text(path)
+    else:
+        ordered.write.mode("overwrite").parquet(path)
+
+
+def write_turns(turns: DataFrame, path: str, per_file: bool = False) -> None:
+    """Turn rows as CSV; turn_index keeps the order. ``per_file`` makes a folder per source file."""
+    writer = turns.sortWithinPartitions("source_file", "turn_index").write.mode("overwrite")
+    if per_file:
+        writer = writer.partitionBy("source_file")
+    writer.options(header=True, escape='"').csv(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
