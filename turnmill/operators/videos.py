@@ -88,6 +88,11 @@ def normalize_videos(raw: DataFrame) -> DataFrame:
     )
 
 
+def drop_null_entries(entries: DataFrame, entry: str) -> DataFrame:
+    """Entries of a channel listing that hold something."""
+    return entries.filter(F.col(entry).isNotNull())
+
+
 def index_within_channel(entries: DataFrame, channel: str, position: str) -> DataFrame:
     """1-based index of each entry in its channel, balanced for very large channels."""
     return dense_index(entries, channel, position, "index")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnmill.operators import diarization as D
+from turnmill.operators import transcription as X
 from turnmill.plans import adapters as A
 from turnmill.plans.registry import query, table
 
@@ -23,6 +24,12 @@ def pending_videos(spark, sf):
     return D.pending_videos(A.manifest(spark, sf), A.status(spark, sf))
 
 
+@query("single_id", f"WITH {MANIFEST} SELECT id, url, minutes FROM manifest WHERE id = '15'")
+def single_id(spark, sf):
+    """One video by its id, also when it was processed before."""
+    return D.single_video(A.manifest(spark, sf), "15")
+
+
 @query(
     "duration_guard",
     f"WITH {MANIFEST} SELECT id, minutes, minutes > 45 AS too_long FROM manifest",
@@ -121,6 +128,41 @@ def read_transcriptions(spark, sf):
     )
 
 
+class UrlTranscriber:
+    """Baseline transcriber: one segment with the address; every seventh id is cut short."""
+
+    def transcribe(self, video_id: str, url: str) -> dict:
+        n = int(video_id)
+        if n % 11 == 0:
+            raise ValueError("no audio")
+        whole = f'{{"task1_transcripts": [{{"start": "00:00", "text": "{url}", "voice": 1}}]}}'
+        return {"response": whole[: 20 if n % 7 == 0 else None], "input_token": n}
+
+
+@query(
+    "transcribe_videos",
+    f"""WITH {MANIFEST} SELECT id,
+  CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 0 ELSE 1 END AS n_segments,
+  CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE url END AS first_text,
+  CASE WHEN doc_id % 11 <> 0 THEN doc_id ELSE 0 END AS input_token, 0::BIGINT AS output_token,
+  CASE WHEN doc_id % 11 = 0 THEN 'no audio'
+    WHEN doc_id % 7 = 0 THEN 'Could not parse the structured response.' END AS error
+FROM manifest WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND minutes <= 45""",
+)
+def transcribe_videos(spark, sf):
+    pending = D.pending_videos(A.manifest(spark, sf), A.status(spark, sf))
+    short = D.duration_guard(pending).filter("not too_long")
+    responses = X.transcribe_videos(short, UrlTranscriber, tries=2, first_wait=0, wait_step=0)
+    return D.token_usage(X.parsed_transcriptions(responses)).select(
+        "id",
+        F.size("task1_transcripts").alias("n_segments"),
+        F.try_element_at("task1_transcripts", F.lit(1))["text"].alias("first_text"),
+        "input_token",
+        "output_token",
+        "error",
+    )
+
+
 SUFFIXES = ["", "_PT1H2M3S", "_PT45M", "_PT", "_PT59M59S", "_PT2H", "_PT90S.x"]
 
 

@@ -13,7 +13,7 @@ from turnmill.operators import videos as V
 from turnmill.plans import adapters as A
 from turnmill.plans.diarization import LABELLED, MANIFEST, STATUS
 from turnmill.plans.evaluation import GENERATED, JUDGED_CASES, VERDICTS, cases, flat
-from turnmill.plans.registry import query
+from turnmill.plans.registry import query, table
 from turnmill.plans.relevance import _verdicts, verdicts
 from turnmill.plans.training import MESSAGES
 from turnmill.plans.videos import LINKS, NORMALIZED
@@ -38,6 +38,37 @@ def read_raw_metadata(spark, sf):
     )
 
 
+@query(
+    "read_channel_videos",
+    """SELECT CASE WHEN doc_id % 23 <> 0 THEN substring(text, 1, 40) END AS title,
+  CASE WHEN doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
+  CAST(n_chars AS INT) AS duration_sec, text AS description, '2024-01-31' AS upload_date
+FROM documents""",
+)
+def read_channel_videos(spark, sf):
+    """Channel rows as CSV with their line breaks and quotes, and 'N/A' where nothing is known."""
+    out, i = new_dir(spark, "channels"), F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        F.when(i % 23 != 0, F.substring("text", 1, 40)).otherwise("N/A").alias("Title"),
+        F.when(i % 13 == 0, "N/A").otherwise((i * 7).cast("string")).alias("Views"),
+        F.col("n_chars").alias("Duration (sec)"),
+        F.lit("20240131").alias("Upload Date"),
+        F.col("text").alias("Description"),
+    )
+    writers.write_table(rows, out, "csv")
+    return readers.read_channel_videos(spark, out).select(
+        "title", "views", "duration_sec", "description", F.col("upload_date").cast("string").alias("upload_date")
+    )
+
+
+@query("read_turns", f"WITH {LABELLED} SELECT start_time, speaker_label, transcript FROM labelled")
+def read_turns(spark, sf):
+    out = new_dir(spark, "turns")
+    rows = D.export_turns(A.transcriptions(spark, sf))
+    writers.write_table(rows.select("transcript", "start_time", "speaker_label"), out, "csv")
+    return readers.read_turns(spark, out).select("start_time", "speaker_label", "transcript")
+
+
 @query("read_manifest", f"WITH {MANIFEST} SELECT id, url, minutes FROM manifest")
 def read_manifest(spark, sf):
     out = new_dir(spark, "manifest")

@@ -115,6 +115,21 @@ def render_chat_template(spark, sf):
     return valid.select("record_id", F.explode(texts).alias("_t")).select("record_id", "_t.*")
 
 
+def _line_per_message(messages: list[dict]) -> str:
+    return "".join(f"[{m['role']}] {m['content']}\n" for m in messages)
+
+
+@query(
+    "render_custom_template",
+    f"""WITH {MESSAGES} SELECT record_id,
+  string_agg(concat('[', role, '] ', content, chr(10)), '' ORDER BY pos) AS text
+FROM messages GROUP BY record_id""",
+)
+def render_custom_template(spark, sf):
+    valid = C.coerce_conversation(A.chat_records(spark, sf)).filter("valid")
+    return valid.select("record_id", C.render_with("messages", _line_per_message).alias("text"))
+
+
 SPLIT = """sides AS (
   SELECT conv_id, turn, CASE WHEN CAST('0x' || substring(md5(concat('3407:', conv_id, '_', turn)), 1, 8)
     AS BIGINT) % 10000 < 1000 THEN 'eval' ELSE 'train' END AS split

@@ -73,6 +73,17 @@ def restricted_placeholder(spark, sf):
     )
 
 
+@query(
+    "drop_null_entries",
+    """SELECT doc_id AS id, substring(text, 1, 40) AS entry FROM documents WHERE doc_id % 23 <> 0""",
+)
+def drop_null_entries(spark, sf):
+    entries = A.raw_videos(spark, sf).select(
+        (F.col("index") - 1).cast("bigint").alias("id"), F.col("title").alias("entry")
+    )
+    return V.drop_null_entries(entries, "entry")
+
+
 @query(
     "video_url",
     """SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN concat('https://video.example/', doc_id)

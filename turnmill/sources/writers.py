@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Texts are written as they are: without these the CSV writer trims blanks at their ends.
+CSV_TEXT = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """A whole table as Parquet, CSV (with header) or JSON lines."""
-    options = {"header": True, "escape": '"'} if fmt == "csv" else {}
+    options = CSV_TEXT if fmt == "csv" else {}
     df.write.mode(mode).format(fmt).options(**options).save(path)
 
 
@@ -61,7 +69,7 @@ def write_turns(turns: DataFrame, path: str, per_file: bool = False) -> None:
     writer = turns.sortWithinPartitions("source_file", "turn_index").write.mode("overwrite")
     if per_file:
         writer = writer.partitionBy("source_file")
-    writer.options(header=True, escape='"').csv(path)
+    writer.options(**CSV_TEXT).csv(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
