@@ -189,7 +189,8 @@ def history_segments(
         drop_edge_copies(spread.withColumns(neighbours).withColumn("is_point", is_point())), compat
     )
     # The last segment of each file, once per segment, so that the join has no hot key and
-    # meets the turns where the window left them.
+    # meets the turns where the window left them. All turns match; a left join keeps them the
+    # side that is read in parts, however small the tables look to the planner.
     spans = (
         turns.groupBy("source_file")
         .agg(F.max(chunk_of("turn_index", segment_turns)).alias("_last"))
@@ -200,7 +201,7 @@ def history_segments(
         )
     )
     return (
-        marked.join(spans, ["source_file", "_chunk"])
+        marked.join(spans, ["source_file", "_chunk"], "left")
         .withColumn("segment", F.explode(F.sequence("_chunk", "_last")))
         .select(
             "source_file",

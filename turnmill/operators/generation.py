@@ -70,6 +70,15 @@ def call_with_retries(call: Callable, tries: int, first_wait: float, step: float
             time.sleep(first_wait + step * attempt)
 
 
+def spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows over a fixed number of tasks before costly calls.
+
+    A given number keeps adaptive execution from merging the partitions, which it would do for
+    their few bytes. None leaves the rows where they are.
+    """
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 class _Models:
     """One loaded generator at a time; rows come sorted by model."""
 
@@ -93,13 +102,14 @@ def generate_conversations(
     specs: list[ModelSpec],
     factory: Factory = builtin_factory,
     sampling: Sampling = Sampling(),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Play each case with each model; every reply enters the history of the next one.
 
     cases: case_id, scenario_context, character_profile, police_turns, error. The state is local
-    to a row, so there is no shuffle; rows are sorted by model within a task. A failing case has
-    its message in error and no conversation. Write the result before using it twice, so that
-    a costly or random model is not called again.
+    to a row, so no shuffle is needed; ``tasks`` spreads cases that come from few files. Rows are
+    sorted by model within a task. A failing case has its message in error and no conversation.
+    Write the result before using it twice, so that a costly or random model is not called again.
     """
     prompted = case_model_grid(cases, specs).withColumn(
         "system_prompt", render_system_prompt("scenario_context", "character_profile")
@@ -130,7 +140,8 @@ def generate_conversations(
             )[out.fieldNames()]
         models.close()
 
-    played = prompted.sortWithinPartitions("model_name").mapInPandas(play, out)
+    ready = spread(prompted, tasks, "model_name", "case_id").sortWithinPartitions("model_name")
+    played = ready.mapInPandas(play, out)
     return played.withColumn("conversation_transcript", build_transcript("generated_conversation"))
 
 
@@ -153,6 +164,7 @@ def predict_replies(
     system_prompt: str = DEFAULT_SYSTEM_PROMPT,
     compat: bool = False,
     segment_turns: int = SEGMENT_TURNS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Reply of each model at each evaluation point of the turns.
 
@@ -163,7 +175,8 @@ def predict_replies(
     """
     keys = ["model_name", "source_file", "segment"]
     grid = case_model_grid(history_segments(turns, compat, segment_turns), specs)
-    ordered = grid.repartition(*keys).sortWithinPartitions(*keys, "turn_index")
+    gathered = spread(grid, tasks, *keys) if tasks else grid.repartition(*keys)
+    ordered = gathered.sortWithinPartitions(*keys, "turn_index")
     kept = ["source_file", "turn_index", "model_name", "model_family", "model_type"]
     out = T.StructType(
         [

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from turnmill.functions.json import OBJECT, variant_kind
 from turnmill.functions.text import col, strip_ws
-from turnmill.operators.generation import call_with_retries
+from turnmill.operators.generation import call_with_retries, spread
 
 REALISM_PROMPT = (
     "Rate how real the civilian in the target sounds, from 0 to 100, against the reference.\n"
@@ -190,10 +190,11 @@ def run_judge(
     factory: Callable[[], Judge],
     tries: int = 3,
     wait_seconds: float = 2.0,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Ask a judge for both prompts of each pair: realism_raw, deescalation_raw, error.
 
-    One judge per task, retries inside it. Write the answers before parsing them, so that
+    One judge per task, retries inside it; ``tasks`` spreads pairs that come from few files. Write the answers before parsing them, so that
     a lost task does not ask again for answers that were already used.
     """
     prompted = with_prompts(pairs).select(
@@ -221,7 +222,7 @@ def run_judge(
                 rows.append((case, model, *raw, error))
             yield pd.DataFrame(rows, columns=out.fieldNames())
 
-    return prompted.mapInPandas(ask, out)
+    return spread(prompted, tasks, "model_name", "case_id").mapInPandas(ask, out)
 
 
 def replay_judge(pairs: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.operators.diarization import read_response
-from turnmill.operators.generation import call_with_retries
+from turnmill.operators.generation import call_with_retries, spread
 
 # Tries of a call, and the pauses between them in seconds.
 TRIES, FIRST_WAIT, WAIT_STEP = 7, 10.0, 1.0
@@ -34,10 +34,11 @@ def transcribe_videos(
     tries: int = TRIES,
     first_wait: float = FIRST_WAIT,
     wait_step: float = WAIT_STEP,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Responses of pending videos (id, url), one transcriber per task, retries inside it.
 
-    Write the result before using it twice.
+    ``tasks`` spreads videos that come from few files. Write the result before using it twice.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,7 @@ def transcribe_videos(
             yield pd.DataFrame(rows, columns=list(columns)).convert_dtypes()
 
     columns = [c.split()[0] for c in TRANSCRIBED.split(", ")]
-    return pending.select("id", "url").mapInPandas(run, TRANSCRIBED)
+    return spread(pending.select("id", "url"), tasks, "id").mapInPandas(run, TRANSCRIBED)
 
 
 def parsed_transcriptions(responses: DataFrame) -> DataFrame:

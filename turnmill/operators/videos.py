@@ -113,7 +113,8 @@ def merge_channel_videos(videos: DataFrame, compat: bool = False, span: int = 65
     """
     offsets = group_offsets(videos, "source_file", span=span)
     tagged = videos.withColumn("_chunk", chunk_of_index("index", span))
-    merged = tagged.join(offsets, ["source_file", "_chunk"])
+    # All rows match; a left join keeps the videos the side that is read in parts.
+    merged = tagged.join(offsets, ["source_file", "_chunk"], "left")
     return merged.select(
         (F.col("_offset") + F.col("index") - 1).cast("bigint").alias("id"),
         *videos.columns,

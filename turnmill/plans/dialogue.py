@@ -208,22 +208,23 @@ predictions AS MATERIALIZED (
     END AS embedding_f1
   FROM points CROSS JOIN models)"""
 
-# Longest common subsequence by one list per word of the prediction.
+# The longest common subsequence is the longest rising run of the places where words meet.
 ROUGE = f"""
 rouge_words AS (
   SELECT source_file, turn_index, model_name,
     regexp_extract_all(lower(predicted_response), '[a-z0-9]+') AS p,
     regexp_extract_all(lower(reference_response), '[a-z0-9]+') AS r
   FROM predictions),
+meetings AS (
+  SELECT *, flatten(list_transform(p, lambda w: list_reverse(
+    list_filter(range(1, len(r) + 1), lambda k: r[k] = w)))) AS places
+  FROM rouge_words),
 rouge AS MATERIALIZED (
   SELECT source_file, turn_index, model_name,
-    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0 ELSE 2.0::DOUBLE * list_reduce(p,
-      lambda best, w: list_reduce(range(1, len(r) + 1),
-        lambda line, j: list_append(line,
-          CASE WHEN r[j] = w THEN best[j] + 1 ELSE greatest(best[j + 1], line[j]) END),
-        [0::BIGINT]),
-      list_resize([0::BIGINT], len(r) + 1, 0))[-1] / (len(p) + len(r)) END AS rouge_l
-  FROM rouge_words)"""
+    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_reduce(places,
+      lambda ends, k: list_concat(list_filter(ends, lambda e: e < k), [k],
+        list_filter(ends, lambda e: e >= k)[2:]), []::BIGINT[])) / (len(p) + len(r)) END AS rouge_l
+  FROM meetings)"""
 
 
 def _spaced(expr: str, rules) -> str:
