@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from turnmill import jobs
 from turnmill.operators.generation import builtin_factory
 from turnmill.operators.models import ModelSpec
+from turnmill.operators.scoring import HashEncoder
 from turnmill.sources import readers
 
 SPECS = [
@@ -40,7 +41,11 @@ def test_reply_run(spark, tmp_path):
     assert len(rows) == 4
     assert rows["repeat", 2].rouge_l == 1.0 and rows["repeat", 0].predicted_response == ""
     assert [r.n_turns for r in got["models"].collect()] == [2, 2]
-    assert got["files"].count() == 2
+    assert got["files"].count() == 2 and rows["echo", 0].embedding_f1 is None
+    with_vectors = jobs.evaluate_replies(
+        turns, str(tmp_path / "out2"), SPECS, builtin_factory, ["repeat"], encoder=HashEncoder
+    )
+    assert {r.turn_index: r.embedding_f1 for r in with_vectors["scored"].collect()} == {0: 0.0, 2: 1.0}
 
 
 def test_generation_run(spark, tmp_path):

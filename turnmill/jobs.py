@@ -107,11 +107,12 @@ def evaluate_replies(
     specs: list[ModelSpec],
     factory: generation.Factory,
     models: list[str] | None = None,
+    encoder: Callable[[], scoring.TokenEncoder] | None = None,
     tasks: int | None = None,
 ) -> dict[str, DataFrame]:
     """Replies at every evaluation point, their scores, and summaries per model and file.
 
-    embedding_f1 is NULL here: scoring.embedding_f1 needs token vectors of an encoder.
+    Without an encoder embedding_f1 is NULL.
     """
     spark = turns.sparkSession
     runnable = skip_unconfigured(select_models(specs, models))
@@ -120,12 +121,10 @@ def evaluate_replies(
         f"{out}/replies",
     )
     points = dialogue.turn_pairs(turns).drop("officer_input")
-    scored = _kept(
-        scoring.score_predictions(replies.join(points, ["source_file", "turn_index"])).withColumn(
-            "embedding_f1", F.lit(None).cast("double")
-        ),
-        f"{out}/scored",
-    )
+    scores = scoring.score_predictions(replies.join(points, ["source_file", "turn_index"]), encoder)
+    if not encoder:
+        scores = scores.withColumn("embedding_f1", F.lit(None).cast("double"))
+    scored = _kept(scores, f"{out}/scored")
     return {
         "scored": scored,
         "models": _kept(summaries.metric_model_summary(scored), f"{out}/model_summary"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,19 +30,22 @@ def score_meteor(prediction: Column | str, reference: Column | str) -> Column:
     return overlap(col(prediction), col(reference), ["meteor"])["meteor"]
 
 
-def score_predictions(predictions: DataFrame) -> DataFrame:
-    """Add rouge_l, bleu_4 and meteor; rows with an error keep NULL scores.
+def score_predictions(
+    predictions: DataFrame, encoder: Callable[[], TokenEncoder] | None = None
+) -> DataFrame:
+    """Add rouge_l, bleu_4 and meteor, and embedding_f1 when there is an encoder.
 
-    All three come from one Arrow stage, next to the row's own texts: no key, no join.
+    They are computed in Arrow stages next to the row's own texts: no key, no join. Rows with an
+    error keep NULL scores.
     """
     failed = F.col("error").isNotNull() if "error" in predictions.columns else F.lit(False)
-    scores = overlap(
-        clean_text("predicted_response"), clean_text("reference_response"), TEXT_METRICS
-    )
-    scored = predictions.withColumn("_s", scores)
-    return scored.withColumns(
-        {m: F.when(~failed, F.col("_s")[m]) for m in TEXT_METRICS}
-    ).drop("_s")
+    texts = clean_text("predicted_response"), clean_text("reference_response")
+    scored = predictions.withColumn("_s", overlap(*texts, TEXT_METRICS))
+    found = {m: F.col("_s")[m] for m in TEXT_METRICS}
+    if encoder:
+        scored = scored.withColumn("_e", score_encoded_f1(*texts, encoder))
+        found["embedding_f1"] = F.col("_e.f1")
+    return scored.withColumns({m: F.when(~failed, c) for m, c in found.items()}).drop("_s", "_e")
 
 
 def _normalized(block: list) -> np.ndarray:
@@ -47,6 +54,61 @@ def _normalized(block: list) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
+class TokenEncoder(Protocol):
+    """Vectors of the tokens of each text."""
+
+    def encode(self, texts: list[str]) -> list[list[list[float]]]: ...
+
+
+class HashEncoder:
+    """Baseline: one of 16 unit vectors per word, by the first digit of its MD5."""
+
+    def encode(self, texts: list[str]) -> list[list[list[float]]]:
+        unit = np.eye(16)
+        return [
+            [unit[int(hashlib.md5(w.encode()).hexdigest()[0], 16)] for w in t.split()] for t in texts
+        ]
+
+
+def score_encoded_f1(
+    prediction: Column | str,
+    reference: Column | str,
+    factory: Callable[[], TokenEncoder] = HashEncoder,
+    batch_size: int = 16,
+) -> Column:
+    """Greedy-match precision, recall and F1 of two texts, as a struct.
+
+    Encodes and compares inside the Arrow batch, one encoder per task: no vectors are stored or
+    shuffled. Texts without tokens score 0.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = factory()
+        for preds, refs in batches:
+            rows = []
+            for start in range(0, len(preds), batch_size):
+                some = slice(start, start + batch_size)
+                pairs = zip(
+                    encoder.encode([x or "" for x in preds[some]]),
+                    encoder.encode([x or "" for x in refs[some]]),
+                )
+                rows += [_pair_f1(p, r) for p, r in pairs]
+            yield pd.DataFrame(rows, columns=["precision", "recall", "f1"], dtype="float64")
+
+    return F.pandas_udf(run, "precision double, recall double, f1 double")(
+        col(prediction), col(reference)
+    )
+
+
+def _pair_f1(pred: list, ref: list) -> tuple[float, float, float]:
+    if not len(pred) or not len(ref):
+        return 0.0, 0.0, 0.0
+    cosines = _normalized(pred) @ _normalized(ref).T
+    precision, recall = cosines.max(axis=1).mean(), cosines.max(axis=0).mean()
+    total = precision + recall
+    return precision, recall, 2 * precision * recall / total if total else 0.0
+
+
 def _best_matches(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """Per vector of either block, its best cosine among the vectors of the other one."""
     cosines = [_normalized(p) @ _normalized(r).T for p, r in zip(pred, ref)]

@@ -392,6 +392,27 @@ def score_embedding_f1(spark, sf):
     return _rounded(S.embedding_f1(A.token_vectors(spark, sf)))
 
 
+@query(
+    "score_encoded_f1",
+    f"""WITH {PREDICTIONS}, sides AS (
+  SELECT {KEY}, list_transform({_words('predicted_response')}, lambda w: md5(w)[1]) AS p,
+    list_transform({_words('reference_response')}, lambda w: md5(w)[1]) AS r
+  FROM predictions),
+parts AS (
+  SELECT {KEY}, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
+      ELSE len(list_filter(p, lambda x: list_contains(r, x)))::DOUBLE / len(p) END AS p,
+    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
+      ELSE len(list_filter(r, lambda x: list_contains(p, x)))::DOUBLE / len(r) END AS r
+  FROM sides)
+SELECT {KEY}, round(p, 9) AS precision, round(r, 9) AS recall,
+  round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM parts""",
+)
+def score_encoded_f1(spark, sf):
+    scores = S.score_encoded_f1("predicted_response", "reference_response")
+    scored = A.predictions(spark, sf).select("source_file", "turn_index", "model_name", scores.alias("_s"))
+    return _rounded(scored.select("source_file", "turn_index", "model_name", "_s.*"), 9)
+
+
 _METRICS = ["rouge_l", "bleu_4", "meteor", "embedding_f1"]
 _AVG = ", ".join(f"round(avg({m}), 6) AS avg_{m}" for m in _METRICS)
 _STD = ", ".join(f"round(stddev_samp({m}), 6) AS std_{m}" for m in _METRICS)

@@ -46,7 +46,11 @@ def process_batch(
     """
     spark = batch.sparkSession
     before = read_status(spark, f"{out}/status").filter(F.col("batch_id") != batch_id)
-    fresh = duration_guard(pending_videos(batch.dropDuplicates(["id"]), before), limit)
+    # One row per id, the same one whenever the batch is read.
+    once = batch.groupBy("id").agg(F.max(F.struct("minutes", "url")).alias("_v")).select(
+        "id", "_v.url", "_v.minutes"
+    )
+    fresh = duration_guard(pending_videos(once, before), limit)
     results = process(fresh.filter("not too_long").drop("too_long"))
     results.write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}")
     written = spark.read.schema(results.schema).parquet(f"{out}/results/batch_id={batch_id}")
