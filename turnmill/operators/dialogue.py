@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import col, strip_ws
+from turnmill.functions.text import PY_WHITESPACE, col, strip_ws
 from turnmill.operators.ordering import (
     CHUNK_ROWS,
     add_earlier_chunks,
@@ -280,10 +280,11 @@ def clean_reply(reply: Column | str, profile: str = "metric") -> Column:
         text = F.regexp_replace(text, F.lit(r"^```[^\n]*\n"), F.lit(""))
         text = strip_ws(F.replace(text, F.lit("```"), F.lit("")))
     for marker in STOP_MARKERS[profile]:
-        text = strip_ws(F.split_part(text, F.lit(marker), F.lit(1)))
-    for prefix in SPEAKER_PREFIXES[profile]:
-        text = strip_ws(F.regexp_replace(text, F.lit(f"(?i)^{re.escape(prefix)}"), F.lit("")))
-    return text
+        text = F.substring_index(text, marker, 1)
+    # Each name is cut at most once and in this order, with the white space behind it.
+    blank = f"[{re.escape(PY_WHITESPACE)}]*"
+    names = "".join(f"(?:{re.escape(p)}{blank})?" for p in SPEAKER_PREFIXES[profile])
+    return F.regexp_replace(strip_ws(text), F.lit(f"(?i)^{names}"), F.lit(""))
 
 
 def clean_text(text: Column | str) -> Column:

@@ -194,8 +194,8 @@ def run_judge(
 ) -> DataFrame:
     """Ask a judge for both prompts of each pair: realism_raw, deescalation_raw, error.
 
-    One judge per task, retries inside it; ``tasks`` spreads pairs that come from few files. Write the answers before parsing them, so that
-    a lost task does not ask again for answers that were already used.
+    One judge per task, retries inside it; ``tasks`` spreads pairs that come from few files. Write
+    the answers before parsing them, so that a lost task does not ask again for used answers.
     """
     prompted = with_prompts(pairs).select(
         "case_id", "model_name", "realism_prompt", "deescalation_prompt"

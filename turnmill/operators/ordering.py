@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 4096
+# A chunk with its copied edges stays below the 4096 rows that a window keeps in memory.
+CHUNK_ROWS = 2048
 
 
 def chunk_of(position: str, rows: int) -> Column:

@@ -39,10 +39,12 @@ def score_predictions(
     error keep NULL scores.
     """
     failed = F.col("error").isNotNull() if "error" in predictions.columns else F.lit(False)
-    texts = clean_text("predicted_response"), clean_text("reference_response")
-    scored = predictions.withColumn("_s", overlap(*texts, TEXT_METRICS))
+    # Blanks around a text do not change its words, so only the encoder needs it trimmed.
+    words = F.col("predicted_response"), F.col("reference_response")
+    scored = predictions.withColumn("_s", overlap(*words, TEXT_METRICS))
     found = {m: F.col("_s")[m] for m in TEXT_METRICS}
     if encoder:
+        texts = clean_text("predicted_response"), clean_text("reference_response")
         scored = scored.withColumn("_e", score_encoded_f1(*texts, encoder))
         found["embedding_f1"] = F.col("_e.f1")
     return scored.withColumns({m: F.when(~failed, c) for m, c in found.items()}).drop("_s", "_e")
