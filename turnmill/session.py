@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,18 +17,17 @@ RECOMMENDED = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors reach.
+    """The folder named by spark.checkpoint.dir, or by SparkContext.setCheckpointDir.
 
-    Only a session on one machine that names none gets a temporary folder.
+    All executors must reach it. There is no other place to fall back to.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors reach.")
-    return os.path.join(tempfile.gettempdir(), "turnmill")
+    return named
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
