@@ -1,6 +1,11 @@
 """All queries of this subpackage, loaded from their modules."""
 
-from turnmill.llm import relative_lz, simhash  # noqa: F401
+import corpus_pipeline
+from turnmill.llm import decontaminate, langid, packing, relative_lz, simhash  # noqa: F401
 from turnmill.llm.registry import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]

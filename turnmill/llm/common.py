@@ -26,12 +26,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each text starts in them (one entry more than
+    """All bytes of a string or binary column, and where each text starts in them (one entry more than
     texts). A null text is empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.fill_null(b"")
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, np.int64, len(column) + 1, column.offset * 8)
     if data is None or offsets[-1] == offsets[0]:

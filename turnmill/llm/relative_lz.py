@@ -116,3 +116,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated passages removed from all documents."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """All rows and columns of docs. A text that loses words by remove_repeats' rule becomes its
+    other words joined by blanks, and n_chars, where there is such a column, its length; other
+    texts stay as they are."""
+    spanned = with_spans(docs, window)
+    hit = spanned.select("row", F.col("row.text").alias("text"), F.hash("row.text").alias("mark"), "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                data, offsets = flat(part.column("text"))
+                starts, ends, first = find_words(data, offsets)
+                gone = covered(part.column("spans"), part.column("mark").to_numpy(), first, window)
+                raw, s, e, kept = data.tobytes(), starts.tolist(), ends.tolist(), []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    lost = gone[a:b].any()
+                    kept.append(b" ".join([raw[s[i] : e[i]] for i in a + np.flatnonzero(~gone[a:b])]) if lost else None)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "cut_text"])
+
+    schema = f"row {spanned.schema['row'].dataType.simpleString()}, cut_text string"
+    new = {"text": F.coalesce("cut_text", "row.text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("cut_text").isNull(), F.col("row.n_chars")).otherwise(F.length("cut_text").cast(kind))
+    return hit.mapInArrow(run, schema).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -179,16 +179,22 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
+    filed = distinct.select("fp").mapInArrow(file, "point long, fp long")
+    met = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("point")))
+    # The window has brought points together and sorted them; they are compared where they are.
+    small = met.where(F.col("n").between(2, block)).select(F.col("point").alias("key"), "fp")
     n_blocks = F.ceil(F.col("n") / block)
     mine = F.pmod(F.xxhash64("fp"), n_blocks)
     pairs = F.transform(
         F.sequence(F.lit(0).cast("bigint"), n_blocks - 1),
         lambda j: F.xxhash64("point", F.least(mine, j), F.greatest(mine, j)),
     )
-    filed = distinct.select("fp").mapInArrow(file, "point long, fp long")
-    met = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("point"))).where("n > 1")
-    keyed = met.select(F.explode(F.when(F.col("n") <= block, F.array("point")).otherwise(pairs)).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    large = met.where(F.col("n") > block).select(F.explode(pairs).alias("key"), "fp").repartition("key")
+    return (
+        small.sortWithinPartitions("key")
+        .mapInArrow(meet, "a long, b long")
+        .union(large.sortWithinPartitions("key").mapInArrow(meet, "a long, b long"))
+    )
 
 
 def near_duplicates(
