@@ -32,7 +32,7 @@ OPEN = 2_000
 
 #: symbols(data, offsets) -> (values, symbols before each text); values are uint8 or uint64.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: solve([(document number, start, values)] in order) -> [(index, first window, windows)]
+#: solve([(doc_id, place of the anchor in the block, values)] in order) -> [(index, first window, windows)]
 Solver = Callable[[list[tuple[int, int, np.ndarray]]], list[tuple[int, int, int]]]
 
 _BLOCK = "anchor long, variant long, doc_id long, loc long, n int, done boolean"
@@ -201,7 +201,8 @@ def repeated_spans(
                 start = (loc & 0xFFFFFFFF) + first[text]
                 cold, warm = mine[~hot_[mine]], mine[hot_[mine]]
                 content = [values[s : s + m - 1 + length].tobytes() for s, m in zip(start[cold].tolist(), n[cold].tolist(), strict=True)]
-                yield _fetched(anchor[cold], None, ids[text[cold]], loc[cold], n[cold], content)
+                place = _anchor_places(values, start[cold], n[cold], anchor[cold], length, k)
+                yield _fetched(anchor[cold], place, ids[text[cold]], loc[cold], n[cold], content)
                 if len(warm):
                     one = np.repeat(start[warm], n[warm]) + ranges(n[warm])
                     h = np.concatenate([
@@ -220,7 +221,7 @@ def repeated_spans(
         group, key = [], None
 
         def solved():
-            blocks = [(d, at, np.frombuffer(c, kind)) for d, at, _, c in group]
+            blocks = [(d, at, np.frombuffer(c, kind)) for d, _, at, c in group]
             rows = [(group[i][0], group[i][1] + a, n) for i, a, n in solve(blocks)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))],
@@ -228,7 +229,7 @@ def repeated_spans(
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "loc", "n", "content")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "loc", "variant", "content")), strict=True):
                 if row[0] != key:
                     if len(group) > 1:
                         yield solved()
@@ -262,16 +263,34 @@ def repeated_spans(
     return by_id.join(listed, by_id["row.doc_id"] == listed["doc_id"], "left").select("row", "spans")
 
 
-def _fetched(anchor, _, doc, loc, n, content) -> pa.RecordBatch:
-    zero = np.zeros(len(anchor), np.int64)
+def _anchor_places(values, start, n, anchor, length: int, k: int) -> np.ndarray:
+    """Where the anchor is in each block: the first place, of those in all its windows, with its hash."""
+    places = np.zeros(len(start), np.int64)
+    for a in range(0, len(start), 100_000):
+        s, m = start[a : a + 100_000], n[a : a + 100_000]
+        if not len(s):
+            break
+        low = int(s.min())
+        hashes = Hashes(values[low : int((s + m).max()) - 1 + length])
+        width = length - k - m + 2
+        at = np.repeat(s + m - 1, width) + ranges(width) - low
+        owner = np.repeat(np.arange(len(s)), width)
+        hit = np.flatnonzero(hashes.of(at, at + k) == anchor[a : a + 100_000].view(np.uint64)[owner])
+        block, first = np.unique(owner[hit], return_index=True)
+        places[a + block] = at[hit[first]] + low - s[block]
+    return places
+
+
+def _fetched(anchor, place, doc, loc, n, content) -> pa.RecordBatch:
+    """Open blocks; the column of the variant, settled by now, holds the place of the anchor."""
     return pa.RecordBatch.from_arrays(
         [
             pa.array(anchor),
-            pa.array(zero),
+            pa.array(place),
             pa.array(doc),
             pa.array(loc),
             pa.array(n.astype(np.int32)),
-            pa.array(zero.astype(bool)),
+            pa.array(np.zeros(len(anchor), bool)),
             pa.array(content, pa.binary()),
         ],
         ["anchor", "variant", "doc_id", "loc", "n", "done", "content"],
