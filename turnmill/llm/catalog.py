@@ -1,7 +1,18 @@
 """All queries of this subpackage, loaded from their modules."""
 
 import corpus_pipeline
-from turnmill.llm import decontaminate, langid, packing, relative_lz, simhash  # noqa: F401
+from turnmill.llm import (  # noqa: F401
+    chat,
+    class_lm,
+    decontaminate,
+    langid,
+    packing,
+    quality,
+    relative_lz,
+    sharding,
+    simhash,
+    suffix_groups,
+)
 from turnmill.llm.registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -119,6 +119,17 @@ class Hashes:
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = STEP_BYTES) -> np.ndarray:
+    """Hashes of words of the bytes, some megabytes at a time, so that long texts take no more memory."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
+        low = starts[i]
+        out[i:j] = Hashes(data[low : ends[j - 1]]).of(starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of counts, one after the other."""
     counts = np.asarray(counts, np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import Hashes, find_words, flat, steps, table
+from turnmill.llm.common import find_words, flat, steps, table, word_hashes
 from turnmill.llm.registry import query
 from turnmill.llm.repeats import covered, repeated_spans
 
@@ -30,7 +30,7 @@ ANCHOR_WORDS = 5
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word."""
     starts, ends, first = find_words(data, offsets)
-    return Hashes(data).of(starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def parse(words: bytes, window: int, index: dict[bytes, tuple[bytes, int]], width: int = 8) -> list[tuple[int, int]]:
