@@ -15,10 +15,9 @@ MIN_LANGUAGE_SCORE = 0.05
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that was learned; lang stays as it was given."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    row = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.predict(row, model)
+    found = langid.predict(docs, model)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select("row.*")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnmill.session import new_dir
 
 #: Bytes of text that one step of a vectorised loop holds, unless one text is longer.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

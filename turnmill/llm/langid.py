@@ -91,7 +91,7 @@ class Model:
         return column
 
 
-def _pieces(where: np.ndarray, limit: int = 8_000_000) -> Iterator[np.ndarray]:
+def _pieces(where: np.ndarray, limit: int = 1_000_000) -> Iterator[np.ndarray]:
     """Offsets of the texts, cut so that a piece has a bounded number of bytes. A piece starts two
     bytes before the last one's end, so that no n-gram is lost; presence does not mind repeats."""
     low, high = int(where[0]), int(where[-1])
@@ -195,27 +195,23 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     # Bounded by the landmarks and languages.
     share = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.landmarks, model.weights))
-    packed = base.select(
-        F.struct("*").alias("row"),
-        F.col(text_col).alias("text"),
-        F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letters"),
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*share.value)
         column, names = model.columns(), np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for part in steps(batch):
-                scores = model.scores(*_lower(part.column("text")), column)
-                letters = part.column("letters").to_numpy(zero_copy_only=False)
-                best = np.where(letters, scores.argmax(1), len(names) - 1)
-                score = np.where(letters, scores.max(1).clip(0, 1), 0.0)
+            for part in steps(batch, text_col):
+                text = part.column(text_col)
+                scores = model.scores(*_lower(text), column)
+                found = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+                best = np.where(found, scores.argmax(1), len(names) - 1)
+                score = np.where(found, scores.max(1).clip(0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(names[best], pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
+                    [*part.columns, pa.array(names[best], pa.string()), pa.array(score)],
+                    [*part.schema.names, "lang_pred", "score"],
                 )
 
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return packed.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+    return base.mapInArrow(run, base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).schema)
 
 
 @query("op4_string_kernel_language")

@@ -8,13 +8,16 @@ neighbours on the curve, which are alike, share sequences, and only the last seq
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +29,45 @@ from turnmill.llm.registry import query
 SIZE = 4096
 END = 2
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a task remembers.
+REMEMBERED = 400_000
 _SEGMENT = 1_000_000
+#: Fixed values of the tokenizer's file: how it splits, and the strings that it takes whole.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_CONTROL = b"<|"
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself if it is a
+    visible Latin-1 character, else the next one from U+0100 on."""
+    seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
-    """Token ids of texts. This tokenizer drops white space and looks at one word at a time, so a
-    word's ids are the same in every text and are remembered; texts with a control string's opening
-    go to the tokenizer whole."""
+    """Token ids of texts.
+
+    The tokenizer drops white space and looks at one word at a time, so a word's ids are the same
+    in every text and are remembered. New words of Latin letters are split here, by the tokenizer's
+    own pattern, and only their new pieces go to its merges; other words, and texts with a control
+    string's opening, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.symbols = _byte_symbols()
 
     def encode(self, text: bytes) -> np.ndarray:
-        if b"<|" in text:
+        if _CONTROL in text:
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
         out, start = [], 0
         while start < len(text):
@@ -60,15 +86,29 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            if len(self.pieces) > REMEMBERED:
+                self.pieces.clear()
+            for w in set(words).difference(known):
+                known[w] = self._word(w)
             return b"".join([known[w] for w in words])
 
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._piece(word.lower().decode())
+        if word[:-1].isalpha() and word[-1] in b".,;:!?":
+            return self._piece(word[:-1].lower().decode()) + self._piece(chr(word[-1]))
+        text = unicodedata.normalize("NFC", word.decode())
+        # Printable characters up to U+024F, but for U+0130, are the same in all Unicode tables.
+        if not text.isprintable() or max(text) > "\u024f" or "\u0130" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._piece(x) for x in _SPLIT.findall(text.lower())])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        return ids
 
 
 def _signs() -> np.ndarray:
@@ -116,7 +156,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """row_id, doc_id, key, n, ids (little-endian 32-bit, the end id last) for every row, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([END], "<u4")
+        enc, end = Encoder(path), np.array([END], "<u4")
         for batch in batches:
             for part in steps(batch):
                 data, offsets = flat(part.column("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from turnmill.llm.common import Hashes, cut, flat, mixed, ranges, runs, steps
 
 #: Windows that one vectorised step looks at.
-PART = 2_000_000
+PART = 1_000_000
 #: Open blocks of one anchor whose symbols may meet in one task.
 OPEN = 2_000
 
