@@ -139,7 +139,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, moved: float = MOVED,
             b = np.arange(k)
             cross = t[b, b]
             gain += _xlogx(cross + row[b] + col[b] + own) - _xlogx(rows[b, b]) - _xlogx(cols[b, b]) + _xlogx(cross)
-            out, in_ = t.sum(1)[:k], t.sum(0)[:k]
+            # Whatever the target, each class has again its bigrams with the word.
+            out, in_ = (t.sum(1) + col)[:k], (t.sum(0) + row)[:k]
             gain -= _xlogx(out + row.sum() + own) - _xlogx(out) + _xlogx(in_ + col.sum() + own) - _xlogx(in_)
             best = int(gain.argmax())
             if gain[best] <= gain[old] + 1e-9:
@@ -180,8 +181,9 @@ def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, clustered: int = C
     """A model of training texts, whose token counts are given."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = int(total[0] or 0), int(total[1])
-    # The `head` most frequent tokens, ties by hash: the driver gets that many rows at most.
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
+    # A text's end and the most frequent words, ties by hash: the driver gets `head` rows at most.
+    end_hash = int(np.uint64(END).view(np.int64))
+    top = counts.orderBy(F.col("h") != end_hash, F.desc("c"), "h").limit(head).toArrow()
     h = top["h"].to_numpy().view(np.uint64)
     c = top["c"].to_numpy()
     words = h != np.uint64(END)

@@ -44,7 +44,7 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> int:
     any stretch of text; budget + 1 if that is more than budget."""
     high = 1 << (m - 1)
     all_ = (1 << m) - 1
-    plus, minus, score, best = all_, 0, m, budget + 1
+    plus, minus, score, best = all_, 0, m, min(m, budget + 1)
     for c in text:
         eq = masks.get(c, 0)
         xv = eq | minus

@@ -104,8 +104,8 @@ def _pieces(where: np.ndarray, limit: int = 1_000_000) -> Iterator[np.ndarray]:
 
 
 def training(doc_id: Column, lang: Column) -> Column:
-    """Whether a row is learned from: a language, and crc32 of the id as text mod 4 not 2."""
-    return lang.isNotNull() & ~held_out(doc_id)
+    """Whether a row is learned from: a language, an id, and crc32 of the id as text mod 4 not 2."""
+    return lang.isNotNull() & doc_id.isNotNull() & ~held_out(doc_id)
 
 
 def held_out(doc_id: Column) -> Column:

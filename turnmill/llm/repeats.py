@@ -84,18 +84,18 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _repeated(anchor, variant, doc, within: bool) -> np.ndarray:
-    """Whether a row, of rows sorted by anchor, variant, doc, loc, has an equal one before it;
-    unless within, one in a smaller document."""
+def _repeated(anchor, variant, doc, loc, within: bool) -> np.ndarray:
+    """Whether a row, of rows sorted by anchor, variant, doc, loc, has an equal one at an earlier
+    place; unless within, one in a smaller document."""
     first = _first_of(anchor, variant)
-    return np.arange(len(first)) != first if within else doc > doc[first]
+    return (doc != doc[first]) | (within & (loc != loc[first]))
 
 
 def _settle(doc, loc, n, anchor, variant, within: bool) -> pa.RecordBatch:
     """Rows for match(): known repeats joined to long stretches under a random key, then the rest."""
     order = np.lexsort((loc, doc, variant, anchor))
     done = np.zeros(len(order), bool)
-    done[order] = _repeated(anchor[order], variant[order], doc[order], within)
+    done[order] = _repeated(anchor[order], variant[order], doc[order], loc[order], within)
     d, o, c = doc[done], loc[done], n[done]
     keep = np.lexsort((o, d))
     d, o, c = d[keep], o[keep], c[keep]
@@ -126,7 +126,7 @@ def match(blocks: DataFrame, within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (anchor, variant, doc, loc, n, done) in runs(batches, "anchor"):
             done = done.astype(bool)
-            repeat = _repeated(anchor, variant, doc, within) & ~done
+            repeat = _repeated(anchor, variant, doc, loc, within) & ~done
             kinds = np.flatnonzero(_first_of(anchor, variant) == np.arange(len(anchor)))
             owner = _first_of(anchor)
             several = np.bincount(owner[kinds], minlength=len(anchor))[owner] > 1
@@ -234,7 +234,8 @@ def repeated_spans(
                     if len(group) > 1:
                         yield solved()
                     group, key = [], row[0]
-                group.append(row[1:])
+                if not group or row[1:3] != group[-1][:2]:  # rows of docs that are equal give it twice
+                    group.append(row[1:])
         if len(group) > 1:
             yield solved()
 
