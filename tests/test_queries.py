@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from turnmill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "pages", "conversations", "embeddings", "events"]
@@ -28,7 +29,7 @@ def rows(table):
     return names, sorted(tuple(cell(r[n]) for n in names) for r in table.to_pylist())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, SF).toArrow()
     sql = entry.oracle_sql()[name]

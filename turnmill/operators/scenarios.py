@@ -28,11 +28,12 @@ ROLEPLAY_PROMPT = (
 )
 
 
-def case_id(case: Column, pos: Column) -> Column:
-    """Own id as text, else case_0001 … by place."""
-    return F.coalesce(
-        variant_text(first_given(case, ID_NAMES)), F.format_string("case_%04d", pos + 1)
-    )
+def case_id(case: Column, pos: Column, source_file: Column | None = None) -> Column:
+    """Own id as text, else case_0001 … by place, after the name of the file where there is one."""
+    made = F.format_string("case_%04d", pos + 1)
+    if source_file is not None:
+        made = F.concat(F.coalesce(F.concat(source_file, F.lit("/")), F.lit("")), made)
+    return F.coalesce(variant_text(first_given(case, ID_NAMES)), made)
 
 
 def field_text(case: Column, names: list[str]) -> Column:
@@ -61,7 +62,9 @@ def normalize_cases(cases: DataFrame) -> DataFrame:
     """(pos, case) to case_id, scenario_context, character_profile, police_turns, error."""
     dialogue = F.col("_dialogue")
     shaped = cases.withColumn("_dialogue", first_given(F.col("case"), DIALOGUE_NAMES)).select(
-        case_id(F.col("case"), F.col("pos")).alias("case_id"),
+        case_id(
+            F.col("case"), F.col("pos"), F.col("source_file") if "source_file" in cases.columns else None
+        ).alias("case_id"),
         field_text(F.col("case"), CONTEXT_NAMES).alias("scenario_context"),
         field_text(F.col("case"), PROFILE_NAMES).alias("character_profile"),
         F.when(variant_kind(dialogue) == ARRAY, police_turns(dialogue)).alias("_turns"),

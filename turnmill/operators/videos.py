@@ -76,11 +76,11 @@ def normalize_videos(raw: DataFrame) -> DataFrame:
         .alias("title"),
         F.when(restricted, url).otherwise(F.coalesce("webpage_url", F.lit(""))).alias("url"),
         open_only(F.coalesce("uploader", F.lit("Unknown"))).alias("uploader"),
-        open_only(F.col("view_count").try_cast("bigint")).alias("views"),
+        open_only(F.col("view_count").try_cast("double").try_cast("bigint")).alias("views"),
         open_only(F.to_date(F.try_to_timestamp("upload_date", F.lit("yyyyMMdd")))).alias(
             "upload_date"
         ),
-        open_only(F.coalesce(F.col("duration").try_cast("int"), F.lit(0))).alias("duration_sec"),
+        open_only(F.coalesce(F.col("duration").try_cast("double").try_cast("int"), F.lit(0))).alias("duration_sec"),
         F.when(restricted, F.lit(RESTRICTED_DESCRIPTION))
         .otherwise(short_description("description"))
         .alias("description"),

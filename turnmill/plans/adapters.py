@@ -79,7 +79,7 @@ def raw_videos(spark: SparkSession, sf: str) -> DataFrame:
         (i + 1).cast("int").alias("index"),
         F.concat(F.lit("v"), i).alias("video_id"),
         keep(F.concat(F.lit("https://video.example/"), i), 5).alias("webpage_url"),
-        keep(F.substring("text", 1, 40), 23).alias("title"),
+        keep(F.col("text"), 23).alias("title"),
         keep(F.col("source"), 11).alias("uploader"),
         F.when(i % 13 == 0, "N/A").otherwise((i * 7).cast("string")).alias("view_count"),
         F.concat(F.lit("202401"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("upload_date"),
@@ -93,7 +93,7 @@ def channel_videos(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.concat("source", F.lit(CHANNEL_FILE_SUFFIX)).alias("source_file"),
         "doc_id",
-        F.when(F.col("doc_id") % 23 != 0, F.substring("text", 1, 40)).alias("title"),
+        F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("title"),
         F.col("n_chars").cast("int").alias("duration_sec"),
     )
     return dense_index(docs, "source_file", "doc_id", "index")
@@ -118,7 +118,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     for n, (name, mark) in enumerate(TRANSCRIPT_MARKS.items(), 1):
         cell = cell.when(i % 9 == n, mark + ("x]" if name in ("rate_limited", "error") else ""))
     return table(spark, sf, "pages").select(
-        i.alias("id"), cell.otherwise(F.substring("html", 1, 60)).alias("transcript")
+        i.alias("id"), cell.otherwise(F.col("html")).alias("transcript")
     )
 
 
@@ -128,7 +128,7 @@ def transcript_candidates(spark: SparkSession, sf: str) -> DataFrame:
     made = lambda lang, p: F.struct(
         F.lit(lang).alias("lang"),
         F.lit(p).alias("priority"),
-        F.concat(F.lit(f"{lang}: "), F.substring("html", 1, 40)).alias("text"),
+        F.concat(F.lit(f"{lang}: "), "html").alias("text"),
     )
     both = F.array_compact(
         F.array(F.when(i % 4 != 0, made("en", 1)), F.when(i % 12 != 0, made("en-auto", 2)))
@@ -247,12 +247,14 @@ def transcriptions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """The nested records as response text, some cut short."""
+    """The nested records as response text, and beside those of one in seven a broken copy."""
     whole = F.to_json(F.struct("task1_transcripts", "task2_speakers"))
     made = transcriptions(spark, sf)
-    cut = F.split_part("video_id", F.lit("_"), F.lit(1)).cast("bigint") % 7 == 0
-    return made.select(
-        "video_id", F.when(cut, F.substring(whole, 1, 30)).otherwise(whole).alias("response")
+    broken = F.split_part("video_id", F.lit("_"), F.lit(1)).cast("bigint") % 7 == 0
+    return made.select("video_id", whole.alias("response")).union(
+        made.filter(broken).select(
+            F.concat("video_id", F.lit("_broken")), F.substring(whole, F.lit(1), F.length(whole) - 2)
+        )
     )
 
 
@@ -470,9 +472,9 @@ def chat_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_history(spark: SparkSession, sf: str) -> DataFrame:
-    """click and view events as loss and eval_loss of runs."""
+    """All events as the history of runs: click and view as loss and eval_loss, others without."""
     kind = F.col("event_type")
-    return table(spark, sf, "events").filter(kind.isin("click", "view")).select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("step"),
         F.when(kind == "click", F.col("value")).alias("loss"),
@@ -498,15 +500,15 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """embeddings as token vectors of pairs; some pairs lack one side."""
+    """embeddings as token vectors of pairs; all of some pairs are on one side."""
     v = F.col("vec_id")
-    one_sided = (F.expr("vec_id div 10") % 9 == 4) & (v % 2 == 1)
-    return table(spark, sf, "embeddings").filter(~one_sided).select(
+    one_sided = F.expr("vec_id div 10") % 9 == 4
+    return table(spark, sf, "embeddings").select(
         F.expr("vec_id div 10").alias("pair_id"),
         F.when(F.expr("vec_id div 10") % 2 == 0, "echo_base")
         .otherwise("echo_finetuned")
         .alias("model_name"),
-        F.when(v % 2 == 0, "pred").otherwise("ref").alias("side"),
+        F.when((v % 2 == 0) | one_sided, "pred").otherwise("ref").alias("side"),
         F.expr("(vec_id % 10) div 2").cast("int").alias("pos"),
         F.col("embedding").alias("vec"),
     )

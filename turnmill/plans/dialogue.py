@@ -167,17 +167,16 @@ def clean_reply(spark, sf):
 
 @query(
     "clean_text",
-    f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN ' ' ELSE trim(text, {WS}) END AS text
-FROM conversations""",
+    f"""SELECT conv_id, turn, trim(text, {WS}) AS text FROM conversations
+UNION ALL SELECT conv_id, -1 - turn, ' ' FROM conversations WHERE turn % 4 = 0""",
 )
 def clean_text(spark, sf):
-    blank = F.when(F.col("turn") % 8 == 0, F.lit(None).cast("string")).when(
-        F.col("turn") % 4 == 0, F.lit(" \n\t")
-    )
-    text = blank.otherwise(F.concat(F.lit(" "), "text", F.lit(" \n")))
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", D.clean_text(text).alias("text")
-    )
+    """Every text with blanks around it; beside those of one turn in four, a blank or missing one."""
+    turns = table(spark, sf, "conversations")
+    blank = F.when(F.col("turn") % 8 == 0, F.lit(None).cast("string")).otherwise(" \n\t")
+    padded = turns.select("conv_id", "turn", F.concat(F.lit(" "), "text", F.lit(" \n")).alias("text"))
+    blanks = turns.filter("turn % 4 = 0").select("conv_id", -1 - F.col("turn"), blank)
+    return padded.union(blanks).select("conv_id", "turn", D.clean_text(F.col("text")).alias("text"))
 
 
 @query(

@@ -112,11 +112,13 @@ def export_dialogue_txt(spark, sf):
 
 @query(
     "read_transcriptions",
-    """SELECT concat(conv_id, '_', turn // 64) AS video_id, conv_id % 7 <> 0 AS parsed,
-  CAST(CASE WHEN conv_id % 7 = 0 THEN 0 ELSE count(*) END AS INT) AS n_segments,
-  CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 2 END AS n_speakers,
-  CASE WHEN conv_id % 7 <> 0 THEN arg_min(text, turn) END AS first_text
-FROM conversations GROUP BY conv_id, turn // 64""",
+    """SELECT concat(conv_id, '_', turn // 64) AS video_id, true AS parsed,
+  CAST(count(*) AS INT) AS n_segments, 2 AS n_speakers,
+  string_agg(text, chr(30) ORDER BY turn) AS texts
+FROM conversations GROUP BY conv_id, turn // 64
+UNION ALL
+SELECT DISTINCT concat(conv_id, '_', turn // 64, '_broken'), false, 0, 0, ''
+FROM conversations WHERE conv_id % 7 = 0""",
 )
 def read_transcriptions(spark, sf):
     return D.read_response(A.responses(spark, sf)).select(
@@ -124,7 +126,7 @@ def read_transcriptions(spark, sf):
         "parsed",
         F.size("task1_transcripts").alias("n_segments"),
         F.size("task2_speakers").alias("n_speakers"),
-        F.try_element_at("task1_transcripts", F.lit(1))["text"].alias("first_text"),
+        F.array_join(F.transform("task1_transcripts", lambda s: s["text"]), "\x1e").alias("texts"),
     )
 
 

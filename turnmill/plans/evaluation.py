@@ -304,13 +304,13 @@ def judge_model_summary(spark, sf):
 metric_summary AS (
   SELECT model_name, round(avg(rouge_l), 6) AS avg_rouge_l, round(avg(bleu_4), 6) AS avg_bleu_4,
     round(avg(meteor), 6) AS avg_meteor, round(avg(embedding_f1), 6) AS avg_embedding_f1
-  FROM scored WHERE model_name <> 'repeat_base' GROUP BY model_name)
+  FROM scored GROUP BY model_name)
 SELECT model_name, avg_rouge_l, avg_bleu_4, avg_meteor, avg_embedding_f1, avg_realism_score,
   avg_look_real, avg_deescalation_score
 FROM metric_summary FULL JOIN judge_summary USING (model_name)""",
 )
 def metric_vs_judge(spark, sf):
-    metrics = M.metric_model_summary(scored(spark, sf).filter("model_name <> 'repeat_base'"))
+    metrics = M.metric_model_summary(scored(spark, sf))
     return _rounded(M.metric_vs_judge(metrics, M.judge_model_summary(flat(spark, sf))))
 
 

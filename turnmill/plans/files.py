@@ -40,7 +40,7 @@ def read_raw_metadata(spark, sf):
 
 @query(
     "read_channel_videos",
-    """SELECT CASE WHEN doc_id % 23 <> 0 THEN substring(text, 1, 40) END AS title,
+    """SELECT CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
   CASE WHEN doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
   CAST(n_chars AS INT) AS duration_sec, text AS description, '2024-01-31' AS upload_date
 FROM documents""",
@@ -49,7 +49,7 @@ def read_channel_videos(spark, sf):
     """Channel rows as CSV with their line breaks and quotes, and 'N/A' where nothing is known."""
     out, i = new_dir(spark, "channels"), F.col("doc_id")
     rows = table(spark, sf, "documents").select(
-        F.when(i % 23 != 0, F.substring("text", 1, 40)).otherwise("N/A").alias("Title"),
+        F.when(i % 23 != 0, F.col("text")).otherwise("N/A").alias("Title"),
         F.when(i % 13 == 0, "N/A").otherwise((i * 7).cast("string")).alias("Views"),
         F.col("n_chars").alias("Duration (sec)"),
         F.lit("20240131").alias("Upload Date"),
@@ -72,7 +72,9 @@ def read_turns(spark, sf):
 @query("read_manifest", f"WITH {MANIFEST} SELECT id, url, minutes FROM manifest")
 def read_manifest(spark, sf):
     out = new_dir(spark, "manifest")
-    writers.write_table(A.manifest(spark, sf).withColumnRenamed("url", "URL"), out, "csv")
+    # Another order than the reader's, and a column that it does not know.
+    rows = A.manifest(spark, sf).select(F.col("url").alias("URL"), F.lit("t").alias("Title"), "minutes", "id")
+    writers.write_table(rows, out, "csv")
     return readers.read_manifest(spark, out)
 
 

@@ -195,7 +195,7 @@ def training_setups(spark, sf):
 HISTORY = """history AS (
   SELECT user_id AS run_id, event_id AS step, CASE event_type WHEN 'click' THEN value END AS loss,
     CASE event_type WHEN 'view' THEN value END AS eval_loss
-  FROM events WHERE event_type IN ('click', 'view')),
+  FROM events),
 losses AS (
   SELECT run_id, arg_max(loss, step) FILTER (loss IS NOT NULL) AS final_train_loss,
     arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS final_eval_loss

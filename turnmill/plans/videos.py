@@ -35,7 +35,7 @@ def trim_sentinel_rows(spark, sf):
 
 NORMALIZED = """SELECT CAST(doc_id + 1 AS INT) AS index,
   CASE WHEN doc_id % 23 = 0 THEN concat('[RESTRICTED] ID: v', doc_id)
-       ELSE substring(text, 1, 40) END AS title,
+       ELSE text END AS title,
   CASE WHEN doc_id % 5 <> 0 THEN concat('https://video.example/', doc_id)
        WHEN doc_id % 23 = 0 THEN concat('https://www.youtube.com/watch?v=v', doc_id)
        ELSE '' END AS url,
@@ -75,7 +75,7 @@ def restricted_placeholder(spark, sf):
 
 @query(
     "drop_null_entries",
-    """SELECT doc_id AS id, substring(text, 1, 40) AS entry FROM documents WHERE doc_id % 23 <> 0""",
+    """SELECT doc_id AS id, text AS entry FROM documents WHERE doc_id % 23 <> 0""",
 )
 def drop_null_entries(spark, sf):
     entries = A.raw_videos(spark, sf).select(
@@ -114,7 +114,7 @@ def extract_video_id(spark, sf):
 
 VIDEOS = """videos AS (
   SELECT concat(source, '_metadata_and_transcripts.csv') AS source_file, doc_id,
-    CASE WHEN doc_id % 23 <> 0 THEN substring(text, 1, 40) END AS title,
+    CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
     CAST(n_chars AS INT) AS duration_sec,
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index, source
   FROM documents)"""
@@ -150,11 +150,11 @@ def merge_counts(spark, sf):
 
 @query(
     "join_snippets",
-    """SELECT page_id AS id, concat(substring(url, 1, 5), ' ', page_id, ' ', substring(url, 6, 9)) AS transcript
+    """SELECT page_id AS id, concat(substring(url, 1, 5), ' ', page_id, ' ', substring(url, 6)) AS transcript
 FROM pages""",
 )
 def join_snippets(spark, sf):
-    parts = [F.substring("url", 1, 5), F.col("page_id").cast("string"), F.substring("url", 6, 9)]
+    parts = [F.substring("url", 1, 5), F.col("page_id").cast("string"), F.expr("substring(url, 6)")]
     return table(spark, sf, "pages").select(
         F.col("page_id").alias("id"),
         V.join_snippets(F.array(*[F.struct(p.alias("text")) for p in parts])).alias("transcript"),
@@ -167,7 +167,7 @@ def join_snippets(spark, sf):
   CASE page_id % 9 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid_url' WHEN 2 THEN 'disabled'
     WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'error' WHEN 5 THEN 'none_found'
     WHEN 6 THEN 'restricted' ELSE 'ok' END AS transcript_status,
-  CASE WHEN page_id % 9 >= 7 THEN substring(html, 1, 60) END AS transcript
+  CASE WHEN page_id % 9 >= 7 THEN html END AS transcript
 FROM pages""",
 )
 def transcript_status(spark, sf):
@@ -178,8 +178,8 @@ def transcript_status(spark, sf):
     "transcript_pick",
     """SELECT page_id AS video_id,
   CASE WHEN page_id % 4 <> 0 THEN 'en' WHEN page_id % 12 <> 0 THEN 'en-auto' END AS lang,
-  CASE WHEN page_id % 4 <> 0 THEN concat('en: ', substring(html, 1, 40))
-       WHEN page_id % 12 <> 0 THEN concat('en-auto: ', substring(html, 1, 40))
+  CASE WHEN page_id % 4 <> 0 THEN concat('en: ', html)
+       WHEN page_id % 12 <> 0 THEN concat('en-auto: ', html)
        ELSE '[No transcript available – manual or automatic]' END AS transcript
 FROM pages""",
 )

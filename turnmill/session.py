@@ -13,6 +13,10 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # For the code page of annotated tables.
+    "spark.sql.legacy.javaCharsets": "true",
+    # Small tables too are spread over all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 

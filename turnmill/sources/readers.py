@@ -13,9 +13,7 @@ from turnmill.functions.json import ARRAY, OBJECT, field, parse, variant_items,
 from turnmill.functions.text import na_to_null
 from turnmill.operators.diarization import IGNORED, PROCESSED
 from turnmill.sources.schemas import (
-    CHANNEL_LIST,
     JUDGE_CASE,
-    MANIFEST,
     RAW_VIDEO,
     TURN_COLUMNS,
     VIDEO_COLUMNS,
@@ -105,7 +103,8 @@ def row_in_file() -> Column:
 
 
 def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHANNEL_LIST).csv(path, header=True)
+    """link, found by its name in each file's header."""
+    return read_csv_by_name(spark, path, ["link"], ["link"]).select("link")
 
 
 def read_channel_videos(
@@ -134,17 +133,25 @@ def read_raw_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotated(spark: SparkSession, path: str, schema: str, encoding: str = "cp1252") -> DataFrame:
-    """Merged transcript and feature table in a Windows code page.
+    """Merged transcript and feature table in a Windows code page; columns are found by name.
 
-    Sets spark.sql.legacy.javaCharsets, which the code page needs. Read it once and keep Parquet.
+    A column that the file lacks is NULL, others are left out, and a value that its type cannot
+    hold is NULL. The code page needs spark.sql.legacy.javaCharsets, which session.RECOMMENDED
+    sets. Read the table once and keep Parquet.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.schema(schema).options(**CSV_TEXT, encoding=encoding).csv(path)
+    raw = spark.read.options(**CSV_TEXT, encoding=encoding).csv(path)
+    return raw.select(
+        *[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in T.StructType.fromDDL(schema)
+        ]
+    )
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """id (always text), url, minutes."""
-    return spark.read.schema(MANIFEST).csv(path, header=True).withColumnRenamed("URL", "url")
+    """id (always text), url, minutes, found by their names in each file's header."""
+    raw = read_csv_by_name(spark, path, ["id", "URL", "minutes"], ["id"])
+    return raw.select("id", F.col("URL").alias("url"), F.col("minutes").try_cast("double").alias("minutes"))
 
 
 def read_status_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
@@ -198,9 +205,19 @@ def scenario_items(v: Column) -> Column:
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario files as (pos, case), pos counting from 0 in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    return whole.select(F.posexplode(scenario_items(F.col("v"))).alias("pos", "case"))
+    """Scenario files as (source_file, pos, case), pos counting from 0 in each file.
+
+    source_file is NULL when the path holds a single file; else normalize_cases puts it into the
+    ids that it makes, which would be the same in every file.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.parse_json("value").alias("v"), file_part("file_name").alias("file")
+    )
+    several = len(files.inputFiles()) > 1
+    return files.select(
+        F.col("file").alias("source_file") if several else F.lit(None).cast("string").alias("source_file"),
+        F.posexplode(scenario_items(F.col("v"))).alias("pos", "case"),
+    )
 
 
 def read_judge_cases(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:

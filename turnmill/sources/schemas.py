@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-CHANNEL_LIST = "link string"
-
 # Column names of the channel files, and their names here.
 VIDEO_COLUMNS = {
     "Index": "index",
@@ -22,8 +20,6 @@ RAW_VIDEO = (
     "view_count string, upload_date string, duration string, description string"
 )
 
-MANIFEST = "id string, URL string, minutes double"
-
 SEGMENTS = "array<struct<start string, text string, voice int>>"
 SPEAKERS = (
     "array<struct<voice int, name string, company string, position string, "

@@ -26,10 +26,14 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_by_model(df: DataFrame, path: str, text_column: str | None = None) -> None:
-    """JSON lines per model under <path>/json, and the transcripts as text under <path>/txt."""
+    """JSON lines per model under <path>/json, and the transcripts as text under <path>/txt.
+
+    df is evaluated once: the text is made from the JSON that was written.
+    """
     df.write.mode("overwrite").partitionBy("model_name").json(f"{path}/json")
     if text_column:
-        df.select("model_name", F.col(text_column).alias("value")).write.mode(
+        written = df.sparkSession.read.schema(df.schema).json(f"{path}/json")
+        written.select("model_name", F.col(text_column).alias("value")).write.mode(
             "overwrite"
         ).partitionBy("model_name").text(f"{path}/txt")
 

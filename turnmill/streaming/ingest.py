@@ -28,7 +28,10 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Status rows of all batches; none when nothing ran yet."""
     try:
         return spark.read.schema(STATUS_ROWS).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        # Only a table that is not there means that nothing ran: any other fault must not redo all.
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], STATUS_ROWS)
 
 
@@ -50,7 +53,10 @@ def process_batch(
     once = batch.groupBy("id").agg(F.max(F.struct("minutes", "url")).alias("_v")).select(
         "id", "_v.url", "_v.minutes"
     )
-    fresh = duration_guard(pending_videos(once, before), limit)
+    # Written once: results and ignored rows both come from it.
+    guarded = f"{out}/guarded/batch_id={batch_id}"
+    duration_guard(pending_videos(once, before), limit).write.mode("overwrite").parquet(guarded)
+    fresh = spark.read.parquet(guarded)
     results = process(fresh.filter("not too_long").drop("too_long"))
     results.write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}")
     written = spark.read.schema(results.schema).parquet(f"{out}/results/batch_id={batch_id}")
