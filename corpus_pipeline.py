@@ -13,11 +13,13 @@ MIN_LANGUAGE_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language that was learned; lang stays as it was given."""
+    """Rows in a language that was learned; lang and columns named as the prediction's stay as given."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model)
+    mark = "_".join(docs.columns)  # no column has this name, or one that ends in it
+    aside = {c: f"{c}_{mark}" for c in docs.columns if c in ("lang_pred", "score")}
+    found = langid.predict(docs.withColumnsRenamed(aside), model)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

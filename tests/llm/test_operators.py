@@ -377,3 +377,10 @@ def test_pipeline(spark, docs, none):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for table in (docs, none):
             assert stage(spark, table, SF).columns == docs.columns
+
+
+def test_language_stage_keeps_columns_of_its_own_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "concat('s', doc_id) AS score", "doc_id AS lang_pred")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.schema == docs.schema and kept.where("score <> concat('s', doc_id) OR lang_pred <> doc_id").count() == 0
+    assert kept.count() > 0

@@ -203,16 +203,13 @@ def places(tokens: DataFrame) -> DataFrame:
         .mapInArrow(run, "row_id long, n long, start long, part int"),
         "line",
     )
-    # One row for each task of the sort.
-    totals = sorted(line.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    base, before = {}, 0
-    for part, n in totals:
-        base[part] = before
+    # One row for each task of the sort: what is collected and broadcast has no more.
+    base, before = [], 0
+    for part, n in sorted(line.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        base.append((part, before))
         before += n
-    if not base:
-        return line.select("row_id", F.col("start").alias("place"))
-    known = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    return line.select("row_id", (F.col("start") + known[F.col("part")]).alias("place"))
+    begins = line.sparkSession.createDataFrame(base, "part int, base long")
+    return line.join(F.broadcast(begins), "part").select("row_id", (F.col("start") + F.col("base")).alias("place"))
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
