@@ -180,6 +180,12 @@ def test_embedding_f1_against_matrix(spark):
     assert abs(S.embedding_f1(same).first().f1 - 1.0) < 1e-12
 
 
+def test_pair_f1_does_not_depend_on_blocks():
+    draw = np.random.default_rng(4)
+    pred, ref = draw.normal(size=(23, 4)).tolist(), draw.normal(size=(17, 4)).tolist()
+    assert np.allclose(S._pair_f1(pred, ref, 5), S._pair_f1(pred, ref))
+
+
 def test_failed_predictions_are_not_scored(spark):
     df = spark.createDataFrame(
         [("a b", "a b", None), (None, "a b", "down"), ("", "x", None)],

@@ -102,11 +102,19 @@ def score_encoded_f1(
     )
 
 
-def _pair_f1(pred: list, ref: list) -> tuple[float, float, float]:
+def _pair_f1(pred: list, ref: list, block: int = 1024) -> tuple[float, float, float]:
+    """Two blocks of vectors meet at a time, so a long text needs no whole matrix of cosines."""
     if not len(pred) or not len(ref):
         return 0.0, 0.0, 0.0
-    cosines = _normalized(pred) @ _normalized(ref).T
-    precision, recall = cosines.max(axis=1).mean(), cosines.max(axis=0).mean()
+    best_pred, best_ref = np.full(len(pred), -np.inf), np.full(len(ref), -np.inf)
+    for j in range(0, len(ref), block):
+        theirs = _normalized(ref[j : j + block]).T
+        for i in range(0, len(pred), block):
+            cosines = _normalized(pred[i : i + block]) @ theirs
+            own, other = best_pred[i : i + block], best_ref[j : j + block]
+            np.maximum(own, cosines.max(axis=1), out=own)
+            np.maximum(other, cosines.max(axis=0), out=other)
+    precision, recall = best_pred.mean(), best_ref.mean()
     total = precision + recall
     return precision, recall, 2 * precision * recall / total if total else 0.0
 

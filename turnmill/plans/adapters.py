@@ -95,6 +95,8 @@ def channel_videos(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("title"),
         F.col("n_chars").cast("int").alias("duration_sec"),
+        F.concat(F.lit("About "), "text").alias("description"),
+        F.col("text").alias("transcript"),
     )
     return dense_index(docs, "source_file", "doc_id", "index")
 
@@ -320,7 +322,8 @@ def raw_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scenario_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as scenario cases (pos, case) in five spellings."""
+    """User turns as scenario cases (pos, case) in five spellings; beside one in eleven, a case
+    under its own id whose dialogue is no list."""
     kind = F.col("conv_id") % 5
     text = F.col("text")
 
@@ -359,14 +362,15 @@ def scenario_cases(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, F.lit("officer_dialogue"))
         .otherwise(F.lit("officer_turns"))
     )
-    listed = F.when(
-        (F.col("conv_id") % 11) == 10, F.lit('"not a list"')
-    ).otherwise(F.concat(F.lit('[" ",'), F.array_join("items", ","), F.lit("]")))
-    record = F.concat(
-        F.lit("{"), ident, context, profile, F.lit('"'), name, F.lit('":'), listed, F.lit("}")
-    )
-    return blocks(spark, sf, bare, F.col("role") == "user").select(
-        F.col("conv_id").cast("int").alias("pos"), F.parse_json(record).alias("case")
+    listed = F.concat(F.lit('[" ",'), F.array_join("items", ","), F.lit("]"))
+    record = lambda own, turns: F.parse_json(F.concat(
+        F.lit("{"), own, context, profile, F.lit('"'), name, F.lit('":'), turns, F.lit("}")
+    ))
+    bad = record(F.concat(F.lit('"case_id":"bad_'), block_id(), F.lit('",')), F.lit('"not a list"'))
+    made = blocks(spark, sf, bare, F.col("role") == "user")
+    pos = F.col("conv_id").cast("int").alias("pos")
+    return made.select(pos, record(ident, listed).alias("case")).union(
+        made.filter("conv_id % 11 = 10").select(pos, bad)
     )
 
 
@@ -402,20 +406,22 @@ def judge_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw judge answers per conversation and model: plain, fenced, wrapped and broken JSON."""
-    conv = (
-        table(spark, sf, "conversations")
-        .filter("turn = 0")
-        .select("conv_id", F.explode(F.array(*[
-            F.struct(F.lit(m).alias("m"), F.lit(s.model_name).alias("model_name"))
-            for m, s in enumerate(BASELINES)])).alias("_m"))
-        .select("conv_id", "_m.*")
-    )
-    i, m = F.col("conv_id"), F.col("m")
-    score, base = (i * 37 + m * 11) % 101, (i * 13 + m * 29) % 101
+    """Raw judge answers for every block of every conversation and model, which quote the block and
+    score it by its length: plain, fenced and wrapped JSON. Beside those of one conversation in six,
+    answers that cannot be used."""
+    block = blocks(
+        spark, sf, F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    ).select("conv_id", block_id().alias("block_id"), F.array_join("items", "\n").alias("text"))
+    models = F.array(*[
+        F.struct(F.lit(m).alias("m"), F.lit(s.model_name).alias("model_name"))
+        for m, s in enumerate(BASELINES)])
+    conv = block.select("*", F.explode(models).alias("_m")).select("conv_id", "block_id", "text", "_m.*")
+    i, m, n = F.col("conv_id"), F.col("m"), F.length("text")
+    score, base = (n * 37 + m * 11) % 101, (n * 13 + m * 29) % 101
     real = F.when(i % 10 == 0, 1).when(score >= 85, 1).otherwise(0)
     realism = F.concat(
-        F.lit('{"analysis":{"linguistic_style":"ok"},"look_Real":'), real, F.lit(',"Score":'),
+        F.lit('{"analysis":'), F.to_json(F.struct(F.col("text").alias("quote"))),
+        F.lit(',"look_Real":'), real, F.lit(',"Score":'),
         F.when(i % 8 == 5, F.concat(F.lit('"'), score, F.lit('"'))).otherwise(score.cast("string")),
         F.lit("}"),
     )
@@ -436,20 +442,22 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = (
         F.when(i % 6 == 1, F.concat(F.lit("```json\n"), realism, F.lit("\n```")))
         .when(i % 6 == 2, F.concat(F.lit("Here you are: "), realism, F.lit(" Done.")))
-        .when(i % 12 == 3, F.lit("no verdict"))
-        .when(i % 12 == 9, F.lit("{broken"))
         .otherwise(realism)
     )
-    return conv.select(
-        i.cast("string").alias("case_id"),
-        "model_name",
-        wrapped.alias("realism_raw"),
-        deescalation.alias("deescalation_raw"),
+    useless = F.when(i % 12 == 3, "no verdict").otherwise("{broken")
+    answer = lambda case, raw: F.struct(case.alias("case_id"), raw.alias("realism_raw"))
+    answers = F.array(
+        answer(F.col("block_id"), wrapped),
+        F.when(i % 6 == 3, answer(F.concat("block_id", F.lit("_broken")), useless)),
     )
+    return conv.select(
+        F.explode(F.array_compact(answers)).alias("_a"), "model_name", deescalation.alias("deescalation_raw")
+    ).select("_a.case_id", "model_name", "_a.realism_raw", "deescalation_raw")
 
 
 def chat_records(spark: SparkSession, sf: str) -> DataFrame:
-    """conversations as JSON chat records in several spellings, some not valid."""
+    """conversations as JSON chat records in two spellings; beside some, records of one message
+    without a list, and records that are not valid, under ids of their own."""
     kind = F.col("conv_id") % 8
     other = F.when(F.col("role") == "user", "human").when(
         F.col("role") == "assistant", "gpt"
@@ -459,16 +467,17 @@ def chat_records(spark: SparkSession, sf: str) -> DataFrame:
     item = F.when(F.col("conv_id") % 2 == 0, F.to_json(standard)).otherwise(F.to_json(sharegpt))
     key = F.when(F.col("conv_id") % 2 == 0, "messages").otherwise("conversations")
     listed = F.array_join("items", ",")
-    value = (
-        F.when(kind == 6, F.concat(F.lit("["), listed, F.lit(',"stray"]')))
-        .when(kind == 7, F.lit('"text only"'))
-        .when(kind == 5, F.element_at("items", 1))
-        .otherwise(F.concat(F.lit("["), listed, F.lit("]")))
-    )
-    return blocks(spark, sf, item).select(
-        block_id().alias("record_id"),
+    made = lambda end, value: F.struct(
+        F.concat(block_id(), F.lit(end)).alias("record_id"),
         F.concat(F.lit('{"'), key, F.lit('":'), value, F.lit("}")).alias("record"),
     )
+    odd = (
+        F.when(kind == 5, made("_one", F.element_at("items", 1)))
+        .when(kind == 6, made("_stray", F.concat(F.lit("["), listed, F.lit(',"stray"]'))))
+        .when(kind == 7, made("_text", F.lit('"text only"')))
+    )
+    records = F.array_compact(F.array(made("", F.concat(F.lit("["), listed, F.lit("]"))), odd))
+    return blocks(spark, sf, item).select(F.explode(records).alias("_r")).select("_r.*")
 
 
 def training_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -495,6 +504,9 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
             F.col("n").alias("eval_samples"),
             (F.col("first") * 3).cast("double").alias("duration_sec"),
             F.when(F.col("run_id") % 6 == 0, "failed").otherwise("success").alias("status"),
+            F.concat(F.lit("org/model_"), F.col("run_id") % 7).alias("hf_model_id"),
+            (F.col("run_id") % 5 + 1).cast("int").alias("epochs"),
+            F.concat(F.lit("checkpoints/"), "run_id").alias("checkpoint_dir"),
         )
     )
 

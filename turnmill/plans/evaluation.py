@@ -17,22 +17,26 @@ from turnmill.plans.registry import query
 # conv_id decides the spelling of a case: see adapters.scenario_cases.
 CASES = f"""users AS (
   SELECT conv_id, turn // 64 AS block, turn, text FROM conversations WHERE role = 'user'),
-heads AS (SELECT DISTINCT conv_id, block FROM users),
+heads AS (
+  SELECT DISTINCT conv_id, block, bad FROM users CROSS JOIN (VALUES (false), (true)) b(bad)
+  WHERE NOT bad OR conv_id % 11 = 10),
 cases AS (
-  SELECT conv_id, block,
+  SELECT conv_id, block, bad,
+    CASE WHEN bad THEN concat('bad_', conv_id, '_', block) ELSE
     CASE conv_id % 5 WHEN 0 THEN concat('c', conv_id, '_', block)
       WHEN 1 THEN CAST(conv_id AS VARCHAR)
       ELSE concat('case_', lpad(CAST(conv_id + 1 AS VARCHAR),
-        CAST(greatest(4, length(CAST(conv_id + 1 AS VARCHAR))) AS INT), '0')) END AS case_id,
+        CAST(greatest(4, length(CAST(conv_id + 1 AS VARCHAR))) AS INT), '0')) END END AS case_id,
     CASE conv_id % 5 WHEN 0 THEN 'a street' WHEN 1 THEN 'a shop' WHEN 2 THEN 'a park'
       ELSE '' END AS scenario_context,
     CASE conv_id % 5 WHEN 0 THEN '{{"age":30,"mood":"calm"}}' WHEN 1 THEN 'angry'
       WHEN 2 THEN 'tired' WHEN 3 THEN '["a","b"]' ELSE '' END AS character_profile,
-    CASE WHEN conv_id % 11 = 10 THEN 'police_dialogue must be a list.' END AS error
+    CASE WHEN bad THEN 'police_dialogue must be a list.' END AS error
   FROM heads),
 said AS (
-  SELECT conv_id, block, CAST(row_number() OVER w - 1 AS INT) AS turn_index, trim(text, {WS}) AS police
-  FROM users WHERE conv_id % 11 <> 10 WINDOW w AS (PARTITION BY conv_id, block ORDER BY turn))"""
+  SELECT conv_id, block, false AS bad, CAST(row_number() OVER w - 1 AS INT) AS turn_index,
+    trim(text, {WS}) AS police
+  FROM users WINDOW w AS (PARTITION BY conv_id, block ORDER BY turn))"""
 
 
 def cases(spark, sf):
@@ -58,7 +62,7 @@ def case_id(spark, sf):
 
 @query(
     "police_turns",
-    f"WITH {CASES} SELECT case_id, turn_index, police FROM cases JOIN said USING (conv_id, block)",
+    f"WITH {CASES} SELECT case_id, turn_index, police FROM cases JOIN said USING (conv_id, block, bad)",
 )
 def police_turns(spark, sf):
     return cases(spark, sf).select(
@@ -111,7 +115,7 @@ generated AS (
   SELECT case_id, model_name, turn_index, police,
     CASE WHEN model_name = 'repeat_base' THEN ''
       ELSE concat(2 * turn_index + 2, ' ', police) END AS civilian_generated
-  FROM cases JOIN said USING (conv_id, block) CROSS JOIN models)"""
+  FROM cases JOIN said USING (conv_id, block, bad) CROSS JOIN models)"""
 
 
 @query("generate_conversations", f"WITH {GENERATED} SELECT * FROM generated")
@@ -152,12 +156,13 @@ def predict_replies(spark, sf):
     return replies.select("source_file", "turn_index", "model_name", "predicted_response", "error")
 
 
-JUDGED_CASES = """blocks AS (
+BLOCKS = """blocks AS (
   SELECT conv_id, turn // 64 AS block,
     string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS text
-  FROM conversations GROUP BY ALL),
+  FROM conversations GROUP BY ALL)"""
+JUDGED_CASES = f"""{BLOCKS},
 outputs AS (
-  SELECT concat(conv_id, '_', block) AS case_id, model_name, concat('Scene {profile} ', conv_id) AS scenario_context,
+  SELECT concat(conv_id, '_', block) AS case_id, model_name, concat('Scene {{profile}} ', conv_id) AS scenario_context,
     concat('Profile ', conv_id % 4) AS profile, text AS ground_truth,
     concat(model_name, ' ', text) AS target_conversation,
     CASE WHEN conv_id % 3 = m THEN concat(model_name, ' ', text) ELSE concat('T ', text) END
@@ -203,17 +208,20 @@ def render_judge_prompt(spark, sf):
     )
 
 
-VERDICTS = """answers AS (
-  SELECT conv_id AS i, m, model_name, (conv_id * 37 + m * 11) % 101 AS score,
-    (conv_id * 13 + m * 29) % 101 AS base,
+VERDICTS = f"""{BLOCKS},
+answers AS (
+  SELECT concat(conv_id, '_', block, CASE WHEN ok THEN '' ELSE '_broken' END) AS case_id,
+    conv_id AS i, m, model_name, ok, text, (length(text) * 37 + m * 11) % 101 AS score,
+    (length(text) * 13 + m * 29) % 101 AS base,
     CASE conv_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 15 WHEN 2 THEN 20 ELSE 35 END AS points,
     CASE conv_id % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'Repetitive Looping'
       WHEN 2 THEN 'Unrealistic Dialogue' ELSE 'Both' END AS penalty
-  FROM conversations CROSS JOIN
+  FROM blocks CROSS JOIN
     (VALUES (0, 'echo_base'), (1, 'echo_finetuned'), (2, 'repeat_base')) t(m, model_name)
-  WHERE turn = 0),
+  CROSS JOIN (VALUES (true), (false)) u(ok)
+  WHERE ok OR conv_id % 6 = 3),
 flat AS (
-  SELECT CAST(i AS VARCHAR) AS case_id, model_name,
+  SELECT case_id, model_name,
     CASE WHEN ok THEN CAST(score AS DOUBLE) END AS realism_score,
     CASE WHEN ok THEN CASE WHEN i % 10 = 0 OR score >= 85 THEN 1.0::DOUBLE ELSE 0.0 END END AS look_real,
     CASE WHEN ok THEN CAST(CASE WHEN i % 9 = 0 THEN base ELSE greatest(base - points, 0) END AS DOUBLE) END
@@ -224,8 +232,7 @@ flat AS (
     CASE WHEN ok THEN penalty END AS deescalation_penalty_applied,
     CASE WHEN ok THEN NULL WHEN i % 12 = 3 THEN 'Could not find JSON object in response.'
       ELSE 'Broken JSON in response.' END AS error, band, points
-  FROM (SELECT *, NOT (i % 12 IN (3, 9)) AS ok,
-      CASE WHEN base <= 25 THEN 'Escalation' WHEN base <= 50 THEN 'Containment'
+  FROM (SELECT *, CASE WHEN base <= 25 THEN 'Escalation' WHEN base <= 50 THEN 'Containment'
         WHEN base <= 75 THEN 'De-escalation' ELSE 'Resolution' END AS band FROM answers))"""
 
 
@@ -240,9 +247,8 @@ def flatten_judge(spark, sf):
 
 @query(
     "parse_judge_json",
-    f"""WITH {VERDICTS} SELECT CAST(i AS VARCHAR) AS case_id, model_name,
-  CASE WHEN i % 12 NOT IN (3, 9) THEN 'OBJECT' END AS kind,
-  CASE WHEN i % 12 NOT IN (3, 9) THEN CAST(score AS VARCHAR) END AS score
+    f"""WITH {VERDICTS} SELECT case_id, model_name, CASE WHEN ok THEN 'OBJECT' END AS kind,
+  CASE WHEN ok THEN CAST(score AS VARCHAR) END AS score, CASE WHEN ok THEN text END AS quote
 FROM answers""",
 )
 def parse_judge_json(spark, sf):
@@ -252,6 +258,7 @@ def parse_judge_json(spark, sf):
         "model_name",
         variant_kind(F.col("v")).alias("kind"),
         F.try_variant_get("v", "$.Score", "string").alias("score"),
+        F.try_variant_get("v", "$.analysis.quote", "string").alias("quote"),
     )
 
 
@@ -360,17 +367,17 @@ def run_judge(spark, sf):
 
 @query(
     "replay_judge",
-    f"""WITH {VERDICTS} SELECT CAST(c.conv_id AS VARCHAR) AS case_id, t.model_name, f.realism_score,
+    f"""WITH {VERDICTS} SELECT c.case_id, t.model_name, f.realism_score,
   CASE WHEN f.case_id IS NULL THEN 'Empty judge response.' ELSE f.error END AS error
-FROM (SELECT DISTINCT conv_id FROM conversations) c
-CROSS JOIN (VALUES ('echo_base'), ('unseen_model')) t(model_name)
-LEFT JOIN flat f ON f.case_id = CAST(c.conv_id AS VARCHAR) AND f.model_name = t.model_name""",
+FROM (SELECT DISTINCT case_id FROM answers) c
+CROSS JOIN (VALUES ('echo_base'), ('echo_finetuned'), ('repeat_base'), ('unseen_model')) t(model_name)
+LEFT JOIN flat f ON f.case_id = c.case_id AND f.model_name = t.model_name""",
 )
 def replay_judge(spark, sf):
     recorded = A.verdicts(spark, sf)
-    wanted = recorded.filter("model_name = 'echo_base'").select(
-        "case_id",
-        F.explode(F.array(F.lit("echo_base"), F.lit("unseen_model"))).alias("model_name"),
+    names = [*[m.model_name for m in A.BASELINES], "unseen_model"]
+    wanted = recorded.select("case_id").distinct().select(
+        "case_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("model_name")
     )
     return J.flatten_judge(J.replay_judge(wanted, recorded)).select(
         "case_id", "model_name", "realism_score", "error"

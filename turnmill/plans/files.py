@@ -172,18 +172,13 @@ def write_turns(spark, sf):
 
 @query(
     "read_chat_jsonl",
-    f"""WITH {MESSAGES} SELECT role, count(*) AS n, sum(length(content))::BIGINT AS n_chars
-FROM messages GROUP BY role""",
+    f"""WITH {MESSAGES} SELECT pos, role, content FROM messages""",
 )
 def read_chat_jsonl(spark, sf):
     out = new_dir(spark, "chat")
     A.chat_records(spark, sf).select("record").write.text(out)
     valid = C.coerce_conversation(readers.read_chat_jsonl(spark, out)).filter("valid")
-    return (
-        valid.select(F.inline("messages"))
-        .groupBy("role")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("n_chars"))
-    )
+    return valid.select(F.posexplode("messages").alias("pos", "_m")).select("pos", "_m.role", "_m.content")
 
 
 @query(

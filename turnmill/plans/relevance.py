@@ -184,11 +184,13 @@ def group_scores(spark, sf):
 
 @query(
     "join_features",
-    """SELECT d.doc_id AS id, d.source, d.n_chars, l.quality, l.toxic
+    """SELECT d.doc_id AS id, d.source, d.n_chars, d.text AS transcript, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def join_features(spark, sf):
-    videos = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    videos = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "source", "n_chars", F.col("text").alias("transcript")
+    )
     features = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
     return R.join_features(videos, features)
 

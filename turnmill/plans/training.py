@@ -10,27 +10,36 @@ from turnmill.plans import adapters as A
 from turnmill.plans.dialogue import WS
 from turnmill.plans.registry import query, table
 
-# conv_id % 8: 5 holds only the first message, 6 and 7 are not valid.
-MESSAGES = """records AS (
-  SELECT DISTINCT concat(conv_id, '_', turn // 64) AS record_id, conv_id FROM conversations),
+# Every block is a record. conv_id % 8: beside 5 stands one with the first message alone, beside 6
+# and 7 one that is not valid.
+MESSAGES = """placed AS (
+  SELECT concat(conv_id, '_', turn // 64) AS record_id, conv_id, role, text AS content,
+    CAST(row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS INT) AS pos
+  FROM conversations),
+records AS (
+  SELECT record_id, true AS valid FROM placed WHERE pos = 0
+  UNION ALL SELECT concat(record_id, CASE conv_id % 8 WHEN 5 THEN '_one' WHEN 6 THEN '_stray'
+    ELSE '_text' END), conv_id % 8 = 5 FROM placed WHERE pos = 0 AND conv_id % 8 >= 5),
 messages AS (
-  SELECT concat(conv_id, '_', turn // 64) AS record_id, role, text AS content,
-    CAST(row_number() OVER w - 1 AS INT) AS pos
-  FROM conversations WHERE conv_id % 8 < 6
-  WINDOW w AS (PARTITION BY conv_id, turn // 64 ORDER BY turn)
-  QUALIFY conv_id % 8 < 5 OR row_number() OVER w = 1)"""
+  SELECT record_id, role, content, pos FROM placed
+  UNION ALL SELECT concat(record_id, '_one'), role, content, pos FROM placed
+  WHERE pos = 0 AND conv_id % 8 = 5)"""
 
 
 @query(
     "coerce_conversation",
-    f"""WITH {MESSAGES} SELECT record_id, conv_id % 8 < 6 AS valid,
-  CAST((SELECT count(*) FROM messages m WHERE m.record_id = r.record_id) AS INT) AS n_messages
-FROM records r""",
+    f"""WITH {MESSAGES} SELECT record_id, valid, CAST(count(pos) AS INT) AS n_messages,
+  coalesce(string_agg(role || ' ' || content, chr(30) ORDER BY pos), '') AS texts
+FROM records LEFT JOIN messages USING (record_id) GROUP BY record_id, valid""",
 )
 def coerce_conversation(spark, sf):
     shaped = C.coerce_conversation(A.chat_records(spark, sf))
+    told = F.transform("messages", lambda m: F.concat(m["role"], F.lit(" "), m["content"]))
     return shaped.select(
-        "record_id", "valid", F.coalesce(F.size("messages"), F.lit(0)).alias("n_messages")
+        "record_id",
+        "valid",
+        F.coalesce(F.size("messages"), F.lit(0)).alias("n_messages"),
+        F.coalesce(F.array_join(told, "\x1e"), F.lit("")).alias("texts"),
     )
 
 
@@ -160,7 +169,7 @@ _SETUPS = {"qwen": 1000, "llama": 1000, "gemma": 300, "falcon": 1000, "granite":
     "training_setups",
     f"""WITH {MESSAGES}, keyed AS (
   SELECT record_id, CAST('0x' || substring(md5(concat('3407:', record_id)), 1, 8) AS BIGINT) % 10000 AS b
-  FROM records WHERE conv_id % 8 < 6),
+  FROM records WHERE valid),
 setups(model_key, eval_below) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in _SETUPS.items())})
 SELECT model_key, count(*) FILTER (b >= eval_below) AS train_samples,
   count(*) FILTER (b < eval_below) AS eval_samples
@@ -217,19 +226,30 @@ def loss_points(spark, sf):
 RUNS = """runs AS (
   SELECT user_id AS run_id, concat('model_', user_id % 7) AS model_key, count(*) * 9 AS train_samples,
     count(*) AS eval_samples, CAST(min(event_id) * 3 AS DOUBLE) AS duration_sec,
-    CASE WHEN user_id % 6 = 0 THEN 'failed' ELSE 'success' END AS status
+    CASE WHEN user_id % 6 = 0 THEN 'failed' ELSE 'success' END AS status,
+    concat('org/model_', user_id % 7) AS hf_model_id, CAST(user_id % 5 + 1 AS INT) AS epochs,
+    concat('checkpoints/', user_id) AS checkpoint_dir
   FROM events GROUP BY user_id)"""
 
 
 @query(
     "run_log_row",
-    f"""WITH {HISTORY}, {RUNS} SELECT run_id, model_key, train_samples, eval_samples,
+    f"""WITH {HISTORY}, {RUNS} SELECT '2024-01-31 12:00:00' AS timestamp, run_id, model_key, hf_model_id,
+  train_samples, eval_samples, epochs,
   round(final_train_loss, 4) AS final_train_loss, round(final_eval_loss, 4) AS final_eval_loss,
-  round(duration_sec / 60, 1) AS duration_min, status
+  round(duration_sec / 60, 1) AS duration_min, checkpoint_dir, status
 FROM runs LEFT JOIN losses USING (run_id)""",
 )
 def run_log_row(spark, sf):
-    return T.run_log(A.training_history(spark, sf), A.runs(spark, sf))
+    return T.run_log(A.training_history(spark, sf), A.runs(spark, sf), "2024-01-31 12:00:00")
+
+
+@query(
+    "sweep_failures",
+    f"WITH {RUNS} SELECT run_id, model_key FROM runs WHERE status = 'failed'",
+)
+def sweep_failures(spark, sf):
+    return T.sweep_failures(A.runs(spark, sf))
 
 
 @query(

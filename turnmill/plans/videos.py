@@ -115,7 +115,7 @@ def extract_video_id(spark, sf):
 VIDEOS = """videos AS (
   SELECT concat(source, '_metadata_and_transcripts.csv') AS source_file, doc_id,
     CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
-    CAST(n_chars AS INT) AS duration_sec,
+    CAST(n_chars AS INT) AS duration_sec, 'About ' || text AS description, text AS transcript,
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index, source
   FROM documents)"""
 
@@ -130,7 +130,8 @@ def index_within_channel(spark, sf):
 @query(
     "merge_channel_videos",
     f"""WITH {VIDEOS} SELECT row_number() OVER (ORDER BY source_file, index) - 1 AS id,
-  source_file, doc_id, title, duration_sec, index, source AS channel_name FROM videos""",
+  source_file, doc_id, title, duration_sec, description, transcript, index,
+  source AS channel_name FROM videos""",
 )
 def merge_channel_videos(spark, sf):
     return V.merge_channel_videos(A.channel_videos(spark, sf))
