@@ -91,3 +91,31 @@ def test_merge_and_diarize_runs(spark, tmp_path):
     assert [(r.source_file, r.speaker_label, r.transcript) for r in turns.collect()] == [
         ("0.csv", "[Voice 1]", "Hi")
     ]
+
+
+def test_failed_videos_get_another_try(spark, tmp_path):
+    class Says:
+        def __init__(self, text):
+            self.text = text
+
+        def transcribe(self, video_id, url):
+            return {"response": self.text}
+
+    schema = "id string, url string, minutes double"
+    source, out = tmp_path / "manifest", str(tmp_path / "out")
+    source.mkdir()
+    stream = lambda: spark.readStream.schema(schema).json(str(source))
+    assert jobs.diarize_arrivals(stream(), out, lambda: Says("x")).count() == 0  # nothing arrived
+    (source / "a.json").write_text('{"id": "1", "url": "u", "minutes": 1.0}\n')
+    assert jobs.diarize_arrivals(stream(), out, lambda: Says("not JSON")).count() == 0
+    whole = lambda: Says('{"task1_transcripts":[{"start":"0:1","text":"Hi","voice":1}]}')
+    manifest = spark.read.schema(schema).json(str(source))
+    assert jobs.diarize_arrivals(stream(), out, whole).count() == 0
+    assert [r.transcript for r in jobs.diarize_arrivals(stream(), out, whole, retry=manifest).collect()] == ["Hi"]
+
+
+def test_training_data_run(spark, tmp_path):
+    rows = [(str(i), json.dumps({"messages": [{"role": "user", "content": f"q{i}"}]})) for i in range(40)] + [("x", "{}")]
+    got = jobs.training_data(spark.createDataFrame(rows, "record_id string, record string"), str(tmp_path / "t"), "qwen")
+    texts = {r.record_id: r.text for side in got.values() for r in side.collect()}
+    assert set(texts) == {str(i) for i in range(40)} and "q7" in texts["7"] and got["eval"].count() > 0

@@ -90,3 +90,9 @@ def test_snippets(spark):
     df = spark.sql("select array(named_struct('text', 'a'), named_struct('text', 'b')) as s")
     assert df.select(V.join_snippets("s")).first()[0] == "a b"
     assert df.select(F.size("s")).first()[0] == 2
+
+
+def test_description_limit_can_be_switched_off(spark):
+    long = "line\n" * 400
+    df = spark.createDataFrame([(long,)], "d string").select(V.short_description("d"), V.short_description("d", None))
+    assert len(df.first()[0]) == 501 and df.first()[1] == long

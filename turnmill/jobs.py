@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.operators import (
+    chat,
     dialogue,
     diarization,
     generation,
@@ -70,8 +71,12 @@ def diarize_arrivals(
     factory: Callable,
     limit: float = diarization.MAX_MINUTES,
     tasks: int | None = None,
+    retry: DataFrame | None = None,
 ) -> DataFrame:
-    """Transcribe the videos of a manifest stream that are new, and return all turns so far."""
+    """Transcribe the videos of a manifest stream that are new, and return all turns so far.
+
+    ``retry``, the manifest as a table, gives videos whose last try failed one more.
+    """
     spark = manifest_stream.sparkSession
 
     def process(pending: DataFrame) -> DataFrame:
@@ -79,10 +84,25 @@ def diarize_arrivals(
         return parsed_transcriptions(responses)
 
     ingest.ingest_incremental(manifest_stream, out, process, limit)
-    done = spark.read.parquet(f"{out}/results").filter("error is null")
+    if retry is not None:
+        ingest.retry_failed(spark, retry, out, process, limit)
+    results = process(spark.createDataFrame([], "id string, url string, minutes double")).schema
+    done = ingest.read_written(spark, f"{out}/results", results).filter("error is null")
     return diarization.export_turns(done.withColumnRenamed("id", "video_id"))
 
 
+def training_data(
+    records: DataFrame, out: str, family: str, key: str = "record_id", compat: bool = False
+) -> dict[str, DataFrame]:
+    """Chat records to the training texts of a model family, written by side: train and eval."""
+    setup = chat.TRAINING_SETUPS[family]
+    texts = chat.training_text(records, setup, compat).select(key, "text")
+    split = chat.train_eval_split(texts, key, setup.eval_fraction)
+    split.write.mode("overwrite").partitionBy("split").parquet(out)
+    written = records.sparkSession.read.schema(split.schema).parquet(out)
+    return {side: written.filter(F.col("split") == side).drop("split") for side in ("train", "eval")}
+
+
 def generate(
     spark: SparkSession,
     scenario_path: str,

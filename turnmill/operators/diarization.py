@@ -149,6 +149,7 @@ def diarization_log(df: DataFrame, model_name: str) -> DataFrame:
 def iso_duration_seconds(file_name: Column | str) -> Column:
     """Seconds of a trailing _PT1H2M3S in a file name without its extension; else NULL."""
     stem = F.regexp_replace(col(file_name), F.lit(r"(?<=[^/])\.[^./]*$"), F.lit(""))
+    # Fixed value: the format of durations in file names.
     pattern = r"_PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?$"
     part = lambda g: F.coalesce(
         F.regexp_extract(stem, pattern, g).try_cast("bigint"), F.lit(0)

@@ -32,6 +32,12 @@ REALISM_HIGH, REALISM_LOW = 85, 50
 OUTCOME_BANDS = [(25, "Escalation"), (50, "Containment"), (75, "De-escalation"), (100, "Resolution")]
 PENALTIES = {"None": 0, "Repetitive Looping": 15, "Unrealistic Dialogue": 20, "Both": 35}
 
+# The fences that an answer may stand in, and texts of error rows.
+FENCES = (r"^```json\s*", r"^```\s*", r"\s*```\z")
+EMPTY_ANSWER = "Empty judge response."
+NO_OBJECT = "Could not find JSON object in response."
+JUDGE_FAILED = "Judge failed after {tries} attempts: {cause}"
+
 
 def case_model_pairs(cases: DataFrame, models: list[str]) -> DataFrame:
     """One row per case and selected model that has an output."""
@@ -74,7 +80,7 @@ def with_prompts(pairs: DataFrame) -> DataFrame:
 def unfenced(raw: Column | str) -> Column:
     """Raw answer without surrounding code fences."""
     text = strip_ws(raw)
-    for fence in (r"^```json\s*", r"^```\s*", r"\s*```\z"):
+    for fence in FENCES:
         text = F.regexp_replace(text, F.lit(fence), F.lit(""))
     return text
 
@@ -94,9 +100,9 @@ def parse_judge_json(raw: Column | str) -> Column:
 def verdict_error(raw: Column, parsed: Column) -> Column:
     """Why an answer cannot be used; NULL when it is a JSON object."""
     return (
-        F.when(raw.isNull(), "Empty judge response.")
+        F.when(raw.isNull(), EMPTY_ANSWER)
         .when(variant_kind(parsed) == OBJECT, None)
-        .when(F.instr(unfenced(raw), "{") == 0, "Could not find JSON object in response.")
+        .when(F.instr(unfenced(raw), "{") == 0, NO_OBJECT)
         .otherwise("Broken JSON in response.")
     )
 
@@ -218,7 +224,7 @@ def run_judge(
                         for p in prompts
                     ]
                 except Exception as exc:
-                    error = f"Judge failed after {tries} attempts: {exc}"
+                    error = JUDGE_FAILED.format(tries=tries, cause=exc)
                 rows.append((case, model, *raw, error))
             yield pd.DataFrame(rows, columns=out.fieldNames())
 

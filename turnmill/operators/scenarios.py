@@ -22,6 +22,10 @@ DIALOGUE_NAMES = ["police_dialogue", "police_dialog", "officer_dialogue", "offic
 TURN_TEXT_NAMES = ["text", "transcript", "content", "dialogue", "utterance"]
 ID_NAMES = ["case_id", "id"]
 
+# Texts of error rows.
+NO_LIST = "police_dialogue must be a list."
+NO_DIALOGUE = "No police dialogue found for case_id="
+
 ROLEPLAY_PROMPT = (
     "Play the civilian of this scene and answer the officer in character, briefly and naturally.\n\n"
     "Scenario Context:\n{scenario_context}\n\nCharacter Profile:\n{character_profile}"
@@ -75,10 +79,10 @@ def normalize_cases(cases: DataFrame) -> DataFrame:
         "scenario_context",
         "character_profile",
         F.coalesce("_turns", F.array().cast("array<string>")).alias("police_turns"),
-        F.when(F.col("_no_list"), "police_dialogue must be a list.")
+        F.when(F.col("_no_list"), NO_LIST)
         .when(
             F.coalesce(F.size("_turns"), F.lit(0)) == 0,
-            F.concat(F.lit("No police dialogue found for case_id="), "case_id"),
+            F.concat(F.lit(NO_DIALOGUE), "case_id"),
         )
         .alias("error"),
     )

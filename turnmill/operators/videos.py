@@ -54,17 +54,21 @@ def extract_video_id(url: Column | str) -> Column:
     return F.when(F.instr(col(url), "v=") > 0, F.split_part(tail, F.lit("&"), F.lit(1)))
 
 
-def short_description(description: Column | str, limit: int = DESCRIPTION_CHARS) -> Column:
-    """The first ``limit`` characters on one line, always closed by an ellipsis."""
-    one_line = F.replace(F.coalesce(col(description), F.lit("")), F.lit("\n"), F.lit(" "))
+def short_description(description: Column | str, limit: int | None = DESCRIPTION_CHARS) -> Column:
+    """The first ``limit`` characters on one line, always closed by an ellipsis; None: all, as it is."""
+    whole = F.coalesce(col(description), F.lit(""))
+    if limit is None:
+        return whole
+    one_line = F.replace(whole, F.lit("\n"), F.lit(" "))
     return F.concat(F.substring(one_line, 1, limit), F.lit("…"))
 
 
-def normalize_videos(raw: DataFrame) -> DataFrame:
+def normalize_videos(raw: DataFrame, description_chars: int | None = DESCRIPTION_CHARS) -> DataFrame:
     """Raw info records to video rows; a record without title becomes a placeholder row.
 
     Expects index, video_id, webpage_url, title, uploader, view_count, upload_date (yyyyMMdd),
-    duration and description. Unknown numbers and dates are NULL.
+    duration and description. Unknown numbers and dates are NULL. ``description_chars`` None
+    keeps descriptions whole.
     """
     restricted = non_empty("title").isNull()
     url = video_url("webpage_url", F.coalesce(F.col("video_id"), F.lit("")))
@@ -82,7 +86,7 @@ def normalize_videos(raw: DataFrame) -> DataFrame:
         ),
         open_only(F.coalesce(F.col("duration").try_cast("double").try_cast("int"), F.lit(0))).alias("duration_sec"),
         F.when(restricted, F.lit(RESTRICTED_DESCRIPTION))
-        .otherwise(short_description("description"))
+        .otherwise(short_description("description", description_chars))
         .alias("description"),
         F.when(restricted, F.lit(RESTRICTED_TRANSCRIPT)).otherwise(F.lit("")).alias("transcript"),
     )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill import jobs
 from turnmill.operators import chat as C
 from turnmill.operators import training as T
 from turnmill.plans import adapters as A
 from turnmill.plans.dialogue import WS
 from turnmill.plans.registry import query, table
+from turnmill.session import new_dir
 
 # Every block is a record. conv_id % 8: beside 5 stands one with the first message alone, beside 6
 # and 7 one that is not valid.
@@ -104,13 +106,15 @@ def _rendered(name: str) -> str:
 FROM told GROUP BY record_id"""
 
 
-@query(
-    "render_chat_template",
-    f"""WITH {MESSAGES}, told AS (
+TOLD = """told AS (
   SELECT *, coalesce(lag(role) OVER w = 'system', false) AS led,
     count(*) OVER (PARTITION BY record_id) AS n
-  FROM messages WINDOW w AS (PARTITION BY record_id ORDER BY pos))
-"""
+  FROM messages WINDOW w AS (PARTITION BY record_id ORDER BY pos))"""
+
+
+@query(
+    "render_chat_template",
+    f"WITH {MESSAGES}, {TOLD}\n"
     + "\nUNION ALL\n".join(_rendered(n) for n in _FORMS),
 )
 def render_chat_template(spark, sf):
@@ -161,6 +165,19 @@ def split_counts(spark, sf):
     return C.split_counts(sides(spark, sf))
 
 
+@query(
+    "training_data",
+    f"""WITH {MESSAGES}, {TOLD}, texts AS ({_rendered('chatml')})
+SELECT record_id, text, CASE WHEN CAST('0x' || substring(md5(concat('3407:', record_id)), 1, 8) AS BIGINT)
+  % 10000 < 1000 THEN 'eval' ELSE 'train' END AS split FROM texts""",
+)
+def training_data(spark, sf):
+    """Both sides as the job has written them."""
+    sides = jobs.training_data(A.chat_records(spark, sf), new_dir(spark, "training"), "qwen")
+    tagged = [df.withColumn("split", F.lit(side)) for side, df in sides.items()]
+    return tagged[0].unionByName(tagged[1])
+
+
 _SETUPS = {"qwen": 1000, "llama": 1000, "gemma": 300, "falcon": 1000, "granite": 300,
            "ministral": 1000, "phi4": 0}
 

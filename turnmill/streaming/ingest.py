@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnmill.operators.diarization import (
     FAILED,
@@ -24,15 +25,20 @@ from turnmill.operators.diarization import (
 STATUS_ROWS = "id string, status string, batch_id bigint"
 
 
-def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Status rows of all batches; none when nothing ran yet."""
+def read_written(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Rows that all batches wrote; none when nothing ran yet."""
     try:
-        return spark.read.schema(STATUS_ROWS).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         # Only a table that is not there means that nothing ran: any other fault must not redo all.
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATUS_ROWS)
+        return spark.createDataFrame([], schema)
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """Status rows of all batches."""
+    return read_written(spark, path, STATUS_ROWS)
 
 
 def process_batch(
