@@ -3,6 +3,7 @@ import json
 import numpy as np
 
 from turnmill.operators import generation as G
+from turnmill.operators import hooks as H
 from turnmill.operators import judging as J
 from turnmill.operators import scenarios as C
 from turnmill.operators import scoring as S
@@ -74,16 +75,70 @@ def test_model_registry(spark):
     assert grid.count() == 45 and "Join" not in grid._jdf.queryExecution().toString()
 
 
-def test_retries():
+def test_only_failed_items_are_asked_again():
     calls = []
 
-    def call():
-        calls.append(1)
-        if len(calls) < 3:
-            raise ValueError
-        return "ok"
-
-    assert G.call_with_retries(call, 3, 0.0, 0.0) == "ok" and len(calls) == 3
+    def one(item):
+        calls.append(item)
+        if item == "bad" or (item == "late" and calls.count("late") < 3):
+            raise ValueError(item)
+        return item.upper()
+
+    found = H.ask_all(["a", "late", "bad"], one, tries=3)
+    assert found[:2] == ["A", "LATE"] and str(found[2]) == "bad"
+    assert calls == ["a", "late", "bad", "late", "bad", "late", "bad"]
+    assert H.ask_all([], one) == []
+
+
+def test_lists_go_to_hooks_that_take_them():
+    sizes, singles = [], []
+
+    def many(items):
+        sizes.append(len(items))
+        if "poison" in items:
+            raise RuntimeError("whole call")
+        return [ValueError("no") if i == "bad" and len(sizes) == 1 else i.upper() for i in items]
+
+    def one(item):
+        singles.append(item)
+        if item == "poison":
+            raise RuntimeError(item)
+        return item.upper()
+
+    assert H.ask_all(["a", "bad", "c"], one, many, tries=2) == ["A", "BAD", "C"]
+    assert (sizes, singles) == ([3, 1], [])
+    found = H.ask_all(["a", "poison"], one, many)
+    assert found[0] == "A" and str(found[1]) == "poison" and singles == ["a", "poison"]
+    # A call that gives too few answers is not trusted.
+    assert H.ask_all(["a", "b"], one, lambda items: ["only one"]) == ["A", "B"]
+
+
+def test_batches_give_what_single_calls_give(spark):
+    class Lists(G.EchoGenerator):
+        def generate_batch(self, histories, **sampling):
+            assert len(histories) <= 2
+            return [self.generate(h, **sampling) if len(h) < 4 else ValueError("long") for h in histories]
+
+    class Single(G.EchoGenerator):
+        def generate(self, history, **sampling):
+            if len(history) >= 4:
+                raise ValueError("long")
+            return super().generate(history, **sampling)
+
+    specs = [ModelSpec("m1", "f", "base"), ModelSpec("m2", "f", "base")]
+    run = lambda hook, **kw: sorted(
+        map(str, G.generate_conversations(cases(spark), specs, lambda spec: hook(), **kw).collect())
+    )
+    assert run(Lists, batch_size=2) == run(Single, batch_size=1) == run(Single)
+    turns = spark.range(60).selectExpr(
+        "concat('c', id % 7) as source_file", "cast(id div 7 as int) as turn_index",
+        "if((id div 7) % 2 = 0, 'Officer', 'Civ') as speaker_label", "concat('t', id) as transcript",
+    )
+    ask = lambda hook, **kw: sorted(
+        map(str, G.predict_replies(turns, specs, lambda spec: hook(), **kw).collect())
+    )
+    assert ask(Lists, batch_size=2) == ask(Single, batch_size=1) == ask(Single, segment_turns=2, segments=3)
+    assert len(ask(Single)) == 2 * sum(i % 2 == 0 and 7 * (i + 1) + c < 60 for c in range(7) for i in range(9))
 
 
 def test_judge_pairs(spark):

@@ -40,10 +40,22 @@ def test_pairs_and_histories_spread(spark):
     turns = hot_turns(spark)
     assert largest_share(spark, D.turn_pairs(turns, chunk_rows=64)) < 0.5
     assert largest_share(spark, D.history_index(turns, chunk_rows=64)) < 0.5
-    assert largest_share(spark, D.history_segments(turns.filter("turn_index < 900"), segment_turns=32)) < 0.6
     assert D.turn_pairs(turns, chunk_rows=64).count() == HOT // 3 + COLD * 3
 
 
+def test_history_rows_grow_with_the_turns(spark):
+    for n in (2000, 4000, 8000):
+        turns = spark.range(n).selectExpr(
+            "'hot.csv' as source_file", "cast(id as int) as turn_index",
+            "if(id % 2 = 0, 'Officer', 'Civ') as speaker_label", "concat('t', id) as transcript",
+        )
+        parts = D.history_segments(turns, segment_turns=32, segments=8)
+        got = parts.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asked").cast("int")).alias("asked"))
+        rows = got.collect()
+        assert len(rows) <= 8 and sum(r.n for r in rows) <= 4.5 * (n + 8 * 32)  # whole chunks
+        assert max(r.n for r in rows) <= n and sum(r.asked for r in rows) == n // 2
+
+
 def test_numbering_spreads(spark):
     turns = hot_turns(spark)
     numbered = O.dense_index(turns, "source_file", "turn_index", span=64)

@@ -51,7 +51,8 @@ SPEAKER_PREFIXES = {
     ],
 }
 
-SEGMENT_TURNS = 256
+#: A conversation is cut into segments of so many turns, and into so many segments at most.
+SEGMENT_TURNS, SEGMENTS = 256, 16
 
 DEFAULT_SYSTEM_PROMPT = (
     "Play the civilian in this police encounter. Answer with the civilian's next words only."
@@ -171,14 +172,17 @@ def with_copies(marked: DataFrame, compat: bool) -> DataFrame:
 
 
 def history_segments(
-    turns: DataFrame, compat: bool = False, segment_turns: int = SEGMENT_TURNS
+    turns: DataFrame,
+    compat: bool = False,
+    segment_turns: int = SEGMENT_TURNS,
+    segments: int = SEGMENTS,
 ) -> DataFrame:
     """Turns cut into segments, each with the turns of its conversation that come before it.
 
     Read in turn order, the rows of one (source_file, segment) build up the history of every
-    point of that segment, so a long conversation spreads over many tasks. All copies together
-    are about 2 / segment_turns of the histories they stand for. asked marks the points that
-    belong to the segment itself.
+    point of that segment, so a long conversation spreads over up to ``segments`` tasks. A turn
+    stands in its own segment and in later ones, about (segments + 1) / 2 times on average, so
+    the rows grow in line with the turns. asked marks the points that belong to the segment itself.
     """
     w = chunk_window("source_file", "turn_index")
     neighbours = {"_next_role": F.lead("role").over(w)}
@@ -188,7 +192,7 @@ def history_segments(
     marked = with_copies(
         drop_edge_copies(spread.withColumns(neighbours).withColumn("is_point", is_point())), compat
     )
-    # The last segment of each file, once per segment, so that the join has no hot key and
+    # The last chunk of each file, once per chunk, so that the join has no hot key and
     # meets the turns where the window left them. All turns match; a left join keeps them the
     # side that is read in parts, however small the tables look to the planner.
     spans = (
@@ -198,11 +202,13 @@ def history_segments(
             "source_file",
             "_last",
             F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk"),
+            (F.floor(F.col("_last") / segments) + 1).alias("_width"),
         )
     )
+    of = lambda chunk: F.floor(F.col(chunk) / F.col("_width"))
     return (
         marked.join(spans, ["source_file", "_chunk"], "left")
-        .withColumn("segment", F.explode(F.sequence("_chunk", "_last")))
+        .withColumn("segment", F.explode(F.sequence(of("_chunk"), of("_last"))))
         .select(
             "source_file",
             "segment",
@@ -210,7 +216,7 @@ def history_segments(
             "role",
             "content",
             "copies",
-            (F.col("is_point") & (F.col("_chunk") == F.col("segment"))).alias("asked"),
+            (F.col("is_point") & (of("_chunk") == F.col("segment"))).alias("asked"),
         )
     )
 

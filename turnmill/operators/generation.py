@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -15,22 +14,32 @@ from pyspark.sql import types as T
 from turnmill.operators.dialogue import (
     DEFAULT_SYSTEM_PROMPT,
     SEGMENT_TURNS,
+    SEGMENTS,
     build_transcript,
     history_segments,
 )
+from turnmill.operators.hooks import BATCH_SIZE, ask_all, slices
 from turnmill.operators.models import ModelSpec, case_model_grid
 from turnmill.operators.scenarios import render_system_prompt
 from turnmill.sources.schemas import GENERATED_TURNS
 
 
 class ReplyGenerator(Protocol):
-    """Answers a history of {role, content} messages. Raises when it cannot."""
+    """Answers a history of {role, content} messages. Raises when it cannot.
+
+    A generator may also have ``generate_batch(histories, max_new_tokens, temperature, top_p)``,
+    which returns a reply, or an exception, for each of a list of histories.
+    """
 
     def generate(
         self, history: list[dict], max_new_tokens: int, temperature: float, top_p: float
     ) -> str: ...
 
 
+#: Messages in the histories of one call, unless a single history is longer.
+BATCH_MESSAGES = 100_000
+
+
 @dataclass(frozen=True)
 class Sampling:
     max_new_tokens: int = 128
@@ -59,17 +68,6 @@ def builtin_factory(spec: dict) -> ReplyGenerator:
     return RepeatGenerator() if spec["model_name"].startswith("repeat") else EchoGenerator()
 
 
-def call_with_retries(call: Callable, tries: int, first_wait: float, step: float):
-    """Result of ``call``, tried again after growing pauses; the last failure is raised."""
-    for attempt in range(tries):
-        try:
-            return call()
-        except Exception:
-            if attempt == tries - 1:
-                raise
-            time.sleep(first_wait + step * attempt)
-
-
 def spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     """Rows over a fixed number of tasks before costly calls.
 
@@ -91,6 +89,21 @@ class _Models:
             self.generator, self.name = self.factory(spec), spec["model_name"]
         return self.generator
 
+    def replies(self, spec: dict, histories: list[list[dict]], sampling: Sampling) -> list:
+        """A reply, or the exception it failed with, for each history."""
+        if not histories:
+            return []
+        try:
+            generator = self.get(spec)
+        except Exception as exc:
+            return [exc] * len(histories)
+        batch = getattr(generator, "generate_batch", None)
+        return ask_all(
+            histories,
+            lambda h: generator.generate(h, **vars(sampling)),
+            batch and (lambda hs: batch(hs, **vars(sampling))),
+        )
+
     def close(self) -> None:
         if hasattr(self.generator, "unload"):
             self.generator.unload()
@@ -103,12 +116,14 @@ def generate_conversations(
     factory: Factory = builtin_factory,
     sampling: Sampling = Sampling(),
     tasks: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Play each case with each model; every reply enters the history of the next one.
 
     cases: case_id, scenario_context, character_profile, police_turns, error. The state is local
     to a row, so no shuffle is needed; ``tasks`` spreads cases that come from few files. Rows are
-    sorted by model within a task. A failing case has its message in error and no conversation.
+    sorted by model within a task, and up to ``batch_size`` cases of one model are played side by
+    side: a generator that takes lists gets the open histories of all of them at once. A failing case has its message in error and no conversation.
     Write the result before using it twice, so that a costly or random model is not called again.
     """
     prompted = case_model_grid(cases, specs).withColumn(
@@ -125,18 +140,15 @@ def generate_conversations(
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _Models(factory)
         for batch in batches:
-            conversations, errors = [], []
-            for row in batch.to_dict("records"):
-                turns, error = None, row["error"]
-                if error is None:
-                    try:
-                        turns = _play_case(models.get(row), row, sampling)
-                    except Exception as exc:
-                        error = str(exc)
-                conversations.append(turns)
-                errors.append(error)
+            rows = batch.to_dict("records")
+            played = [(None, row["error"]) for row in rows]
+            for name in batch["model_name"].unique():
+                open_ = [i for i, r in enumerate(rows) if r["model_name"] == name and r["error"] is None]
+                for some in slices(open_, batch_size):
+                    for i, result in zip(some, _play_cases(models, [rows[i] for i in some], sampling)):
+                        played[i] = result
             yield batch.drop(columns=["system_prompt"]).assign(
-                generated_conversation=conversations, error=errors
+                generated_conversation=[turns for turns, _ in played], error=[e for _, e in played]
             )[out.fieldNames()]
         models.close()
 
@@ -145,15 +157,22 @@ def generate_conversations(
     return played.withColumn("conversation_transcript", build_transcript("generated_conversation"))
 
 
-def _play_case(generator: ReplyGenerator, row: dict, sampling: Sampling) -> list[dict]:
-    history = [{"role": "system", "content": row["system_prompt"]}]
-    turns = []
-    for i, police in enumerate(row["police_turns"]):
-        history.append({"role": "user", "content": police})
-        reply = generator.generate(history, **vars(sampling))
-        history.append({"role": "assistant", "content": reply})
-        turns.append({"turn_index": i, "police": police, "civilian_generated": reply})
-    return turns
+def _play_cases(models: _Models, rows: list[dict], sampling: Sampling) -> list[tuple]:
+    """(turns, None) or (None, error text) of cases of one model, a round of replies at a time."""
+    histories = [[{"role": "system", "content": row["system_prompt"]}] for row in rows]
+    asked = [row["police_turns"] for row in rows]
+    turns, errors = [[] for _ in rows], [None if a is not None else "No police turns." for a in asked]
+    for i in range(max(len(a) for a in [*asked, ()] if a is not None)):
+        live = [k for k, a in enumerate(asked) if errors[k] is None and i < len(a)]
+        for k in live:
+            histories[k].append({"role": "user", "content": asked[k][i]})
+        for k, reply in zip(live, models.replies(rows[0], [histories[k] for k in live], sampling)):
+            if isinstance(reply, Exception):
+                errors[k] = str(reply)
+                continue
+            histories[k].append({"role": "assistant", "content": reply})
+            turns[k].append({"turn_index": i, "police": asked[k][i], "civilian_generated": reply})
+    return [(t if e is None else None, e) for t, e in zip(turns, errors)]
 
 
 def predict_replies(
@@ -164,17 +183,20 @@ def predict_replies(
     system_prompt: str = DEFAULT_SYSTEM_PROMPT,
     compat: bool = False,
     segment_turns: int = SEGMENT_TURNS,
+    segments: int = SEGMENTS,
     tasks: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Reply of each model at each evaluation point of the turns.
 
     The rows of a (model, file, segment) pass through one task in turn order. They build up one
     history, and the model is asked where a point comes, so no history is stored or shipped
-    per point. A failed call leaves predicted_response NULL and its message in error; it is not
+    per point. A generator that takes lists gets up to ``batch_size`` points at once, fewer where
+    their histories together hold over BATCH_MESSAGES messages. A failed call leaves predicted_response NULL and its message in error; it is not
     scored as text. Write the result before using it twice.
     """
     keys = ["model_name", "source_file", "segment"]
-    grid = case_model_grid(history_segments(turns, compat, segment_turns), specs)
+    grid = case_model_grid(history_segments(turns, compat, segment_turns, segments), specs)
     gathered = spread(grid, tasks, *keys) if tasks else grid.repartition(*keys)
     ordered = gathered.sortWithinPartitions(*keys, "turn_index")
     kept = ["source_file", "turn_index", "model_name", "model_family", "model_type"]
@@ -188,19 +210,31 @@ def predict_replies(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models, group, history = _Models(factory), None, []
         for batch in batches:
-            rows = []
+            rows, points, messages = [], [], 0
+
+            def answer():
+                found = models.replies(points[0][0], [h for _, h in points], sampling) if points else []
+                for (row, _), reply in zip(points, found):
+                    failed = isinstance(reply, Exception)
+                    result = (None, str(reply)) if failed else (reply, None)
+                    rows.append((*[row[k] for k in kept], row["content"], *result))
+                points.clear()
+
             for row in batch.to_dict("records"):
                 if group != (here := tuple(row[k] for k in keys)):
+                    if group and group[0] != here[0]:
+                        answer()  # a call has points of one model
+                        messages = 0
                     group, history = here, [{"role": "system", "content": system_prompt}]
                 message = {"role": row["role"], "content": row["content"]}
                 history.extend([message] * row["copies"])
                 if row["asked"]:
-                    reply, error = None, None
-                    try:
-                        reply = models.get(row).generate(history, **vars(sampling))
-                    except Exception as exc:
-                        error = str(exc)
-                    rows.append((*[row[k] for k in kept], row["content"], reply, error))
+                    points.append((row, list(history)))  # the messages themselves are shared
+                    messages += len(history)
+                    if len(points) >= batch_size or messages > BATCH_MESSAGES:
+                        answer()
+                        messages = 0
+            answer()
             yield pd.DataFrame(rows, columns=out.fieldNames())
         models.close()
 

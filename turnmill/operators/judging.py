@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from turnmill.functions.json import OBJECT, variant_kind
 from turnmill.functions.text import col, strip_ws
-from turnmill.operators.generation import call_with_retries, spread
+from turnmill.operators.generation import spread
+from turnmill.operators.hooks import BATCH_SIZE, ask_all, slices
 
 REALISM_PROMPT = (
     "Rate how real the civilian in the target sounds, from 0 to 100, against the reference.\n"
@@ -186,7 +187,11 @@ def outcome_check(flat: DataFrame) -> DataFrame:
 
 
 class Judge(Protocol):
-    """Answers a prompt with raw text. Raises when it cannot."""
+    """Answers a prompt with raw text. Raises when it cannot.
+
+    A judge may also have ``judge_batch(prompts)``, which returns an answer, or an exception, for
+    each of a list of prompts.
+    """
 
     def judge(self, prompt: str) -> str: ...
 
@@ -197,10 +202,12 @@ def run_judge(
     tries: int = 3,
     wait_seconds: float = 2.0,
     tasks: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Ask a judge for both prompts of each pair: realism_raw, deescalation_raw, error.
 
-    One judge per task, retries inside it; ``tasks`` spreads pairs that come from few files. Write
+    One judge per task, asked for the prompts of ``batch_size`` pairs at a time; only prompts
+    that failed are asked again, and a pair with a failed prompt has its error alone; ``tasks`` spreads pairs that come from few files. Write
     the answers before parsing them, so that a lost task does not ask again for used answers.
     """
     prompted = with_prompts(pairs).select(
@@ -214,18 +221,18 @@ def run_judge(
         judge = factory()
         for batch in batches:
             rows = []
-            for case, model, *prompts in batch.itertuples(index=False):
-                raw, error = [None, None], None
-                try:
-                    raw = [
-                        call_with_retries(
-                            lambda p=p: judge.judge(p), tries, wait_seconds, wait_seconds
-                        )
-                        for p in prompts
-                    ]
-                except Exception as exc:
-                    error = JUDGE_FAILED.format(tries=tries, cause=exc)
-                rows.append((case, model, *raw, error))
+            for some in slices(list(batch.itertuples(index=False)), batch_size):
+                found = ask_all(
+                    [p for _, _, *prompts in some for p in prompts],
+                    judge.judge,
+                    getattr(judge, "judge_batch", None),
+                    tries, wait_seconds, wait_seconds,
+                )
+                for (case, model, *_), *raw in zip(some, found[::2], found[1::2]):
+                    cause = next((r for r in raw if isinstance(r, Exception)), None)
+                    failed = JUDGE_FAILED.format(tries=tries, cause=cause)
+                    result = (*raw, None) if cause is None else (None, None, failed)
+                    rows.append((case, model, *result))
             yield pd.DataFrame(rows, columns=out.fieldNames())
 
     return spread(prompted, tasks, "model_name", "case_id").mapInPandas(ask, out)
