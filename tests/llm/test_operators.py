@@ -8,13 +8,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from turnmill.llm import catalog, chat, class_lm, decontaminate, langid, packing, quality, relative_lz, repeats, sharding, simhash, suffix_groups
+from turnmill.llm import catalog, chat, class_lm, common, decontaminate, langid, packing, quality, relative_lz, repeats, sharding, simhash, suffix_groups
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, row string, fp string"
@@ -199,6 +200,39 @@ def test_class_model(spark, docs, none):
     assert class_lm.score(docs, class_lm.word_counts(none), bare).count() == len(corpus())
 
 
+def test_words_join_the_class_of_their_neighbours(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.choice([0, 1, 2, 3, 4, 5, 6, 7, rnd.randrange(30)])}" for _ in range(rnd.randrange(60))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").repartition(3)
+    end = class_lm.END
+    number = lambda t: class_lm.tokens(*common.flat(pa.array([t], pa.string())))[0].tolist()
+    kinds = {number(f"w{i}")[0]: i % 3 for i in range(8)}
+    symbols = class_lm.Symbols(np.array(list(kinds), np.uint64), np.array(list(kinds.values())), 3)
+    kind = lambda h: 4 if h == end else kinds.get(h, 3)
+    pairs, near = np.zeros((5, 5)), {}
+    for t in [*texts, None, ""]:
+        chain = [end, *number(t)]
+        for a, b, c in zip(chain, chain[1:], [*chain[2:], end]):
+            pairs[kind(a), kind(b)] += 1
+            near.setdefault(b, []).append((kind(a), kind(c)))
+    assert np.array_equal(class_lm.bigram_counts(docs, symbols), pairs)
+    open_ = np.array([h for h in near if h not in kinds and h != end], np.uint64)
+    assert len(open_) > 9
+    step, sizes = class_lm.transitions(pairs), pairs.sum(0)
+    gain = lambda h, b: sum(step[x, b] + step[b, y] for x, y in near[h]) - len(near[h]) * np.log10(sizes[b] + len(near[h]))
+    for h, got in zip(open_.tolist(), class_lm.best_classes(docs, symbols, open_, pairs)):
+        assert gain(h, got) >= max(gain(h, b) for b in range(3)) - 1e-9
+
+
+def test_class_model_sums_to_one(spark, docs):
+    counts = class_lm.word_counts(docs)
+    model = class_lm.fit(docs, counts, clustered=4, classes=3, seen=2)
+    assert (model.classes < model.rest).sum() > 4
+    for kind in range(model.rest + 1):
+        unknown = 0.5 / 10**model.rest_total if kind == model.rest else 0
+        assert abs((10 ** model.emission[model.classes == kind]).sum() + unknown - 1) < 1e-9
+
+
 def test_exchange_ends_where_no_move_helps():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 9, (12, 12)) * (rnd.random((12, 12)) < 0.4) * 1.0

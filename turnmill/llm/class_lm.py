@@ -2,13 +2,16 @@
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)). The most frequent words are put into classes
 by exchange: each word in turn moves to the class that gives the training text's class bigrams the
-highest likelihood, until few words move. All other words, unknown ones included, share one class,
-in which a word's probability comes from its count. A text's end is a class and a token of its own,
-and also what the first word follows.
-
-Counts cover all training texts: words by a shuffle into a written table, bigrams of the clustered
-words by another. Scoring knows the frequent words (a table of bounded size in every task); counts
-of all others are joined by a shuffle. So nothing grows with the corpus but tables.
+highest likelihood, until few words move. Then every other head word that was seen often enough
+joins the class that makes its own neighbours likeliest, all words at once from counts that a
+shuffle gathers (the distributed exchange of Uszkoreit and Brants 2008), in a few rounds. Rare
+words, unknown ones included, share one class, in which a word's probability comes from its count.
+A text's end is a class and a token of its own, and also what the first word follows.
+
+Counts cover all training texts: words by a shuffle into a written table, bigrams of clustered
+words and of classes, and neighbours of head words by others. Scoring knows the head words (a table
+of bounded size in every task); counts of all others are joined by a shuffle. So nothing grows with
+the corpus but tables.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from turnmill.llm.registry import query
 HEAD = 1 << 18
 #: Words that are clustered, and their classes. Their bigram table has CLUSTERED**2 cells at most.
 CLUSTERED, CLASSES = 2048, 48
+#: A head word seen so often joins one of these classes; rarer ones have too few neighbours to tell.
+SEEN = 5
+#: Rounds in which the head words beyond the clustered ones choose their classes.
+ROUNDS = 2
 #: The exchange ends when a pass moves a smaller share of the words, or after so many passes.
 MOVED, PASSES = 0.002, 12
 #: Pseudo-counts of a class given the class before it, spread like the classes' own frequencies.
@@ -66,30 +73,39 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Symbols:
-    """Numbers of the clustered words 0..m-1; m for any other word, m + 1 for a text's end."""
+    """Numbers of some words; ``rest`` for any other word, ``rest + 1`` for a text's end."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, rest: int):
+        order = np.argsort(hashes)
+        self.hashes, self.numbers, self.rest = hashes[order], numbers[order], rest
 
-    def __init__(self, clustered: np.ndarray):
-        self.order = np.argsort(clustered)
-        self.sorted = clustered[self.order]
-        self.m = len(clustered)
+    @property
+    def size(self) -> int:
+        return self.rest + 2
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.m)
-        if self.m:
-            at = np.searchsorted(self.sorted, h).clip(max=self.m - 1)
-            hit = self.sorted[at] == h
-            out[hit] = self.order[at[hit]]
-        out[h == np.uint64(END)] = self.m + 1
+        out = np.full(len(h), self.rest)
+        at, hit = _find(self.hashes, h)
+        out[hit] = self.numbers[at[hit]]
+        out[h == np.uint64(END)] = self.rest + 1
         return out
 
 
-def bigram_counts(docs: DataFrame, clustered: np.ndarray) -> np.ndarray:
+def _find(ordered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in an ordered array, and which of them are there."""
+    if not len(ordered):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(ordered, h).clip(max=len(ordered) - 1)
+    return at, ordered[at] == h
+
+
+def bigram_counts(docs: DataFrame, symbols: Symbols) -> np.ndarray:
     """Bigrams of the symbols in all texts, as a square matrix."""
-    m = len(clustered) + 2
-    share = docs.sparkSession.sparkContext.broadcast(clustered)
+    m = symbols.size
+    share = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(share.value)
+        symbols = share.value
         for batch in batches:
             for part in steps(batch):
                 s = symbols.of(tokens(*flat(part.column("text")))[0])
@@ -103,6 +119,63 @@ def bigram_counts(docs: DataFrame, clustered: np.ndarray) -> np.ndarray:
     return out.reshape(m, m)
 
 
+def transitions(pairs: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), smoothed."""
+    after = pairs.sum(0)
+    common = (after + 0.5) / (after + 0.5).sum()
+    return np.log10((pairs + SMOOTHING * common) / (pairs.sum(1) + SMOOTHING)[:, None])
+
+
+def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each of the words, the class in which its occurrences and what follows them are likeliest.
+
+    A word's counts with the classes before and after it come from a shuffle, at most two per
+    class, and are scored in tasks; the driver gets one class per word. The text's end and the
+    common class are not chosen. Ties go to the first class.
+    """
+    k = symbols.size
+    order = np.argsort(words)
+    share = docs.sparkSession.sparkContext.broadcast((symbols, words[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, ordered = share.value
+        for batch in batches:
+            for part in steps(batch):
+                h = tokens(*flat(part.column("text")))[0]
+                s = symbols.of(h)
+                at, hit = _find(ordered, h)
+                before = np.concatenate([[k - 1], s[:-1]])[hit]
+                after = np.concatenate([s[1:], [k - 1]])[hit]  # an end is never a word, so none is cut off
+                base = at[hit] * (2 * k)
+                code, c = np.unique(np.concatenate([base + before, base + k + after]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
+
+    step = transitions(pairs)
+    gains = np.concatenate([step, step.T])[:, : k - 2]
+    sizes = pairs.sum(0)[: k - 2]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                cells = part.column("cells")
+                row = np.repeat(np.arange(len(part)), cells.value_lengths().to_numpy())
+                near, c = cells.flatten().flatten()
+                counts = np.zeros((len(part), 2 * k))
+                counts[row, near.to_numpy()] = c.to_numpy()
+                seen = counts[:, :k].sum(1)[:, None]
+                best = (counts @ gains - seen * np.log10(sizes + seen)).argmax(1)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(best)], ["word", "class"])
+
+    cells = docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    cell = F.struct((F.col("code") % (2 * k)).alias("near"), "c")
+    near = cells.groupBy(F.expr(f"code div {2 * k}").alias("word")).agg(F.collect_list(cell).alias("cells"))
+    found = near.mapInArrow(choose, "word long, class long").toArrow()
+    out = np.full(len(words), k - 2)
+    out[order[found["word"].to_numpy()]] = found["class"].to_numpy()
+    return out
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -177,7 +250,15 @@ class Model:
     vocabulary: int
 
 
-def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
+def fit(
+    docs: DataFrame,
+    counts: DataFrame,
+    head: int = HEAD,
+    clustered: int = CLUSTERED,
+    classes: int = CLASSES,
+    seen: int = SEEN,
+    rounds: int = ROUNDS,
+) -> Model:
     """A model of training texts, whose token counts are given."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = int(total[0] or 0), int(total[1])
@@ -186,31 +267,33 @@ def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, clustered: int = C
     top = counts.orderBy(F.col("h") != end_hash, F.desc("c"), "h").limit(head).toArrow()
     h = top["h"].to_numpy().view(np.uint64)
     c = top["c"].to_numpy()
-    words = h != np.uint64(END)
-    picked = h[words][:clustered]
-    bigrams = bigram_counts(docs, picked)
-    label = exchange(bigrams, classes)
-    k = int(label[-1]) + 1
-    rest, end = k - 2, k - 1
-    member = np.zeros((len(label), k))
-    member[np.arange(len(label)), label] = 1
-    pairs = member.T @ bigrams @ member
-    before, after = pairs.sum(1), pairs.sum(0)
-    common = (after + 0.5) / (after + 0.5).sum()
-    transition = np.log10((pairs + SMOOTHING * common) / (before + SMOOTHING)[:, None])
+    words = np.flatnonzero(h != np.uint64(END))
+    picked = words[:clustered]
+    label = exchange(bigram_counts(docs, Symbols(h[picked], np.arange(len(picked)), len(picked))), classes)
+    rest, end = int(label[-2]), int(label[-1])
     kind = np.full(len(h), rest)
-    kind[np.flatnonzero(words)[:clustered]] = label[:-2][: len(picked)]
-    kind[~words] = end
-    # Words outside the clusters, with one unknown word more; half a count is added to each.
-    others = v - len(picked) - (1 if n else 0)
-    rest_total = np.log10(after[rest] + 0.5 * (others + 1))
-    emission = np.zeros(len(h))
+    kind[picked] = label[:-2]
+    kind[h == np.uint64(END)] = end
+    known = lambda: Symbols(h[kind < rest], kind[kind < rest], rest)
+    pairs = bigram_counts(docs, known())
+    others = words[clustered:]
+    others = others[c[others] >= seen]
+    for _ in range(rounds if len(others) and rest else 0):
+        kind[others] = best_classes(docs, known(), h[others], pairs)
+        pairs = bigram_counts(docs, known())
+    after = pairs.sum(0)
+    # Words of the common class, with one unknown word more; half a count is added to each.
     inside = kind < rest
+    tail = v - int(inside.sum()) - (1 if n else 0)
+    rest_total = np.log10(after[rest] + 0.5 * (tail + 1))
+    emission = np.zeros(len(h))
     emission[inside] = np.log10(c[inside] / after[kind[inside]])
     emission[kind == rest] = np.log10(c[kind == rest] + 0.5) - rest_total
     order = np.argsort(h)
     base_total = float(np.log10(n + 0.5 * (v + 1)))
-    return Model(h[order], c[order], kind[order], emission[order], transition, base_total, float(rest_total), rest, n, v)
+    return Model(
+        h[order], c[order], kind[order], emission[order], transitions(pairs), base_total, float(rest_total), rest, n, v
+    )
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -237,8 +320,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text_col: str = "tex
             for part in steps(batch):
                 h, first = tokens(*flat(part.column("text")))
                 text = np.repeat(np.arange(len(part)), np.diff(first))
-                at = np.searchsorted(hashes, h).clip(max=max(len(hashes) - 1, 0))
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+                at, hit = _find(hashes, h)
                 safe = np.where(hit, at, 0)
                 c = np.where(hit, head_counts[safe], 0) if len(hashes) else np.zeros(len(h))
                 kind = np.where(hit, classes[safe], rest) if len(hashes) else np.full(len(h), rest)
