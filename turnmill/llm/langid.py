@@ -30,6 +30,8 @@ SAMPLE = 200
 #: A session with more languages than this is refused, so that the model's size is bounded.
 MAX_LANGUAGES = 300
 RIDGE = 1e-3
+#: Parts in which the rows of a language are ranked before their least are ranked together.
+PARTS = 32
 _CODES = (1 << 24) + (1 << 16) + (1 << 8)
 _ROWS = 64
 
@@ -119,12 +121,18 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
     used, whole texts; every other row with a language only counts as one that could have been.
     """
     able = docs.where(training(F.col("doc_id"), F.col("lang"))).where(F.col("text").rlike("\\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))
     picked = (
         able.select("lang", "doc_id")
         .distinct()
-        .withColumn("nth", F.row_number().over(order))
+        .withColumn("hash", F.xxhash64("doc_id"))
+        # The least of each part first, so that a language's last task reads a fixed number of rows.
+        .withColumn("part", F.pmod("hash", F.lit(PARTS)))
+        .withColumn("nth", least("lang", "part"))
         .where(F.col("nth") <= landmarks + sample)
+        .withColumn("nth", least("lang"))
+        .where(F.col("nth") <= landmarks + sample)
+        .select("lang", "doc_id", "nth")
         .limit((landmarks + sample) * MAX_LANGUAGES + 1)
         .collect()
     )
