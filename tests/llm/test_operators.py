@@ -233,6 +233,24 @@ def test_class_model_sums_to_one(spark, docs):
         assert abs((10 ** model.emission[model.classes == kind]).sum() + unknown - 1) < 1e-9
 
 
+@pytest.mark.parametrize("head", [5, 9, 20])
+def test_class_model_is_the_same_beyond_the_head(spark, docs, head):
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 70}" for _ in range(rnd.randrange(40))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", "one two", "w1 never w2"])] + [(3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    training = docs.where("doc_id < 50")
+    counts = class_lm.word_counts(training).cache()
+    whole, part = (class_lm.fit(training, counts, head=n, clustered=4, classes=3, seen=2) for n in (class_lm.HEAD, head))
+    assert whole.beyond is None and part.beyond.count() == (whole.classes < whole.rest).sum() - (part.classes < part.rest).sum() > 0
+    known = dict(zip(whole.hashes.view(np.int64).tolist(), zip(whole.classes.tolist(), whole.emission.tolist())))
+    assert all(known[r.word][0] == r["class"] and abs(known[r.word][1] - r.emission) < 1e-9 for r in part.beyond.collect())
+    assert np.allclose(whole.transition, part.transition) and np.isclose(whole.rest_total, part.rest_total)
+    a, b = (sorted(map(tuple, class_lm.score(docs, counts, m).collect()), key=str) for m in (whole, part))
+    assert len(a) == len(rows) and [x[:3] for x in a] == [x[:3] for x in b]
+    assert np.allclose([x[3:] for x in a], [x[3:] for x in b], rtol=1e-9)
+
+
 def test_exchange_ends_where_no_move_helps():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 9, (12, 12)) * (rnd.random((12, 12)) < 0.4) * 1.0

@@ -2,16 +2,17 @@
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)). The most frequent words are put into classes
 by exchange: each word in turn moves to the class that gives the training text's class bigrams the
-highest likelihood, until few words move. Then every other head word that was seen often enough
+highest likelihood, until few words move. Then every other word that was seen often enough
 joins the class that makes its own neighbours likeliest, all words at once from counts that a
 shuffle gathers (the distributed exchange of Uszkoreit and Brants 2008), in a few rounds. Rare
 words, unknown ones included, share one class, in which a word's probability comes from its count.
 A text's end is a class and a token of its own, and also what the first word follows.
 
 Counts cover all training texts: words by a shuffle into a written table, bigrams of clustered
-words and of classes, and neighbours of head words by others. Scoring knows the head words (a table
-of bounded size in every task); counts of all others are joined by a shuffle. So nothing grows with
-the corpus but tables.
+words and of classes, and neighbours of other words by others. Tasks know the head words (a table
+of bounded size). Words beyond the head are in written tables: their bigrams, classes and counts are
+joined by word, so that results do not depend on where the head ends. So nothing grows with the
+corpus but tables.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from turnmill.llm.common import cut, find_words, flat, mixed, steps, table, word_hashes
 from turnmill.llm.registry import query
 
-#: Words whose counts every task holds: 2**18 rows of 24 bytes. The others are joined.
+#: Words whose counts and classes every task holds: 2**18 rows of 24 bytes. Those of others are joined.
 HEAD = 1 << 18
 #: Words that are clustered, and their classes. Their bigram table has CLUSTERED**2 cells at most.
 CLUSTERED, CLASSES = 2048, 48
-#: A head word seen so often joins one of these classes; rarer ones have too few neighbours to tell.
+#: A word seen so often joins one of these classes; rarer ones have too few neighbours to tell.
 SEEN = 5
-#: Rounds in which the head words beyond the clustered ones choose their classes.
+#: Rounds in which the words beyond the clustered ones choose their classes.
 ROUNDS = 2
 #: The exchange ends when a pass moves a smaller share of the words, or after so many passes.
 MOVED, PASSES = 0.002, 12
@@ -126,16 +127,12 @@ def transitions(pairs: np.ndarray) -> np.ndarray:
     return np.log10((pairs + SMOOTHING * common) / (pairs.sum(1) + SMOOTHING)[:, None])
 
 
-def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For each of the words, the class in which its occurrences and what follows them are likeliest.
-
-    A word's counts with the classes before and after it come from a shuffle, at most two per
-    class, and are scored in tasks; the driver gets one class per word. The text's end and the
-    common class are not chosen. Ties go to the first class.
-    """
+def neighbours(docs: DataFrame, symbols: Symbols, words: np.ndarray) -> DataFrame:
+    """code, c: for each of the words (hashes, in order), its counts with the class before and after
+    it. code: twice the number of symbols times the word's place, and the class, or for the class
+    after it the class and the number of symbols."""
     k = symbols.size
-    order = np.argsort(words)
-    share = docs.sparkSession.sparkContext.broadcast((symbols, words[order]))
+    share = docs.sparkSession.sparkContext.broadcast((symbols, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, ordered = share.value
@@ -150,6 +147,17 @@ def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np
                 code, c = np.unique(np.concatenate([base + before, base + k + after]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
 
+    return docs.select("text").mapInArrow(run, "code long, c long")
+
+
+def choices(cells: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """word, class: for the word of some cells (word, near, c; near as in the code of neighbours()),
+    the class in which its occurrences and what follows them are likeliest.
+
+    A word has at most two cells per class, each once; they are scored in tasks. The text's end and
+    the common class are not chosen. Ties go to the first class.
+    """
+    k = len(pairs)
     step = transitions(pairs)
     gains = np.concatenate([step, step.T])[:, : k - 2]
     sizes = pairs.sum(0)[: k - 2]
@@ -167,15 +175,154 @@ def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np
                 best = (counts @ gains - seen * np.log10(sizes + seen)).argmax(1)
                 yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(best)], ["word", "class"])
 
-    cells = docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    cell = F.struct((F.col("code") % (2 * k)).alias("near"), "c")
-    near = cells.groupBy(F.expr(f"code div {2 * k}").alias("word")).agg(F.collect_list(cell).alias("cells"))
-    found = near.mapInArrow(choose, "word long, class long").toArrow()
+    near = cells.groupBy("word").agg(F.collect_list(F.struct("near", "c")).alias("cells"))
+    return near.mapInArrow(choose, "word long, class long")
+
+
+def head_choices(cells: DataFrame, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The choices of words (hashes) that the driver has; cells: those of neighbours(), of all words in order."""
+    k = len(pairs)
+    summed = cells.groupBy("code").agg(F.sum("c").alias("c"))
+    found = choices(summed.select(F.expr(f"code div {2 * k}").alias("word"), F.expr(f"code % {2 * k}").alias("near"), "c"), pairs).toArrow()
     out = np.full(len(words), k - 2)
-    out[order[found["word"].to_numpy()]] = found["class"].to_numpy()
+    out[np.argsort(words)[found["word"].to_numpy()]] = found["class"].to_numpy()
     return out
 
 
+def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The choices of some words from their neighbours among the symbols."""
+    return head_choices(neighbours(docs, symbols, np.sort(words)), words, pairs)
+
+
+@dataclass
+class Beyond:
+    """Words beyond the head that are seen often enough, with what the rounds need to know of them.
+
+    words: h, c. near: word, side, place, n: counts of such a word before (side 0) or after (side 1)
+    the head word at that place. both: l, r, n: bigrams of two words beyond the head, null for rare
+    ones. classes: word, class. by_head, by_class: near and both with classes in place of the words.
+    """
+
+    words: DataFrame
+    near: DataFrame
+    both: DataFrame
+    classes: DataFrame | None = None
+    by_head: DataFrame | None = None
+    by_class: DataFrame | None = None
+
+
+def beyond(docs: DataFrame, head: np.ndarray, words: DataFrame) -> Beyond:
+    """The bigrams of `words` (h, c), all beyond the head; head: hashes.
+
+    Words beyond the head are at most 1 in len(head) of the tokens each, so no key of these joins has
+    many rows.
+    """
+    order = np.argsort(head)
+    share = docs.sparkSession.sparkContext.broadcast((head[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered, order = share.value
+        for batch in batches:
+            for part in steps(batch):
+                h = np.concatenate([[np.uint64(END)], tokens(*flat(part.column("text")))[0]])
+                at, hit = _find(ordered, h)
+                some = np.flatnonzero(~(hit[:-1] & hit[1:]))
+                side = hit[some].astype(np.int8)  # of two words beyond the head, the first one
+                other = some + 1 - side
+                pair = ~hit[other]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[some + side].view(np.int64)),
+                        pa.array(side),
+                        pa.array(order[at[other]].astype(np.int32), mask=pair),
+                        pa.array(h[other].view(np.int64), mask=~pair),
+                    ],
+                    ["word", "side", "place", "other"],
+                )
+
+    rows = docs.select("text").mapInArrow(run, "word long, side byte, place int, other long")
+    marked = lambda key, name: words.select(F.col("h").alias(key), F.lit(True).alias(name))
+    found = rows.join(marked("key", "open"), F.col("word") == F.col("key"), "left").where("open OR other IS NOT NULL")
+    found = cut(found.groupBy("word", "side", "place", "other", "open").agg(F.count(F.lit(1)).alias("n")), "open_bigrams")
+    pairs = found.where("other IS NOT NULL").join(marked("key", "known"), F.col("other") == F.col("key"), "left")
+    both = pairs.where("open OR known").select(F.expr("IF(open, word, NULL)").alias("l"), F.expr("IF(known, other, NULL)").alias("r"), "n")
+    return Beyond(words, found.where("other IS NULL").select("word", "side", "place", "n"), cut(both, "open_pairs"))
+
+
+def with_classes(x: Beyond, classes: DataFrame) -> Beyond:
+    """The same with the words' classes (word, class) known."""
+    by_head = x.near.join(classes, "word").groupBy("side", "class", "place").agg(F.sum("n").alias("n"))
+    both = x.both
+    for side, name in (("l", "a"), ("r", "b")):
+        key = F.coalesce(F.col(side), F.xxhash64("l", "r", "n"))  # a rare word's rows are spread
+        found = classes.select(F.col("word").alias("key"), F.col("class").alias(name))
+        both = both.join(found, key == F.col("key"), "left").drop("key").withColumn(name, F.expr(f"IF({side} IS NULL, NULL, {name})"))
+    return Beyond(x.words, x.near, x.both, classes, cut(by_head, "classes_by_head"), cut(both, "classes_of_pairs"))
+
+
+def moved_pairs(x: Beyond, kind: np.ndarray, rest: int) -> np.ndarray:
+    """What the classes of words beyond the head add to bigram_counts() of the head's symbols, which
+    has them all in the common class. kind: the classes of the head."""
+    m = rest + 2
+    share = x.words.sparkSession.sparkContext.broadcast(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side, own, place, n = (batch.column(c).to_numpy() for c in ("side", "class", "place", "n"))
+            near = share.value[place]
+            code = lambda own: np.where(side == 0, own * m + near, near * m + own)
+            code, at = np.unique(np.concatenate([code(own), code(np.full(len(own), rest))]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([n, -n]), len(code)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
+
+    of = lambda a, b, n: F.struct((a * m + b).cast("long").alias("code"), n.alias("c"))
+    a, b = F.coalesce("a", F.lit(rest)), F.coalesce("b", F.lit(rest))
+    both = F.explode(F.array(of(a, b, F.col("n")), of(F.lit(rest), F.lit(rest), -F.col("n")))).alias("x")
+    cells = x.by_head.mapInArrow(run, "code long, c long").union(x.by_class.select(both).select("x.code", "x.c"))
+    cells = cells.groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(m * m)
+    out[cells["code"].to_numpy()] = cells["c"].to_numpy()
+    return out.reshape(m, m)
+
+
+def moved_neighbours(x: Beyond, head: np.ndarray, others: np.ndarray, rest: int) -> DataFrame:
+    """What the classes of words beyond the head add to neighbours() of the head words at `others`."""
+    m = rest + 2
+    number = np.full(len(head), -1)  # as neighbours() counts the words
+    number[others[np.argsort(head[others])]] = np.arange(len(others))
+    share = x.words.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = share.value
+        for batch in batches:
+            side, own, place, n = (batch.column(c).to_numpy() for c in ("side", "class", "place", "n"))
+            keep = number[place] >= 0
+            base, n = number[place[keep]] * (2 * m) + side[keep].astype(np.int64) * m, n[keep]
+            code = np.concatenate([base + own[keep], base + rest])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([n, -n]))], ["code", "c"])
+
+    return x.by_head.mapInArrow(run, "code long, c long")
+
+
+def open_neighbours(x: Beyond, kind: np.ndarray, rest: int) -> DataFrame:
+    """word, near, c: the cells of the words beyond the head; kind: the classes of the head."""
+    m = rest + 2
+    share = x.words.sparkSession.sparkContext.broadcast(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side, place = batch.column("side").to_numpy(), batch.column("place").to_numpy()
+            near = share.value[place] + np.where(side == 0, m, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(near.astype(np.int64)), batch.column("n")], ["word", "near", "n"])
+
+    cells = x.near.mapInArrow(run, "word long, near long, n long")
+    none = F.lit(None).cast("long")
+    both = x.both.withColumns({"a": none, "b": none}) if x.by_class is None else x.by_class
+    for word, near in ((F.col("l"), F.coalesce("b", F.lit(rest)) + m), (F.col("r"), F.coalesce("a", F.lit(rest)))):
+        cells = cells.union(both.select(word, near.cast("long"), "n").where(word.isNotNull()))
+    return cells.repartition("word").groupBy("word", "near").agg(F.sum("n").alias("c"))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -236,7 +383,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, moved: float = MOVED,
 @dataclass
 class Model:
     """Head words by hash: hash, count, class, log10 P(word | class); log10 of class transitions;
-    log10 of the denominators of base scores and of words in the common class; class numbers."""
+    log10 of the denominators of base scores and of words in the common class; class numbers.
+    beyond: word, class, emission of the words beyond the head that joined a class, or None."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -248,6 +396,7 @@ class Model:
     rest: int
     train_tokens: int
     vocabulary: int
+    beyond: DataFrame | None = None
 
 
 def fit(
@@ -269,30 +418,51 @@ def fit(
     c = top["c"].to_numpy()
     words = np.flatnonzero(h != np.uint64(END))
     picked = words[:clustered]
-    label = exchange(bigram_counts(docs, Symbols(h[picked], np.arange(len(picked)), len(picked))), classes)
+    grams = bigram_counts(docs, Symbols(h[picked], np.arange(len(picked)), len(picked)))
+    label = exchange(grams, classes)
     rest, end = int(label[-2]), int(label[-1])
     kind = np.full(len(h), rest)
     kind[picked] = label[:-2]
     kind[h == np.uint64(END)] = end
     known = lambda: Symbols(h[kind < rest], kind[kind < rest], rest)
-    pairs = bigram_counts(docs, known())
+    member = np.eye(rest + 2)[label]
+    pairs = member.T @ grams @ member
     others = words[clustered:]
     others = others[c[others] >= seen]
-    for _ in range(rounds if len(others) and rest else 0):
-        kind[others] = best_classes(docs, known(), h[others], pairs)
+    more = None
+    if rest and rounds and len(h) == head and c[-1] >= seen:
+        later = (F.col("c") < int(c[-1])) | ((F.col("c") == int(c[-1])) & (F.col("h") > top["h"][-1].as_py()))
+        open_ = cut(counts.where(later & (F.col("c") >= seen) & (F.col("h") != end_hash)).select("h", "c"), "open_words")
+        more = beyond(docs, h, open_) if open_.head(1) else None
+    for _ in range(rounds if (len(others) or more) and rest else 0):
+        cells = neighbours(docs, known(), np.sort(h[others]))
+        joined = None
+        if more:
+            if more.classes is not None:
+                cells = cells.union(moved_neighbours(more, h, others, rest))
+            joined = cut(choices(open_neighbours(more, kind, rest), pairs), "open_classes")
+        kind[others] = head_choices(cells, h[others], pairs)
         pairs = bigram_counts(docs, known())
+        if more:
+            more = with_classes(more, joined)
+            pairs = pairs + moved_pairs(more, kind, rest)
     after = pairs.sum(0)
     # Words of the common class, with one unknown word more; half a count is added to each.
     inside = kind < rest
-    tail = v - int(inside.sum()) - (1 if n else 0)
+    tail = v - int(inside.sum()) - (more.words.count() if more else 0) - (1 if n else 0)
     rest_total = np.log10(after[rest] + 0.5 * (tail + 1))
     emission = np.zeros(len(h))
     emission[inside] = np.log10(c[inside] / after[kind[inside]])
     emission[kind == rest] = np.log10(c[kind == rest] + 0.5) - rest_total
     order = np.argsort(h)
     base_total = float(np.log10(n + 0.5 * (v + 1)))
+    found = None
+    if more:
+        share = F.log10(F.col("c") / F.get(F.lit(after.tolist()), F.col("class").cast("int")))
+        found = more.words.join(more.classes, F.col("h") == F.col("word")).select("word", "class", share.alias("emission"))
+        found = cut(found, "open_emissions")
     return Model(
-        h[order], c[order], kind[order], emission[order], transitions(pairs), base_total, float(rest_total), rest, n, v
+        h[order], c[order], kind[order], emission[order], transitions(pairs), base_total, float(rest_total), rest, n, v, found
     )
 
 
@@ -311,7 +481,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text_col: str = "tex
     share = docs.sparkSession.sparkContext.broadcast(
         (model.hashes, model.counts, model.classes, model.emission, model.transition, model.base_total, model.rest_total, model.rest)
     )
-    names = ["id", "mark", "h", "n", "tokens", "known", "base", "model"]
+    names = ["id", "mark", "h", "n", "before", "after", "next", "tokens", "known", "base", "model"]
+    wide = model.beyond is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, head_counts, classes, emission, transition, base_total, rest_total, rest = share.value
@@ -326,17 +497,32 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text_col: str = "tex
                 kind = np.where(hit, classes[safe], rest) if len(hashes) else np.full(len(h), rest)
                 kind[h == np.uint64(END)] = end
                 before = np.concatenate([[end], kind[:-1]])
+                after = np.concatenate([kind[1:], [end]])
+                tail = ~hit & (kind != end)
+                behind, ahead = np.concatenate([[False], tail[:-1]]), np.concatenate([tail[1:], [False]])
                 out = transition[before, kind]
+                if wide:  # transitions of words beyond the head wait for their classes
+                    out[tail | behind] = 0
+                else:
+                    out[tail] -= rest_total
                 out = out + np.where(hit, emission[safe] if len(hashes) else 0, 0)
-                tail = ~hit & (kind != end)
-                out[tail] -= rest_total
                 base = np.where(hit, np.log10(c + 0.5), 0) - base_total
                 base[~hit & (kind == end)] += np.log10(0.5)  # no training text at all
-                # Other words, once for each text, wait for their counts.
-                pair = np.unique(np.stack([text[tail].astype(np.uint64), h[tail]]), axis=1, return_counts=True) if tail.any() else None
-                t = pair[0][0].astype(np.int64) if pair else np.zeros(0, np.int64)
-                th = pair[0][1] if pair else np.zeros(0, np.uint64)
-                n = pair[1] if pair else t
+                # Other words, once for each text and the classes beside them, wait for their counts.
+                beside = np.zeros(len(h), np.uint64)
+                if wide:
+                    beside = (np.where(behind, 0, before + 1) * (end + 2) + np.where(ahead, 0, after + 1)).astype(np.uint64)
+                pair = np.stack([text[tail].astype(np.uint64), h[tail], beside[tail]])
+                n = np.ones(int(tail.sum()), np.int64)
+                if len(n) and not wide:  # else few are equal
+                    pair, n = np.unique(pair, axis=1, return_counts=True)
+                # So do neighbours that are both such words.
+                two = np.flatnonzero(tail & ahead) if wide else np.zeros(0, np.int64)
+                t = np.concatenate([pair[0].astype(np.int64), text[two]])
+                th = np.concatenate([pair[1], h[two]])
+                n = np.concatenate([n, np.ones(len(two), np.int64)])
+                beside = np.concatenate([np.zeros(len(part), np.int64), pair[2].astype(np.int64), two * 0])
+                follows = np.concatenate([np.zeros(len(part) + len(pair[0]), np.uint64), h[np.minimum(two + 1, len(h) - 1)]])
                 row = np.concatenate([np.arange(len(part)), t])
                 zero = np.zeros(len(t))
                 # A text's own row gets a key that no word has, but spread like words.
@@ -347,6 +533,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text_col: str = "tex
                         part.column("mark").take(pa.array(row)),
                         pa.array(np.concatenate([own, th]).view(np.int64)),
                         pa.array(np.concatenate([np.zeros(len(part), np.int64), n])),
+                        pa.array(beside // (end + 2) - 1),
+                        pa.array(beside % (end + 2) - 1),
+                        pa.array(follows.view(np.int64), mask=np.arange(len(row)) < len(row) - len(two)),
                         pa.array(np.concatenate([np.diff(first), t * 0])),
                         pa.array(np.concatenate([_sums(c > 0, first), t * 0]).astype(np.int64)),
                         pa.array(np.concatenate([_sums(base, first), zero])),
@@ -357,20 +546,42 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text_col: str = "tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    rows = base.mapInArrow(run, f"id {kind}, mark long, h long, n long, tokens long, known long, base double, model double")
+    sums = "tokens long, known long, base double, model double"
+    rows = base.mapInArrow(run, f"id {kind}, mark long, h long, n long, before long, after long, next long, {sums}")
+    words = counts.select(F.col("h").alias("word"), "c")
     c = F.coalesce("c", F.lit(0))
     waiting = F.col("n") * F.log10(c + 0.5)
-    summed = (
-        rows.join(counts.select(F.col("h").alias("word"), "c"), F.col("h") == F.col("word"), "left")
-        .groupBy("id", "mark")
-        .agg(
-            F.count(F.when(F.col("n") == 0, 1)).alias("rows"),
-            F.sum("tokens").alias("tokens"),
-            F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-            F.sum(F.col("base") + waiting).alias("base"),
-            F.sum(F.col("model") + waiting).alias("model"),
-        )
+    adds = waiting
+    if wide:
+        words = words.join(model.beyond, "word", "left")
+        size, table_ = len(model.transition), F.lit(model.transition.ravel().tolist())
+        step = lambda a, b: F.get(table_, (a * size + b).cast("int"))
+        own = F.coalesce("class", F.lit(model.rest))
+        adds = F.coalesce("emission", F.log10(c + 0.5) - float(model.rest_total))
+        adds += F.when(F.col("before") >= 0, step(F.col("before"), own)).otherwise(0)
+        adds = F.col("n") * (adds + F.when(F.col("after") >= 0, step(own, F.col("after"))).otherwise(0))
+    single = F.col("next").isNull()
+    joined = rows.join(words, F.col("h") == F.col("word"), "left")
+    summed = joined.groupBy("id", "mark", *(["next", F.when(~single, own).alias("first")] if wide else [])).agg(
+        F.count(F.when(F.col("n") == 0, 1)).alias("rows"),
+        F.sum("n").alias("n"),
+        F.sum("tokens").alias("tokens"),
+        F.sum(F.col("known") + F.when(single & (c > 0), F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.col("base") + F.when(single, waiting).otherwise(0)).alias("base"),
+        F.sum(F.col("model") + F.when(single, adds).otherwise(0)).alias("model"),
     )
+    if wide:
+        second = model.beyond.select(F.col("word").alias("key"), "class")
+        key = F.coalesce("next", F.xxhash64("id", "mark"))
+        met = F.col("n") * step(F.col("first"), F.coalesce("class", F.lit(model.rest)))
+        summed = (
+            summed.join(second, key == F.col("key"), "left")
+            .groupBy("id", "mark")
+            .agg(
+                *[F.sum(x).alias(x) for x in ("rows", "tokens", "known", "base")],
+                F.sum(F.col("model") + F.when(single, 0).otherwise(met)).alias("model"),
+            )
+        )
     one = lambda name: F.col(name) / F.col("rows")  # noqa: E731  equal rows have summed up
     each = summed.select(
         "id",
