@@ -436,3 +436,19 @@ def test_language_stage_keeps_columns_of_its_own_names(spark):
     kept = corpus_pipeline.language(spark, docs, SF)
     assert kept.schema == docs.schema and kept.where("score <> concat('s', doc_id) OR lang_pred <> doc_id").count() == 0
     assert kept.count() > 0
+
+
+def test_language_stage_drops_unlearned_scripts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = [
+        "Вчера вечером мы долго гуляли по старому городу и говорили о книгах, которые прочитали летом.",
+        "昨天晚上我们在老城区散步，谈论夏天读过的书。天气很暖和，广场上有人在演奏音乐。",
+        "Χθες το βράδυ περπατήσαμε στην παλιά πόλη και μιλήσαμε για τα βιβλία που διαβάσαμε το καλοκαίρι.",
+        "昨日の夜、私たちは旧市街を散歩して、夏に読んだ本について話しました。",
+        "مشينا مساء أمس في المدينة القديمة وتحدثنا عن الكتب التي قرأناها في الصيف.",
+        "asdf jkl; qwer zxcv hjkl fdsa lkjh poiu ytrew mnbv cxz qazwsx edcrfv tgbyhn ujmik olp wertz " * 4,
+    ]
+    rows = [(10**9 + i, t * n, None, "s", len(t * n)) for i, t in enumerate(foreign) for n in (1, 9)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, more, SF).collect()}
+    assert kept == {r.doc_id for r in docs.where(docs.text.rlike("\\p{L}")).collect()}

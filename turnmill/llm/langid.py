@@ -3,10 +3,11 @@
 A text is the set of its blended-spectrum n-grams (1 to 3 bytes of the lower-cased text, everything
 but letters a blank). The presence kernel of two texts is the number of n-grams they share, divided
 by the geometric mean of their numbers of n-grams. Nystroem landmarks, the same number of training
-texts per language, stand for the training set: n-grams outside all landmarks are left out, kernel
-values with the landmarks are whitened by the landmarks' own kernel matrix, and a one-versus-rest
-ridge regression on them gives a score per language. A batch of texts is scored by two matrix
-products: with the landmarks' n-grams, then with the regression's weights.
+texts per language, stand for the training set: n-grams outside all landmarks count in a text's own
+number only, so that a text in no learned language scores low. Kernel values with the landmarks are
+whitened by the landmarks' own kernel matrix, and a one-versus-rest ridge regression on them gives a
+score per language. A batch of texts is scored by two matrix products: with the landmarks' n-grams,
+then with the regression's weights.
 """
 
 from __future__ import annotations
@@ -68,9 +69,10 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def kernel(self, present: np.ndarray) -> np.ndarray:
-        """Kernel of rows of n-gram presence with the landmarks."""
-        own = np.sqrt(np.maximum(present.sum(1), 1))
+    def kernel(self, present: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Kernel of rows of n-gram presence with the landmarks; size: the n-grams of each row, those
+        outside all landmarks too."""
+        own = np.sqrt(np.maximum(size, 1))
         theirs = np.sqrt(np.maximum(self.landmarks.sum(1), 1))
         return (present @ self.landmarks.T) / own[:, None] / theirs[None, :]
 
@@ -80,11 +82,14 @@ class Model:
         for a in range(0, len(out), _ROWS):
             where = offsets[a : a + _ROWS + 1]
             present = np.zeros((len(where) - 1, len(self.codes)), np.float32)
+            others = []
             for part in _pieces(where):
                 codes, text = ngrams(data[part[0] : part[-1]], part - part[0])
                 at = column[codes]
                 present[text[at >= 0], at[at >= 0]] = 1
-            out[a : a + _ROWS] = self.kernel(present) @ self.weights
+                others.append(np.unique(text[at < 0] * _CODES + codes[at < 0]))
+            other = np.bincount(np.unique(np.concatenate(others)) // _CODES, minlength=len(present))
+            out[a : a + _ROWS] = self.kernel(present, present.sum(1) + other) @ self.weights
         return out
 
     def columns(self) -> np.ndarray:
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
     for i, k in enumerate(chosen):
         marks[i, np.searchsorted(codes, first[k])] = 1
     model = Model(languages, codes, marks, np.zeros((len(chosen), len(languages))))
-    own, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
+    own, vectors = np.linalg.eigh(model.kernel(marks, marks.sum(1)).astype(float))
     good = own > 1e-6 * own.max()
     whiten = vectors[:, good] / np.sqrt(own[good])
     keys = sorted(first)
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
         present = np.zeros((1, len(codes)), np.float32)
         at = np.searchsorted(codes, first[k]).clip(max=len(codes) - 1)
         present[0, at[codes[at] == first[k]]] = 1
-        kernel[i] = model.kernel(present)[0]
+        kernel[i] = model.kernel(present, np.array([len(first[k])]))[0]
     z = kernel @ whiten
     goal = np.array([[lang == x for x in languages] for lang, _ in keys], float)
     # Every language weighs the same, however many of its texts were found.
