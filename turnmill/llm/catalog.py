@@ -12,6 +12,7 @@ from turnmill.llm import (  # noqa: F401
     sharding,
     simhash,
     suffix_groups,
+    whitening,
 )
 from turnmill.llm.registry import ORACLES, QUERIES
 
