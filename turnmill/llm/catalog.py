@@ -7,6 +7,7 @@ from turnmill.llm import (  # noqa: F401
     decontaminate,
     langid,
     packing,
+    prefix_trie,
     quality,
     relative_lz,
     sharding,
