@@ -5,6 +5,7 @@ from turnmill.llm import (  # noqa: F401
     chat,
     class_lm,
     decontaminate,
+    html_extract,
     langid,
     packing,
     prefix_trie,
