@@ -4,6 +4,7 @@ import pytest
 
 from turnmill.operators import dialogue as D
 from turnmill.operators import generation as G
+from turnmill.operators import histories as H
 from turnmill.operators.models import ModelSpec
 
 
@@ -65,7 +66,7 @@ def test_points_and_histories(spark, files, compat):
     pairs = D.turn_pairs(df, compat, chunk_rows=4).collect()
     assert {(r.source_file, r.turn_index): (r.officer_input, r.reference_response) for r in pairs} == points
 
-    whole = D.dialogue_history(df, "sys", compat, segment_turns=4)
+    whole = H.dialogue_history(df, "sys", compat, chunk_turns=4)
     got = {(r.source_file, r.turn_index): [(m.role, m.content) for m in r.history] for r in whole.collect()}
     assert got == {k: [("system", "sys"), *h] for k, h in histories.items()}
 
@@ -106,6 +107,44 @@ def test_streamed_replies_see_the_same_history(spark):
             assert r.predicted_response == "|".join(["sys", *[c for _, c in histories[f, i]]])
 
 
+@pytest.mark.parametrize("files", [FILES, random_files(6, 30)])
+def test_folds_of_histories(spark, files):
+    _, histories = by_hand(files)
+    folds = {"n": H.MessageCount(), "chars": H.PromptChars(), "reply": H.LastBy("assistant"), "last": H.LastMessages(4)}
+    got = H.folded_histories(turns(spark, files), folds, chunk_rows=4).collect()
+    assert len(got) == len(histories)
+    for r in got:
+        told = histories[r.source_file, r.turn_index]
+        lines = [f"{D.ROLE_NAMES[role]}: {text}" for role, text in told]
+        assert r.officer_input == told[-1][1] and r.n == len(told) + 1 and r.chars == len("\n".join(lines))
+        assert r.reply == next((text for role, text in reversed(told) if role == "assistant"), None)
+        assert [(m.role, m.content) for m in r["last"]] == told[-4:]
+    with pytest.raises(ValueError, match="window of 5"):
+        H.folded_histories(turns(spark, files), {"last": H.LastMessages(5)}, chunk_rows=4)
+
+
+def test_folded_replies(spark):
+    files = random_files(4, 25)
+    _, histories = by_hand(files)
+    calls = []
+
+    class Show:
+        def generate_batch(self, states, max_new_tokens, temperature, top_p):
+            return [ValueError("no answer") if s["last"][-1]["content"].startswith("t2.") else f"{s['n']} {len(s['last'])}" for s in states]
+
+        def generate(self, state, **kw):
+            calls.append(state)
+
+    specs = [ModelSpec("m1", "f", "base"), ModelSpec("m2", "f", "base")]
+    folds = {"n": H.MessageCount(), "last": H.LastMessages(3)}
+    got = G.predict_folded(turns(spark, files), specs, folds, lambda spec: Show(), batch_size=3, chunk_rows=8, tasks=2)
+    rows = {(r.model_name, r.source_file, r.turn_index): r for r in got.collect()}
+    assert len(rows) == 2 * len(histories)
+    for (m, f, i), r in rows.items():
+        n = len(histories[f, i])
+        assert (r.predicted_response, r.error) == ((None, "no answer") if f == "f2" else (f"{n + 1} {min(n, 3)}", None))
+
+
 def test_plain_prompt_and_system_split(spark):
     df = spark.sql(
         "select array(named_struct('role', 'system', 'content', 's'), named_struct('role', 'user', 'content', 'u'),"

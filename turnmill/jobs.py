@@ -23,6 +23,7 @@ from turnmill.operators import (
     summaries,
     videos,
 )
+from turnmill.operators.histories import Fold
 from turnmill.operators.models import ModelSpec, select_models, skip_unconfigured
 from turnmill.operators.transcription import parsed_transcriptions, transcribe_videos
 from turnmill.sources import readers, writers
@@ -129,15 +130,20 @@ def evaluate_replies(
     models: list[str] | None = None,
     encoder: Callable[[], scoring.TokenEncoder] | None = None,
     tasks: int | None = None,
+    folds: dict[str, Fold] | None = None,
 ) -> dict[str, DataFrame]:
     """Replies at every evaluation point, their scores, and summaries per model and file.
 
-    Without an encoder embedding_f1 is NULL.
+    Without an encoder embedding_f1 is NULL. With ``folds`` the factory's generators answer from
+    them (FoldedGenerator), else from whole histories.
     """
     spark = turns.sparkSession
     runnable = skip_unconfigured(select_models(specs, models))
+    spread = _tasks(spark, tasks)
     replies = _kept(
-        generation.predict_replies(turns, runnable, factory, tasks=_tasks(spark, tasks)),
+        generation.predict_folded(turns, runnable, folds, factory, tasks=spread)
+        if folds
+        else generation.predict_replies(turns, runnable, factory, tasks=spread),
         f"{out}/replies",
     )
     points = dialogue.turn_pairs(turns).drop("officer_input")

@@ -221,48 +221,6 @@ def history_segments(
     )
 
 
-def dialogue_history(
-    turns: DataFrame,
-    system_prompt: str = DEFAULT_SYSTEM_PROMPT,
-    compat: bool = False,
-    segment_turns: int = SEGMENT_TURNS,
-) -> DataFrame:
-    """Whole history per evaluation point: source_file, turn_index, history (role, content).
-
-    The real replies are in the history, not generated ones. A row is as long as its
-    conversation up to the point; use history_index where the prefix form is enough.
-    """
-    turn = F.struct(
-        "turn_index", "asked", "copies", F.struct("role", "content").alias("message")
-    )
-    gathered = (
-        history_segments(turns, compat, segment_turns)
-        .groupBy("source_file", "segment")
-        .agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
-    )
-    places = F.filter(
-        F.transform(
-            "_turns",
-            lambda t, i: F.struct(
-                t["turn_index"].alias("turn_index"), t["asked"].alias("asked"), i.alias("i")
-            ),
-        ),
-        lambda t: t["asked"],
-    )
-    points = gathered.select("source_file", "_turns", F.explode(places).alias("_p"))
-    upto = F.slice("_turns", F.lit(1), F.col("_p.i") + 1)
-    if compat:
-        messages = F.flatten(F.transform(upto, lambda t: F.array_repeat(t["message"], t["copies"])))
-    else:
-        messages = F.transform(upto, lambda t: t["message"])
-    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")))
-    return points.select(
-        "source_file",
-        F.col("_p.turn_index").alias("turn_index"),
-        F.concat(system, messages).alias("history"),
-    )
-
-
 def render_plain_prompt(history: Column | str) -> Column:
     """One line per message with its speaker, closed by 'Civilian:'."""
     lines = F.transform(col(history), lambda m: prompt_line(m["role"], m["content"]))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,10 @@ from turnmill.operators.dialogue import (
     build_transcript,
     history_segments,
 )
+from turnmill.operators.histories import Fold, LastBy, LastMessages, MessageCount, folded_histories
 from turnmill.operators.hooks import BATCH_SIZE, ask_all, slices
 from turnmill.operators.models import ModelSpec, case_model_grid
+from turnmill.operators.ordering import CHUNK_ROWS
 from turnmill.operators.scenarios import render_system_prompt
 from turnmill.sources.schemas import GENERATED_TURNS
 
@@ -61,7 +64,40 @@ class RepeatGenerator:
         return next((m["content"] for m in reversed(history) if m["role"] == "assistant"), "")
 
 
-Factory = Callable[[dict], ReplyGenerator]
+class FoldedGenerator(Protocol):
+    """Answers the folds of a history: a dict with a value for each fold. Raises when it cannot.
+
+    Like a ReplyGenerator it may have ``generate_batch`` for a list of them.
+    """
+
+    def generate(
+        self, state: dict, max_new_tokens: int, temperature: float, top_p: float
+    ) -> str: ...
+
+
+#: What the folded baselines need of a history.
+BASELINE_FOLDS = {"messages": MessageCount(), "last": LastMessages(1), "reply": LastBy("assistant")}
+
+
+class FoldedEcho:
+    """EchoGenerator from folds."""
+
+    def generate(self, state, max_new_tokens, temperature, top_p) -> str:
+        return f"{state['messages']} {state['last'][-1]['content']}"
+
+
+class FoldedRepeat:
+    """RepeatGenerator from folds."""
+
+    def generate(self, state, max_new_tokens, temperature, top_p) -> str:
+        return state["reply"] or ""
+
+
+Factory = Callable[[dict], ReplyGenerator | FoldedGenerator]
+
+
+def folded_factory(spec: dict) -> FoldedGenerator:
+    return FoldedRepeat() if spec["model_name"].startswith("repeat") else FoldedEcho()
 
 
 def builtin_factory(spec: dict) -> ReplyGenerator:
@@ -191,7 +227,8 @@ def predict_replies(
 
     The rows of a (model, file, segment) pass through one task in turn order. They build up one
     history, and the model is asked where a point comes, so no history is stored or shipped
-    per point. A generator that takes lists gets up to ``batch_size`` points at once, fewer where
+    per point. A prompt of the whole history needs all earlier turns in its task: where a generator
+    can do with folds of them, predict_folded spreads evenly. A generator that takes lists gets up to ``batch_size`` points at once, fewer where
     their histories together hold over BATCH_MESSAGES messages. A failed call leaves predicted_response NULL and its message in error; it is not
     scored as text. Write the result before using it twice.
     """
@@ -241,6 +278,54 @@ def predict_replies(
     return ordered.mapInPandas(predict, out)
 
 
+def predict_folded(
+    turns: DataFrame,
+    specs: list[ModelSpec],
+    folds: dict[str, Fold],
+    factory: Factory = folded_factory,
+    sampling: Sampling = Sampling(),
+    tasks: int | None = None,
+    batch_size: int = BATCH_SIZE,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """predict_replies for generators that answer from folds of a history: a count, the last messages
+    (a windowed prompt), the last reply of a role.
+
+    The turns are shuffled once, in chunks, and each point is answered by itself, so a conversation
+    with most of all turns spreads over all tasks. Points of a task come sorted by model.
+    """
+    points = folded_histories(turns, folds, chunk_rows)
+    grid = case_model_grid(points, specs)
+    kept = ["source_file", "turn_index", "model_name", "model_family", "model_type", "officer_input"]
+    out = T.StructType(
+        [*grid.select(*kept).schema, *T.StructType.fromDDL("predicted_response string, error string")]
+    )
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = _Models(factory)
+        for batch in batches:
+            rows = batch.to_pylist()
+            replies = [None] * len(rows)
+            for name in dict.fromkeys(r["model_name"] for r in rows):
+                for some in slices([i for i, r in enumerate(rows) if r["model_name"] == name], batch_size):
+                    states = [{n: rows[i][n] for n in folds} for i in some]
+                    for i, reply in zip(some, models.replies(rows[some[0]], states, sampling)):
+                        replies[i] = reply
+            failed = [isinstance(r, Exception) for r in replies]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(k) for k in kept],
+                    pa.array([None if f else r for r, f in zip(replies, failed)], pa.string()),
+                    pa.array([str(r) if f else None for r, f in zip(replies, failed)], pa.string()),
+                ],
+                out.fieldNames(),
+            )
+        models.close()
+
+    ready = spread(grid, tasks, "model_name", "source_file", "turn_index").sortWithinPartitions("model_name")
+    return ready.mapInArrow(predict, out)
+
+
 def generation_lines(conversations: DataFrame) -> DataFrame:
     """Generated turns as rows: case_id, model_name, turn_index, police, civilian_generated."""
     return conversations.select(

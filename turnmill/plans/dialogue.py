@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.text import PY_WHITESPACE
 from turnmill.operators import dialogue as D
+from turnmill.operators import histories as H
 from turnmill.operators import scoring as S
 from turnmill.operators import summaries as M
 from turnmill.plans import adapters as A
@@ -61,16 +62,74 @@ FROM counted WINDOW w AS (PARTITION BY source_file ORDER BY turn_index)"""
 TWICE = "CASE WHEN role = 'assistant' AND previous_role = 'user' THEN 2 ELSE 1 END"
 
 
-@query("dialogue_history", _history("1"))
-def dialogue_history(spark, sf):
+@query("history_index", _history("1"))
+def history_index(spark, sf):
     return D.history_index(A.turns(spark, sf))
 
 
-@query("dialogue_history_compat", _history(TWICE))
-def dialogue_history_compat(spark, sf):
+@query("history_index_compat", _history(TWICE))
+def history_index_compat(spark, sf):
     return D.history_index(A.turns(spark, sf), compat=True)
 
 
+def _messages(line: str) -> str:
+    return f"""WITH {TURNS}, told AS (
+  SELECT source_file, turn_index, role, next_role, list({line}) OVER (
+    PARTITION BY source_file ORDER BY turn_index) AS lines FROM near)
+SELECT source_file, turn_index, array_to_string(list_concat(['system: Stay in role.'], {{lines}}), chr(10)) AS history
+FROM told WHERE role = 'user' AND next_role = 'assistant'"""
+
+
+MESSAGE = "concat(role, ': ', content)"
+
+
+def _messages_of(spark, sf, compat):
+    histories = H.dialogue_history(A.turns(spark, sf), "Stay in role.", compat)
+    lines = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return histories.select("source_file", "turn_index", F.array_join(lines, "\n").alias("history"))
+
+
+@query("dialogue_history", _messages(MESSAGE).format(lines="lines"))
+def dialogue_history(spark, sf):
+    """All messages of every history."""
+    return _messages_of(spark, sf, False)
+
+
+@query(
+    "dialogue_history_compat",
+    _messages(f"CASE WHEN role = 'assistant' AND previous_role = 'user' THEN [{MESSAGE}, {MESSAGE}] ELSE [{MESSAGE}] END")
+    .format(lines="flatten(lines)"),
+)
+def dialogue_history_compat(spark, sf):
+    return _messages_of(spark, sf, True)
+
+
+FOLDS = {
+    "messages": H.MessageCount(),
+    "prompt_chars": H.PromptChars(),
+    "last_reply": H.LastBy("assistant"),
+    "recent": H.LastMessages(3),
+}
+
+
+@query(
+    "folded_histories",
+    f"""WITH {TURNS}, told AS (
+  SELECT *, count(*) OVER w + 1 AS messages, list(concat(role, ': ', content)) OVER r AS recent,
+    arg_max(content, turn_index) FILTER (role = 'assistant') OVER w AS last_reply,
+    CAST(sum(length(content) + CASE role WHEN 'user' THEN 9 ELSE 10 END + 1) OVER w - 1 AS BIGINT) AS prompt_chars
+  FROM near WINDOW w AS (PARTITION BY source_file ORDER BY turn_index),
+    r AS (PARTITION BY source_file ORDER BY turn_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT source_file, turn_index, content AS officer_input, messages, prompt_chars, last_reply,
+  array_to_string(recent, chr(10)) AS recent
+FROM told WHERE role = 'user' AND next_role = 'assistant'""",
+)
+def folded_histories(spark, sf):
+    """What a count, the last reply and a windowed prompt need of every history."""
+    lines = F.transform("recent", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return H.folded_histories(A.turns(spark, sf), FOLDS).withColumn("recent", F.array_join(lines, "\n"))
+
+
 def _prompts(line: str) -> str:
     return f"""WITH {TURNS}, told AS (
   SELECT source_file, turn_index, role, next_role,
@@ -86,7 +145,7 @@ LINE = "concat(CASE role WHEN 'user' THEN 'Officer: ' ELSE 'Civilian: ' END, con
 
 
 def _prompted(spark, sf, compat):
-    histories = D.dialogue_history(A.turns(spark, sf), "Stay in role.", compat)
+    histories = H.dialogue_history(A.turns(spark, sf), "Stay in role.", compat)
     prompts = histories.withColumn("prompt", D.render_plain_prompt("history"))
     # The whole prompts are rendered; a digest keeps the comparison small.
     return prompts.select(
@@ -114,20 +173,23 @@ def render_plain_prompt_compat(spark, sf):
 @query(
     "split_system_message",
     f"""WITH {TURNS}, told AS (
-  SELECT source_file, turn_index, role, next_role,
-    CAST(count(*) OVER w AS INT) AS n_messages, first_value(content) OVER w AS first_content
-  FROM near WINDOW w AS (PARTITION BY source_file ORDER BY turn_index))
-SELECT source_file, turn_index, 'Stay in role.' AS system_text, n_messages, first_content
+  SELECT source_file, turn_index, role, next_role, list({MESSAGE}) OVER (
+    PARTITION BY source_file ORDER BY turn_index) AS messages FROM near)
+SELECT source_file, turn_index, 'Stay in role.' AS system_text, CAST(len(messages) AS INT) AS n_messages,
+  messages[1] AS first_message, md5(array_to_string(messages, chr(10))) AS messages_md5
 FROM told WHERE role = 'user' AND next_role = 'assistant'""",
 )
 def split_system_message(spark, sf):
     system, rest = D.split_system_message("history")
-    return D.dialogue_history(A.turns(spark, sf), "Stay in role.").select(
+    lines = F.transform(rest, lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    histories = H.dialogue_history(A.turns(spark, sf), "Stay in role.")
+    return histories.select("source_file", "turn_index", system.alias("system_text"), lines.alias("_m")).select(
         "source_file",
         "turn_index",
-        system.alias("system_text"),
-        F.size(rest).alias("n_messages"),
-        F.try_element_at(rest, F.lit(1))["content"].alias("first_content"),
+        "system_text",
+        F.size("_m").alias("n_messages"),
+        F.try_element_at("_m", F.lit(1)).alias("first_message"),
+        F.md5(F.array_join("_m", "\n").cast("binary")).alias("messages_md5"),
     )
 
 

@@ -139,9 +139,7 @@ def build_transcript(spark, sf):
     )
 
 
-@query(
-    "predict_replies",
-    f"""WITH {TURNS}, {MODELS}, told AS (
+REPLIES = f"""WITH {TURNS}, {MODELS}, told AS (
   SELECT *, count(*) OVER (PARTITION BY source_file ORDER BY turn_index) AS n,
     arg_max(content, turn_index) FILTER (role = 'assistant')
       OVER (PARTITION BY source_file ORDER BY turn_index) AS last_reply
@@ -149,11 +147,20 @@ def build_transcript(spark, sf):
 SELECT source_file, turn_index, model_name,
   CASE WHEN model_name = 'repeat_base' THEN coalesce(last_reply, '')
     ELSE concat(n + 1, ' ', content) END AS predicted_response, CAST(NULL AS VARCHAR) AS error
-FROM told CROSS JOIN models WHERE role = 'user' AND next_role = 'assistant'""",
-)
+FROM told CROSS JOIN models WHERE role = 'user' AND next_role = 'assistant'"""
+REPLY = ["source_file", "turn_index", "model_name", "predicted_response", "error"]
+
+
+@query("predict_replies", REPLIES)
 def predict_replies(spark, sf):
-    replies = G.predict_replies(A.turns(spark, sf), A.BASELINES)
-    return replies.select("source_file", "turn_index", "model_name", "predicted_response", "error")
+    """Replies to whole histories."""
+    return G.predict_replies(A.turns(spark, sf), A.BASELINES).select(*REPLY)
+
+
+@query("predict_folded", REPLIES)
+def predict_folded(spark, sf):
+    """The same replies from folds of the histories."""
+    return G.predict_folded(A.turns(spark, sf), A.BASELINES, G.BASELINE_FOLDS).select(*REPLY)
 
 
 BLOCKS = """blocks AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that suit the operators on a cluster as well as on one machine.
 RECOMMENDED = {
@@ -15,8 +15,6 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # For the code page of annotated tables.
     "spark.sql.legacy.javaCharsets": "true",
-    # Small tables too are spread over all cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -37,3 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table written in the shared folder: lineage ends there."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
