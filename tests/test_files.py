@@ -120,6 +120,10 @@ def test_outputs(spark, tmp_path):
     W.append_log(df, str(tmp_path / "log"))
     W.append_log(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+    for run, rows in (("r 1/x", df), ("r2", df.limit(1)), ("r 1/x", df)):
+        W.append_log(rows, str(tmp_path / "runs"), run)
+    logged = spark.read.parquet(str(tmp_path / "runs")).groupBy("run").count()
+    assert {r.run: r["count"] for r in logged.collect()} == {"r 1/x": 3, "r2": 1}
     W.write_jsonl(df, str(tmp_path / "jsonl"))
     assert spark.read.text(str(tmp_path / "jsonl")).count() == 3
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnmill.operators import chat as C
 from turnmill.operators import diarization as D
@@ -195,11 +196,16 @@ def read_judge_cases(spark, sf):
 
 @query(
     "append_run_log",
-    """SELECT CAST(doc_id AS VARCHAR) AS id, 2::BIGINT AS n FROM documents""",
+    """SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN doc_id * 10 END, 0) AS input_token,
+  coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id * 2 END, 0) AS output_token,
+  coalesce(CASE WHEN doc_id % 2 <> 0 THEN doc_id END, 0) AS thought_token,
+  round(coalesce(CASE WHEN doc_id % 5 <> 0 THEN CAST(n_chars AS DOUBLE) / 8 END, 0.0), 2) AS execution_time_sec,
+  'baseline' AS model_name, run FROM documents CROSS JOIN (VALUES ('first'), ('second')) runs(run)""",
 )
 def append_run_log(spark, sf):
+    """Two runs in a log, of which the first was repeated."""
     out = new_dir(spark, "log")
     rows = D.diarization_log(A.diarization_usage(spark, sf), "baseline")
-    writers.append_log(rows, out)
-    writers.append_log(rows, out)
-    return spark.read.schema(rows.schema).parquet(out).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    for run in ("first", "second", "first"):
+        writers.append_log(rows, out, run)
+    return spark.read.schema(T.StructType([*rows.schema, T.StructField("run", T.StringType())])).parquet(out)

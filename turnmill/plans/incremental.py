@@ -63,4 +63,4 @@ def running_filter_counts(spark, sf):
     videos = A.annotate(docs, table(spark, sf, "labels"))
     staged = filter_verdicts(videos).select(F.coalesce("stage", F.lit(0)).cast("int").alias("stage"))
     ingest.running_counts(staged, "stage", out)
-    return spark.read.schema("stage int, n bigint").parquet(f"{out}/running_counts/counts")
+    return ingest.read_counts(spark, out, "stage int, n bigint")

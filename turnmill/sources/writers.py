@@ -76,9 +76,19 @@ def write_turns(turns: DataFrame, path: str, per_file: bool = False) -> None:
     writer.options(**CSV_TEXT).csv(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Add rows to a log."""
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Add rows to a log.
+
+    With the id of a ``run`` the rows are that run's: they are a partition of the log, and replace
+    what the same run wrote before, so a repeated run stands in the log once. Without one, every call
+    adds its rows.
+    """
+    if run is None:
+        df.write.mode("append").parquet(path)
+        return
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run").parquet(path)
 
 
 def write_summary(lines: DataFrame, path: str) -> None:

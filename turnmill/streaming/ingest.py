@@ -1,17 +1,22 @@
 """Incremental processing: each id is handled once, failures are tried again.
 
-Every batch writes its results and then its status rows into folders of its own batch id. A
+What became of an id is state of the stream, kept by key in the state store: a batch looks up its own
+ids and reads nothing of earlier batches. Every batch writes its results and then its status rows
+into folders of its own batch id; the status rows flow back into the stream as its second input. A
 batch that is repeated after a failure replaces what it wrote, so nothing is counted twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnmill.operators.diarization import (
     FAILED,
@@ -21,6 +26,7 @@ from turnmill.operators.diarization import (
     duration_guard,
     pending_videos,
 )
+from turnmill.sources.versions import make_folder, publish, read_version
 
 STATUS_ROWS = "id string, status string, batch_id bigint"
 
@@ -41,28 +47,25 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return read_written(spark, path, STATUS_ROWS)
 
 
-def process_batch(
-    batch: DataFrame,
+def handle_batch(
+    pending: DataFrame,
     batch_id: int,
     out: str,
     process: Callable[[DataFrame], DataFrame],
     limit: float = MAX_MINUTES,
 ) -> None:
-    """Handle the ids of one batch that have no final status.
+    """Handle pending ids, one row each: id, url, minutes.
 
-    ``process`` maps pending rows (id, url, minutes) to results with id and error. Too long
-    videos are ignored for good. A failed id stays open.
+    ``process`` maps them to results with id and error. Too long videos are ignored for good. A
+    batch without ids writes nothing.
     """
-    spark = batch.sparkSession
-    before = read_status(spark, f"{out}/status").filter(F.col("batch_id") != batch_id)
-    # One row per id, the same one whenever the batch is read.
-    once = batch.groupBy("id").agg(F.max(F.struct("minutes", "url")).alias("_v")).select(
-        "id", "_v.url", "_v.minutes"
-    )
+    spark = pending.sparkSession
     # Written once: results and ignored rows both come from it.
     guarded = f"{out}/guarded/batch_id={batch_id}"
-    duration_guard(pending_videos(once, before), limit).write.mode("overwrite").parquet(guarded)
+    duration_guard(pending, limit).write.mode("overwrite").parquet(guarded)
     fresh = spark.read.parquet(guarded)
+    if fresh.isEmpty():
+        return
     results = process(fresh.filter("not too_long").drop("too_long"))
     results.write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}")
     written = spark.read.schema(results.schema).parquet(f"{out}/results/batch_id={batch_id}")
@@ -73,20 +76,127 @@ def process_batch(
     done.unionByName(ignored).write.mode("overwrite").parquet(f"{out}/status/batch_id={batch_id}")
 
 
-def ingest_incremental(
-    manifest_stream: DataFrame,
+def process_batch(
+    batch: DataFrame,
+    batch_id: int,
     out: str,
     process: Callable[[DataFrame], DataFrame],
     limit: float = MAX_MINUTES,
 ) -> None:
-    """Process everything that has arrived, then stop. Run again to take up where it ended."""
-    query = (
-        manifest_stream.writeStream.trigger(availableNow=True)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .foreachBatch(lambda df, n: process_batch(df, n, out, process, limit))
-        .start()
+    """handle_batch for the ids of a table that have no final status in any other batch."""
+    before = read_status(batch.sparkSession, f"{out}/status").filter(F.col("batch_id") != batch_id)
+    once = batch.groupBy("id").agg(
+        F.max_by("url", F.coalesce("minutes", F.lit(-1.0))).alias("url"), F.max("minutes").alias("minutes")
+    )
+    handle_batch(pending_videos(once, before), batch_id, out, process, limit)
+
+
+#: What the stream keeps of an id: where it stands, failed tries, the batch of the last one counted,
+#: and whether it came again while its result was not known yet.
+STATE = "status string, tries int, counted bigint, again boolean, url string, minutes double"
+PENDING = "id string, url string, minutes double"
+ASKED = "asked"
+
+
+def pending_ids(
+    arrivals: DataFrame, status: DataFrame, max_tries: int = 1, expire_ms: int | None = None
+) -> DataFrame:
+    """A stream of ids to process: PENDING rows, each id once until its status is known.
+
+    arrivals: a stream of id, url, minutes. status: the stream of STATUS_ROWS that the batches
+    wrote. A processed or ignored id is done. A failed one is open again: it is given out when it
+    arrives once more, or by itself while it failed less than ``max_tries`` times. State that
+    nothing touched for ``expire_ms`` is dropped, and the id is new if it comes again.
+    """
+    columns = {"id": "string", "url": "string", "minutes": "double", "status": "string", "batch_id": "bigint"}
+    shaped = lambda df: df.select(
+        *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
     )
-    query.awaitTermination()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stands, tries, counted, again, url, minutes = state.get if state.exists else (None, 0, None, False, None, None)
+        told, came = [], []
+        for part in parts:
+            for row in part.itertuples():
+                if row.status is not None:
+                    told.append((int(row.batch_id), row.status))
+                else:
+                    came.append((-1.0 if pd.isna(row.minutes) else row.minutes, row.url or "", row.url))
+        for batch, said in sorted(told):
+            if said in (PROCESSED, IGNORED):
+                stands = said
+            elif stands not in (PROCESSED, IGNORED):
+                stands, tries = FAILED, tries + (batch != counted)
+                counted = batch
+        if came:
+            most = max(came)
+            url, minutes = most[2], None if most[0] < 0 else most[0]
+        wanted = bool(came) or again or (stands == FAILED and tries < max_tries)
+        ask = wanted and stands in (None, FAILED)
+        again = stands == ASKED and wanted
+        state.update((ASKED if ask else stands, tries, counted, again, url, minutes))
+        if expire_ms:
+            state.setTimeoutDuration(expire_ms)
+        if ask:
+            yield pd.DataFrame({"id": [key[0]], "url": [url], "minutes": [minutes]})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
+    return (
+        shaped(arrivals)
+        .unionByName(shaped(status))
+        .groupBy("id")
+        .applyInPandasWithState(step, PENDING, STATE, "append", timeout)
+    )
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB with a changelog: what a batch writes grows with its own keys."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def ingest_incremental(
+    manifest_stream: DataFrame,
+    out: str,
+    process: Callable[[DataFrame], DataFrame],
+    limit: float = MAX_MINUTES,
+    max_tries: int = 1,
+    expire_ms: int | None = None,
+) -> list[dict]:
+    """Process everything that has arrived, then stop. Run again to take up where it ended.
+
+    A run knows the status rows that were there when it started, so an id that failed in a run is
+    open again in the next one. Returns the progress of the last batches, as Spark reports it.
+    """
+    spark = manifest_stream.sparkSession
+    make_folder(spark, f"{out}/status")
+    status = spark.readStream.schema(STATUS_ROWS).parquet(f"{out}/status")
+    pending = pending_ids(manifest_stream, status, max_tries, expire_ms)
+    with rocksdb(spark):
+        query = (
+            pending.writeStream.trigger(availableNow=True)
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .foreachBatch(lambda df, n: handle_batch(df, n, out, process, limit))
+            .start()
+        )
+        query.awaitTermination()
+    return query.recentProgress
 
 
 def retry_failed(
@@ -109,30 +219,41 @@ def retry_failed(
 
 def final_status(spark: SparkSession, out: str) -> DataFrame:
     """One row per id: processed and ignore win over an earlier failure."""
-    rank = F.when(F.col("status") == FAILED, 0).otherwise(1)
-    return (
-        read_status(spark, f"{out}/status")
-        .groupBy("id")
-        .agg(F.max(F.struct(rank.alias("rank"), "status")).alias("s"))
-        .select("id", F.col("s.status").alias("status"))
-    )
+    names = [FAILED, IGNORED, PROCESSED]
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("status"))
+    ranks = read_status(spark, f"{out}/status").groupBy("id").agg(F.max(rank).alias("rank"))
+    return ranks.select("id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("rank").cast("int")).alias("status"))
 
 
 def running_counts(
     stream: DataFrame, key: str, out: str, name: str = "running_counts"
 ) -> None:
-    """Keep rows per key up to date while rows arrive; each batch replaces the small table."""
-
-    def save(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/{name}/counts")
-
-    query = (
-        stream.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .writeStream.outputMode("complete")
-        .trigger(availableNow=True)
-        .option("checkpointLocation", f"{out}/{name}/checkpoint")
-        .foreachBatch(save)
-        .start()
-    )
-    query.awaitTermination()
+    """Keep rows per key up to date while rows arrive.
+
+    A batch gives the new counts of the keys that it touched. They replace those of the version
+    before in a new version, which is published when it is whole: see read_counts.
+    """
+    path = f"{out}/{name}"
+    counted = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+    def save(changed: DataFrame, batch_id: int) -> None:
+        before = read_version(changed.sparkSession, path, counted.schema, below=batch_id)
+        same = changed[key].eqNullSafe(before[key])
+        publish(before.join(changed, same, "left_anti").unionByName(changed), path, batch_id)
+
+    with rocksdb(stream.sparkSession):
+        query = (
+            counted.writeStream.outputMode("update")
+            .trigger(availableNow=True)
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .foreachBatch(save)
+            .start()
+        )
+        query.awaitTermination()
+
+
+def read_counts(
+    spark: SparkSession, out: str, schema: str | T.StructType, name: str = "running_counts"
+) -> DataFrame:
+    """The counts as of the last published batch; no rows before the first."""
+    return read_version(spark, f"{out}/{name}", schema)
