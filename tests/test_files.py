@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnmill.operators import scenarios as C
@@ -141,3 +142,41 @@ def test_ordered_text_outputs(spark, tmp_path):
     turns = lines.selectExpr("video_id as source_file", "line_no as turn_index", "line as transcript")
     W.write_turns(turns, str(tmp_path / "turns"), per_file=True)
     assert spark.read.csv(str(tmp_path / "turns"), header=True).count() == 200
+
+
+def files_of(path):
+    return [p for p in path.rglob("part-*") if p.suffix != ".crc"]
+
+
+@pytest.mark.parametrize("hot, keys", [(6000, 40), (0, 300)])
+def test_files_of_skewed_and_of_many_keys(spark, tmp_path, hot, keys):
+    """Files are at most the keys and the total size by that of a file, and no file is much larger."""
+    rows = spark.range(hot + 8 * keys).repartition(9).select(
+        F.when(F.col("id") < hot, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % keys)).alias("model_name"),
+        F.col("id").alias("case_id"),
+        F.concat(F.lit("text "), "id", F.lit("\nx" * 10)).alias("told"),
+    )
+    target = 16384
+    W.write_by_model(rows, str(tmp_path / "out"), "told", file_bytes=target)
+    n, total = keys + (hot > 0), 0
+    for kind in ("json", "txt"):
+        files = files_of(tmp_path / "out" / kind)
+        total = sum(f.stat().st_size for f in files)
+        assert len(files) <= n + total / target
+        assert max(f.stat().st_size for f in files) < 1.2 * target
+    back = spark.read.json(str(tmp_path / "out" / "json"))
+    assert back.count() == rows.count() == back.select("case_id").distinct().count()
+    assert spark.read.text(str(tmp_path / "out" / "txt")).count() == 11 * rows.count()
+
+
+def test_a_long_dialogue_is_cut_in_order(spark, tmp_path):
+    lines = spark.range(3000).repartition(5).select(
+        F.when(F.col("id") < 2900, "long").otherwise("short").alias("video_id"),
+        F.col("id").alias("line_no"), F.concat(F.lit("line "), "id").alias("line"),
+    )
+    W.write_dialogues(lines, str(tmp_path / "d"), per_video=True, file_bytes=8000)
+    files = sorted(files_of(tmp_path / "d" / "video_id=long"))
+    assert 2 < len(files) <= 2 + 2900 * 10 // 8000
+    parts = sorted(([int(x.split()[1]) for x in f.read_text().splitlines()] for f in files))
+    assert sum(parts, []) == list(range(2900))
+    assert len(files_of(tmp_path / "d" / "video_id=short")) == 1

@@ -104,31 +104,53 @@ def write_table(spark, sf):
     return accepted.unionByName(read("rejected").select("id", "rejection_reason"))
 
 
-@query(
-    "write_by_model",
-    f"""WITH {GENERATED}, told AS (
+TOLD = f"""WITH {GENERATED}, told AS (
   SELECT case_id, model_name, string_agg(concat('Officer: ', police, chr(10), 'Civilian: ',
     civilian_generated), chr(10) ORDER BY turn_index) AS conversation_transcript,
-    count(*) AS n_turns
-  FROM generated GROUP BY ALL)
-SELECT * FROM told""",
-)
+    count(*) AS n_turns, string_agg(police, chr(30) ORDER BY turn_index) AS police,
+    string_agg(civilian_generated, chr(30) ORDER BY turn_index) AS replies
+  FROM generated GROUP BY ALL)"""
+
+
+def _generated(spark, sf):
+    good, _ = writers.split_errors(G.generate_conversations(cases(spark, sf), A.BASELINES))
+    return good
+
+
+@query("write_by_model", f"{TOLD} SELECT * FROM told")
 def write_by_model(spark, sf):
+    """JSON lines per model, all turns."""
     out = new_dir(spark, "by_model")
-    good, _ = writers.split_errors(G.generate_conversations(cases(spark, sf), A.BASELINES))
-    writers.write_by_model(good, out, "conversation_transcript")
+    writers.write_by_model(_generated(spark, sf), out)
     schema = (
         "case_id string, conversation_transcript string, model_name string, "
-        "generated_conversation array<struct<turn_index int>>"
+        "generated_conversation array<struct<police string, civilian_generated string>>"
     )
+    all_of = lambda name: F.array_join(F.transform("generated_conversation", lambda t: t[name]), "\x1e")
     return spark.read.schema(schema).json(f"{out}/json").select(
         "case_id",
         "model_name",
         "conversation_transcript",
         F.size("generated_conversation").cast("bigint").alias("n_turns"),
+        all_of("police").alias("police"),
+        all_of("civilian_generated").alias("replies"),
     )
 
 
+@query(
+    "write_model_texts",
+    f"""{TOLD}, lines AS (
+  SELECT model_name, unnest(string_split(conversation_transcript, chr(10))) AS line FROM told)
+SELECT model_name, line, count(*) AS n FROM lines GROUP BY ALL""",
+)
+def write_model_texts(spark, sf):
+    """The transcripts per model as text, read back line by line."""
+    out = new_dir(spark, "by_model")
+    writers.write_by_model(_generated(spark, sf), out, "conversation_transcript")
+    lines = spark.read.schema("value string, model_name string").text(f"{out}/txt")
+    return lines.groupBy("model_name", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("write_errors", f"WITH {VERDICTS} SELECT case_id, model_name, realism_score, error FROM flat")
 def write_errors(spark, sf):
     """Judge rows and failures side by side, from one evaluation."""

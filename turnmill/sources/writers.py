@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.session import written
+
+#: Bytes of text that a file of a partitioned sink holds, about.
+FILE_BYTES = 128 << 20
+
 # Texts are written as they are: without these the CSV writer trims blanks at their ends.
 CSV_TEXT = {
     "header": True,
@@ -25,15 +30,58 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_by_model(df: DataFrame, path: str, text_column: str | None = None) -> None:
+def json_bytes(df: DataFrame, key: str) -> Column:
+    """Bytes of a row as a JSON line of its key's folder."""
+    return F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c != key]))) + 1
+
+
+def dealt_by_key(
+    df: DataFrame, key: str, size: Column, order: str | None = None, file_bytes: int = FILE_BYTES
+) -> DataFrame:
+    """df dealt out for a write that makes a folder per ``key``: files of about ``file_bytes``.
+
+    The bytes of every key decide. Keys that fit a file have one task each, which many of them share; a
+    larger key is cut into as many parts as it fills files, in stretches of ``order`` (numbers)
+    if given. So the files are at most the keys and the total by ``file_bytes``, and no task holds a
+    hot key. df is read twice and must not be costly. Rows come sorted by key and order.
+    """
+    low, high = (F.min(order), F.max(order)) if order else (F.lit(0), F.lit(0))
+    sizes = df.withColumn("_bytes", size).groupBy(F.col(key).alias("_key")).agg(
+        F.sum("_bytes").alias("_bytes"), low.alias("_low"), high.alias("_high")
+    )
+    total = sizes.agg(F.sum("_bytes").alias("n")).first().n or 0
+    # At most total / file_bytes keys are larger than a file.
+    large = sizes.where(F.col("_bytes") > file_bytes).select(
+        "_key", F.ceil(F.col("_bytes") / file_bytes).alias("_parts"), "_low", "_high"
+    )
+    if order:
+        share = (F.col(order) - F.col("_low")) * F.col("_parts") / (F.col("_high") - F.col("_low") + 1)
+        part = F.floor(share)
+    else:
+        part = F.pmod(F.xxhash64(*df.columns), F.col("_parts"))
+    spread = df.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+        "_part", F.coalesce(part, F.lit(0))
+    )
+    # The parts of a key go to tasks in a row, so no two of them meet in a file.
+    tasks = max(1, -(-total // file_bytes))
+    dealt = spread.repartitionById(tasks, F.pmod(F.hash(key).cast("long") + F.col("_part"), F.lit(tasks)).cast("int"))
+    return dealt.sortWithinPartitions(key, *([order] if order else [])).select(*df.columns)
+
+
+def write_by_model(
+    df: DataFrame, path: str, text_column: str | None = None, file_bytes: int = FILE_BYTES
+) -> None:
     """JSON lines per model under <path>/json, and the transcripts as text under <path>/txt.
 
-    df is evaluated once: the text is made from the JSON that was written.
+    df is evaluated once: both are made from a table of it. Files are as dealt_by_key says.
     """
-    df.write.mode("overwrite").partitionBy("model_name").json(f"{path}/json")
+    rows = written(df, "by_model")
+    dealt_by_key(rows, "model_name", json_bytes(rows, "model_name"), file_bytes=file_bytes).write.mode(
+        "overwrite"
+    ).partitionBy("model_name").json(f"{path}/json")
     if text_column:
-        written = df.sparkSession.read.schema(df.schema).json(f"{path}/json")
-        written.select("model_name", F.col(text_column).alias("value")).write.mode(
+        texts = rows.select("model_name", F.col(text_column).alias("value"))
+        dealt_by_key(texts, "model_name", F.octet_length("value") + 1, file_bytes=file_bytes).write.mode(
             "overwrite"
         ).partitionBy("model_name").text(f"{path}/txt")
 
@@ -53,27 +101,35 @@ def write_with_errors(df: DataFrame, path: str) -> None:
     ).partitionBy("outcome").parquet(path)
 
 
-def write_dialogues(lines: DataFrame, path: str, per_video: bool = False) -> None:
+def write_dialogues(
+    lines: DataFrame, path: str, per_video: bool = False, file_bytes: int = FILE_BYTES
+) -> None:
     """Dialogue lines (video_id, line_no, line) in order.
 
-    One table by default. ``per_video`` writes readable text with a folder per video, which
-    suits a selection of videos: a file per video of a large corpus is too many files.
+    One table by default. ``per_video`` writes readable text with a folder per video, whose files in
+    order of their names are the dialogue: one file, or more of a video that fills more.
     """
-    ordered = lines.sortWithinPartitions("video_id", "line_no")
     if per_video:
-        ordered.select("video_id", F.col("line").alias("value")).write.mode(
-            "overwrite"
-        ).partitionBy("video_id").text(path)
+        rows = written(lines, "dialogues")
+        dealt = dealt_by_key(rows, "video_id", F.octet_length("line") + 1, "line_no", file_bytes)
+        dealt.select("video_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy(
+            "video_id"
+        ).text(path)
     else:
-        ordered.write.mode("overwrite").parquet(path)
+        lines.sortWithinPartitions("video_id", "line_no").write.mode("overwrite").parquet(path)
 
 
-def write_turns(turns: DataFrame, path: str, per_file: bool = False) -> None:
+def write_turns(
+    turns: DataFrame, path: str, per_file: bool = False, file_bytes: int = FILE_BYTES
+) -> None:
     """Turn rows as CSV; turn_index keeps the order. ``per_file`` makes a folder per source file."""
-    writer = turns.sortWithinPartitions("source_file", "turn_index").write.mode("overwrite")
     if per_file:
-        writer = writer.partitionBy("source_file")
-    writer.options(**CSV_TEXT).csv(path)
+        rows = written(turns, "turns")
+        dealt = dealt_by_key(rows, "source_file", json_bytes(rows, "source_file"), "turn_index", file_bytes)
+        dealt.write.mode("overwrite").partitionBy("source_file").options(**CSV_TEXT).csv(path)
+    else:
+        ordered = turns.sortWithinPartitions("source_file", "turn_index")
+        ordered.write.mode("overwrite").options(**CSV_TEXT).csv(path)
 
 
 def append_log(df: DataFrame, path: str, run: str | None = None) -> None:
