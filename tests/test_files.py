@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,48 @@ def test_a_long_dialogue_is_cut_in_order(spark, tmp_path):
     W.write_dialogues(lines, str(tmp_path / "d"), per_video=True, file_bytes=8000)
     files = sorted(files_of(tmp_path / "d" / "video_id=long"))
     assert 2 < len(files) <= 2 + 2900 * 10 // 8000
-    parts = sorted(([int(x.split()[1]) for x in f.read_text().splitlines()] for f in files))
+    parts = [[int(x.split()[1]) for x in f.read_text().splitlines()] for f in files]
     assert sum(parts, []) == list(range(2900))
     assert len(files_of(tmp_path / "d" / "video_id=short")) == 1
+
+
+def windows(df):
+    """Partition and order of each window in the plan, without column numbers."""
+    text = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"Window \[.*\], \[(.*?)\], \[(.*?)\]", text) + re.findall(r"Window \[.*\], \[([^\]]*)\]$", text, re.M)
+
+
+def test_places_need_no_window_over_a_file(spark, tmp_path):
+    big = "speaker_label,transcript\n" + "".join(f'P{i},"line {i}\nand more"\n' for i in range(2000))
+    path = put(tmp_path / "t", "big.csv", big)
+    for k in range(5):
+        put(tmp_path / "t", f"s{k}.csv", "transcript,speaker_label\n" + "".join(f"t{k}.{i},A\n" for i in range(k)))
+    got = R.read_turns(spark, path)
+    assert windows(got) == []
+    rows = got.collect()
+    assert sorted((r.turn_index, r.speaker_label) for r in rows if r.source_file == "big.csv") == [
+        (i, f"P{i}") for i in range(2000)
+    ]
+    assert sorted((r.source_file, r.turn_index, r.transcript) for r in rows if r.source_file != "big.csv") == [
+        (f"s{k}.csv", i, f"t{k}.{i}") for k in (2, 3, 4) for i in range(k)
+    ]
+    raw = R.read_csv_by_name(spark, path, ["transcript"])
+    assert R.with_places(raw, span=16).where("source_file = 'big.csv'").count() == 2000
+    merged = merge_channel_videos(
+        got.selectExpr("source_file", "cast(turn_index + 1 as bigint) as index", "transcript"), span=64
+    )
+    assert all(part and part != "source_file" for part, *_ in windows(merged))
+    assert sorted(r.id for r in merged.collect()) == list(range(2009))
+
+
+def test_parts_of_a_file_are_read_in_order(spark, tmp_path):
+    turns = spark.range(900).repartition(6).select(
+        F.when(F.col("id") < 800, "a b%+.csv").otherwise("c.csv").alias("source_file"),
+        F.when(F.col("id") < 800, F.col("id")).otherwise(F.col("id") - 800).cast("int").alias("turn_index"),
+        F.lit("0:0").alias("start_time"), F.lit("P").alias("speaker_label"), F.concat(F.lit("t"), "id").alias("transcript"),
+    )
+    W.write_turns(turns, str(tmp_path / "out"), per_file=True, file_bytes=4000)
+    assert len(files_of(tmp_path / "out")) > 3
+    key = ["source_file", "turn_index", "transcript"]
+    back = R.read_turns(spark, str(tmp_path / "out"), folders=True).select(*key)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, turns.select(*key).collect()))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import written
+
 # A chunk with its copied edges stays below the 4096 rows that a window keeps in memory.
 CHUNK_ROWS = 2048
 
@@ -93,18 +95,32 @@ def dense_index(
     )
 
 
+def prefix_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows that sort before by the unique ``order``.
+
+    Two levels: ranges of the order, one per task, sum up their own rows; the totals of the ranges, one
+    number per task, are summed on the driver. df is evaluated once, into a written table.
+    """
+    held = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts, total = [], 0
+    for part, n in sorted(held.groupBy("_part").agg(F.sum(value)).collect()):
+        starts.append((part, total))
+        total += n or 0
+    base = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    summed = held.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return summed.join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
+
+
 def group_offsets(
     df: DataFrame, key: str, name: str = "_offset", span: int = 65536
 ) -> DataFrame:
     """Rows in all groups that sort before, one line per (group, chunk of ``span`` rows).
 
-    Only the counts, one row per group, pass the one ordered window. The lines per chunk let
-    a caller join on (group, chunk) instead of on a group that may be hot.
+    The lines per chunk let a caller join on (group, chunk) instead of on a group that may be hot.
     """
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    # The running sum comes before the lines are spread out, or it would count each line.
-    started = counts.select(key, "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(name))
+    started = prefix_sums(counts, key, "_rows", name)
     last = F.floor((F.col("_rows") - 1) / span)
     return started.select(
         key, name, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_chunk")

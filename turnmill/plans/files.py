@@ -43,11 +43,13 @@ def read_raw_metadata(spark, sf):
     "read_channel_videos",
     """SELECT CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
   CASE WHEN doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
-  CAST(n_chars AS INT) AS duration_sec, text AS description, '2024-01-31' AS upload_date
+  CAST(n_chars AS INT) AS duration_sec, text AS description, '2024-01-31' AS upload_date,
+  source AS source_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index
 FROM documents""",
 )
 def read_channel_videos(spark, sf):
-    """Channel rows as CSV with their line breaks and quotes, and 'N/A' where nothing is known."""
+    """Channel rows as CSV with their line breaks and quotes, and 'N/A' where nothing is known; a folder
+    per channel, of one or more files."""
     out, i = new_dir(spark, "channels"), F.col("doc_id")
     rows = table(spark, sf, "documents").select(
         F.when(i % 23 != 0, F.col("text")).otherwise("N/A").alias("Title"),
@@ -55,19 +57,27 @@ def read_channel_videos(spark, sf):
         F.col("n_chars").alias("Duration (sec)"),
         F.lit("20240131").alias("Upload Date"),
         F.col("text").alias("Description"),
+        "source",
+        "doc_id",
     )
-    writers.write_table(rows, out, "csv")
-    return readers.read_channel_videos(spark, out).select(
-        "title", "views", "duration_sec", "description", F.col("upload_date").cast("string").alias("upload_date")
+    dealt = writers.dealt_by_key(rows, "source", F.octet_length("Description") * 2, "doc_id", 1 << 20)
+    dealt.write.partitionBy("source").options(**writers.CSV_TEXT).csv(out)
+    return readers.read_channel_videos(spark, out, folders=True).select(
+        "title", "views", "duration_sec", "description", F.col("upload_date").cast("string").alias("upload_date"),
+        "source_file", "index",
     )
 
 
-@query("read_turns", f"WITH {LABELLED} SELECT start_time, speaker_label, transcript FROM labelled")
+@query(
+    "read_turns",
+    f"""WITH {LABELLED} SELECT concat(video_id, '.csv') AS source_file, turn_index, start_time, speaker_label,
+  transcript FROM labelled WHERE video_id IN (SELECT video_id FROM labelled GROUP BY ALL HAVING count(*) > 1)""",
+)
 def read_turns(spark, sf):
+    """A folder per file of turns; a file of one turn is no conversation."""
     out = new_dir(spark, "turns")
-    rows = D.export_turns(A.transcriptions(spark, sf))
-    writers.write_table(rows.select("transcript", "start_time", "speaker_label"), out, "csv")
-    return readers.read_turns(spark, out).select("start_time", "speaker_label", "transcript")
+    writers.write_turns(D.export_turns(A.transcriptions(spark, sf)), out, per_file=True)
+    return readers.read_turns(spark, out, folders=True)
 
 
 @query("read_manifest", f"WITH {MANIFEST} SELECT id, url, minutes FROM manifest")

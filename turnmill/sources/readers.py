@@ -32,15 +32,17 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+def header_groups(spark: SparkSession, path: str, folders: bool = False) -> dict[str, list[str] | str]:
     """Files of a folder by their first line.
 
     A scan of many CSV files reads by position, so files whose columns differ must be read apart.
-    The driver sees the name and first line of each file one by one, never their rows. It lists
-    the same files when it plans the scan.
+    Where all files have the same line, the folder itself is the group; otherwise the driver sees
+    the name and line of each file one by one, never their rows. It lists the same files when it
+    plans the scan.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", folders)
         .text(path)
         .select(
             "value",
@@ -50,43 +52,61 @@ def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
         )
         .filter("start = 0")
     )
+    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    clean = lambda line: line.lstrip("\ufeff").rstrip("\r")
+    if len(same := firsts.select("line").distinct().limit(2).collect()) < 2:
+        return {clean(r.line): path for r in same if clean(r.line)}
     groups: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).toLocalIterator():
-        groups.setdefault(r.line.lstrip("\ufeff").rstrip("\r"), []).append(literal_path(r.file))
+    for r in firsts.toLocalIterator():
+        groups.setdefault(clean(r.line), []).append(literal_path(r.file))
     return {line: sorted(files) for line, files in groups.items() if line}
 
 
+#: A row's place in its task, in the lower bits of monotonically_increasing_id.
+PLACE_BITS = 33
+#: Rows of a file that share a line of the table of starts.
+SPAN_ROWS = 65536
+
+
 def read_csv_by_name(
     spark: SparkSession,
     path: str,
     columns: list[str],
     required: list[str] | None = None,
     header: list[str] | None = None,
+    folders: bool = False,
 ) -> DataFrame:
-    """CSV files of a folder, columns matched by name, as strings with source_file and file_pos.
+    """CSV files of a folder, columns matched by name, as strings with source_file, part and file_pos.
 
     Columns that a file lacks are NULL; a file that lacks a required one is skipped, and so is
     an empty file. file_pos grows with the row's place in its file. When all files are known to
-    have the same columns, give them as ``header``: the files are then read only once.
+    have the same columns, give them as ``header``: the files are then read only once. With
+    ``folders``, the files below <path>/<name>=<value> are the parts, in order of their names, of the
+    source file <value>, as partitioned sinks write them.
     """
-    groups = header_groups(spark, path) if header is None else {",".join(header): path}
+    groups = header_groups(spark, path, folders) if header is None else {",".join(header): path}
+    folder = F.regexp_extract(file_part("file_path"), r"([^/]*)/[^/]*$", 1)
+    source = F.url_decode(F.replace(F.regexp_replace(folder, "^[^=]*=", ""), F.lit("+"), F.lit("%2B")))
     frames = []
     for line, files in groups.items():
         names = [n.strip() for n in next(csv.reader([line]))]
         if not set(required or []) <= set(names):
             continue
         schema = ", ".join(f"`{n}` string" for n in names)
-        reader = spark.read.schema(schema).options(**CSV_TEXT, pathGlobFilter="*.csv")
+        reader = spark.read.schema(schema).options(
+            **CSV_TEXT, pathGlobFilter="*.csv", recursiveFileLookup=folders
+        )
         frame = reader.csv(files)
         frames.append(
             frame.select(
                 *[F.col(f"`{c}`") for c in columns if c in names],
-                file_part("file_name").alias("source_file"),
+                (source if folders else file_part("file_name")).alias("source_file"),
+                file_part("file_name").alias("part"),
                 F.monotonically_increasing_id().alias("file_pos"),
             )
         )
     if not frames:
-        empty = ", ".join(f"`{c}` string" for c in [*columns, "source_file"]) + ", file_pos bigint"
+        empty = ", ".join(f"`{c}` string" for c in [*columns, "source_file", "part"]) + ", file_pos bigint"
         return spark.createDataFrame([], empty)
     whole = frames[0]
     for frame in frames[1:]:
@@ -94,12 +114,44 @@ def read_csv_by_name(
     for c in columns:
         if c not in whole.columns:
             whole = whole.withColumn(c, F.lit(None).cast("string"))
-    return whole.select(*[F.col(f"`{c}`") for c in columns], "source_file", "file_pos")
+    return whole.select(*[F.col(f"`{c}`") for c in columns], "source_file", "part", "file_pos")
 
 
-def row_in_file() -> Column:
-    """1-based row of a file. A file with line breaks inside cells is read by one task anyway."""
-    return F.row_number().over(Window.partitionBy("source_file").orderBy("file_pos"))
+def with_places(raw: DataFrame, folders: bool = False, span: int = SPAN_ROWS) -> DataFrame:
+    """raw with _place, the 1-based row of its source file, and _rows, the rows of that file.
+
+    Line breaks in cells keep a file in one task, which numbers its rows as it reads them. So the
+    first number and the count of each file place all its rows, and with ``folders`` a file's start is
+    the count of the parts before it. The starts are joined on (file, stretch of rows), so a
+    large file is no hot key. The counts come from a scan of their own, which reads no cells.
+    """
+    spot = F.col("file_pos").bitwiseAND((1 << PLACE_BITS) - 1)
+    numbered = raw.withColumn("_spot", spot)
+    counts = numbered.groupBy("source_file", "part").agg(
+        F.min("_spot").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    if folders:  # a row per part
+        parts = Window.partitionBy("source_file").orderBy("part")
+        counts = counts.withColumns(
+            {
+                "_before": F.sum("_n").over(parts.rowsBetween(Window.unboundedPreceding, -1)),
+                "_rows": F.sum("_n").over(Window.partitionBy("source_file")),
+            }
+        )
+    else:
+        counts = counts.withColumns({"_before": F.lit(0), "_rows": F.col("_n")})
+    stretch = lambda c: F.floor(c / span).cast("bigint")
+    last = F.col("_first") + F.col("_n") - 1
+    starts = counts.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_first")), stretch(last))))
+    joined = numbered.withColumn("_stretch", stretch(F.col("_spot"))).join(
+        starts, ["source_file", "part", "_stretch"], "left"
+    )
+    inside = F.col("_spot") - F.col("_first")
+    sure = F.when((inside >= 0) & (inside < F.col("_n")), inside).otherwise(
+        F.raise_error(F.lit("The files of a table changed while it was read."))
+    )
+    place = F.coalesce("_before", F.lit(0)) + sure.cast("bigint") + 1
+    return joined.withColumn("_place", place).drop("_spot", "_stretch", "_first", "_n", "_before")
 
 
 def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
@@ -108,23 +160,26 @@ def read_channel_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_channel_videos(
-    spark: SparkSession, path: str, header: list[str] | None = None
+    spark: SparkSession, path: str, header: list[str] | None = None, folders: bool = False
 ) -> DataFrame:
-    """Channel files of a folder with typed columns; 'N/A' and the like become NULL."""
-    raw = read_csv_by_name(spark, path, list(VIDEO_COLUMNS), header=header)
+    """Channel files of a folder with typed columns; 'N/A' and the like become NULL.
+
+    index counts the rows of a file from 1. For ``header`` and ``folders`` see read_csv_by_name.
+    """
+    raw = with_places(read_csv_by_name(spark, path, list(VIDEO_COLUMNS), None, header, folders), folders)
     named = raw.select(
         *[na_to_null(F.col(f"`{c}`")).alias(n) for c, n in VIDEO_COLUMNS.items()],
         "source_file",
-        "file_pos",
+        "_place",
     )
     return named.withColumns(
         {
-            "index": row_in_file().cast("bigint"),
+            "index": F.col("_place"),
             "views": F.col("views").try_cast("double").try_cast("bigint"),
             "upload_date": F.to_date(F.try_to_timestamp("upload_date", F.lit("yyyyMMdd"))),
             "duration_sec": F.col("duration_sec").try_cast("double").try_cast("int"),
         }
-    ).drop("file_pos")
+    ).drop("_place")
 
 
 def read_raw_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -171,16 +226,17 @@ def read_status_json(spark: SparkSession, path: str, json_lines: bool = False) -
     )
 
 
-def read_turns(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+def read_turns(
+    spark: SparkSession, path: str, header: list[str] | None = None, folders: bool = False
+) -> DataFrame:
     """Turn files of a folder: source_file, turn_index, start_time, speaker_label, transcript.
 
-    A file without speaker_label or transcript, or with fewer than two rows, is skipped.
+    A file without speaker_label or transcript, or with fewer than two rows, is skipped. For
+    ``header`` and ``folders`` see read_csv_by_name.
     """
-    raw = read_csv_by_name(spark, path, TURN_COLUMNS, ["speaker_label", "transcript"], header)
-    placed = raw.withColumn("turn_index", (row_in_file() - 1).cast("int"))
-    rows = F.count(F.lit(1)).over(Window.partitionBy("source_file"))
-    return placed.withColumn("_rows", rows).filter("_rows >= 2").select(
-        "source_file", "turn_index", *TURN_COLUMNS
+    raw = read_csv_by_name(spark, path, TURN_COLUMNS, ["speaker_label", "transcript"], header, folders)
+    return with_places(raw, folders).filter("_rows >= 2").select(
+        "source_file", (F.col("_place") - 1).cast("int").alias("turn_index"), *TURN_COLUMNS
     )
 
 

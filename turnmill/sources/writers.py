@@ -62,9 +62,11 @@ def dealt_by_key(
     spread = df.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
         "_part", F.coalesce(part, F.lit(0))
     )
-    # The parts of a key go to tasks in a row, so no two of them meet in a file.
+    # The parts of a key go to tasks in a row, so each is a file of its own and their names are in order.
     tasks = max(1, -(-total // file_bytes))
-    dealt = spread.repartitionById(tasks, F.pmod(F.hash(key).cast("long") + F.col("_part"), F.lit(tasks)).cast("int"))
+    free = F.lit(tasks + 1) - F.coalesce("_parts", F.lit(1))
+    task = F.pmod(F.hash(key).cast("long"), free) + F.col("_part")
+    dealt = spread.repartitionById(tasks, task.cast("int"))
     return dealt.sortWithinPartitions(key, *([order] if order else [])).select(*df.columns)
 
 
