@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.operators import scenarios as C
 from turnmill.operators.videos import merge_channel_videos
+from turnmill.sources import json_arrays
 from turnmill.sources import readers as R
 from turnmill.sources import writers as W
 
@@ -73,8 +75,78 @@ def test_scenario_roots(spark, tmp_path):
     one = {"case_id": "x", "police_dialogue": ["a"]}
     for name, root in (("list", [one, {"police_dialogue": ["b"]}]), ("cases", {"cases": [one]}), ("one", one)):
         path = put(tmp_path / name, "f.json", json.dumps(root, indent=1))
-        ids = [r.case_id for r in C.normalize_cases(R.read_scenarios(spark, path)).orderBy("case_id").collect()]
-        assert ids == (["case_0002", "x"] if name == "list" else ["x"])
+        ids = lambda **kw: [r.case_id for r in C.normalize_cases(R.read_scenarios(spark, path, **kw)).orderBy("case_id").collect()]
+        assert ids() == (["f.json/case_0002", "x"] if name == "list" else ["x"])
+        assert ids(single=True) == (["case_0002", "x"] if name == "list" else ["x"])
+
+
+def test_ids_stay_when_files_are_added(spark, tmp_path):
+    path = put(tmp_path, "a.json", json.dumps([{"police_dialogue": ["a"]}, {"police_dialogue": ["b"]}]))
+    ids = lambda: {r.case_id for r in C.normalize_cases(R.read_scenarios(spark, path)).collect()}
+    before = ids()
+    put(tmp_path, "b.json", json.dumps([{"police_dialogue": ["c"]}]))
+    assert before == {"a.json/case_0001", "a.json/case_0002"} and ids() == before | {"b.json/case_0001"}
+
+
+def random_json(draw, depth=0):
+    kind = draw.random()
+    if depth > 3 or kind < 0.35:
+        return draw.choice([None, True, 7, -1.5, "", "a}b{", 'q"u\\"o', "\\", "]},[", "ü\n☃", '{"x":["}"]}'])
+    if kind < 0.6:
+        return [random_json(draw, depth + 1) for _ in range(draw.randint(0, 3))]
+    return {draw.choice(['k', 'c}a', 'q"', "cases"]) + str(i): random_json(draw, depth + 1) for i in range(draw.randint(0, 3))}
+
+
+@pytest.mark.parametrize("split", ["53b", "128m"])
+def test_arrays_in_pieces_equal_the_parser(spark, tmp_path, split):
+    draw, want = random.Random(11), {}
+    for k in range(24):
+        items = [random_json(draw) if draw.random() < 0.3 else {"i": i, "v": random_json(draw)} for i in range(draw.randint(0, 6))]
+        indent = draw.choice([None, 1])
+        if k % 2:
+            root = {"cases": items, **({"meta": {"a": {"b": [1]}}, "n": "}"} if k % 4 == 1 and items and isinstance(items[-1], dict) else {})}
+        else:
+            root = items
+        put(tmp_path, f"f {k}+.json", json.dumps(root, indent=indent, ensure_ascii=False) + draw.choice(["", "\n", " \n\n"]))
+        want[f"f {k}+.json"] = items
+    put(tmp_path, "one.json", json.dumps({"a": {"b": "}"}}))
+    put(tmp_path, "late.json", json.dumps({"x": {"y": 1}, "cases": [{"z": 2}, 3]}))
+    want |= {"one.json": [{"a": {"b": "}"}}], "late.json": [{"z": 2}, 3]}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = R.read_scenarios(spark, str(tmp_path)).select("source_file", "pos", F.to_json("case").alias("j")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.source_file, r.pos)):
+        assert r.pos == len(got.setdefault(r.source_file, []))
+        got[r.source_file].append(json.loads(r.j))
+    assert got == {f: items for f, items in want.items() if items}
+
+
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
+    cases = [{"case_id": f"c{i}", "police_dialogue": [f"say }} {i}" * 20]} for i in range(9000)]
+    path = put(tmp_path, "big.json", json.dumps(cases))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        parts = json_arrays.pieces(spark, path)
+        assert parts.rdd.getNumPartitions() > 20
+        share = parts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] / parts.count()
+        assert share < 0.1
+        got = C.normalize_cases(R.read_scenarios(spark, path)).select("case_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.case_id for r in got} == {c["case_id"] for c in cases} and len(got) == 9000
+
+
+def test_bad_json_is_an_error(spark, tmp_path):
+    for k, text in enumerate(['[{"a": 1}, {"b": }]', '"text"', "[1, 2", "{nope}"]):
+        path = put(tmp_path / str(k), "f.json", text)
+        with pytest.raises(Exception):
+            R.read_scenarios(spark, path).collect()
+    assert R.read_scenarios(spark, put(tmp_path / "e", "f.json", "[ ]")).count() == 0
 
 
 def test_judge_cases(spark, tmp_path):

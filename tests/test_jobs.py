@@ -53,9 +53,9 @@ def test_generation_run(spark, tmp_path):
         {"case_id": "a", "police_dialogue": ["Hi", "Go"]}, {"police_dialogue": []}]}))
     got = jobs.generate(spark, str(tmp_path / "s.json"), str(tmp_path / "out"), SPECS, builtin_factory)
     rows = {(r.case_id, r.model_name): r for r in got.collect()}
-    assert set(rows) == {(c, m) for c in ("a", "case_0002") for m in ("echo", "repeat")}
+    assert set(rows) == {(c, m) for c in ("a", "s.json/case_0002") for m in ("echo", "repeat")}
     assert rows["a", "echo"].conversation_transcript.endswith("Civilian: 4 Go")
-    assert rows["case_0002", "echo"].error.startswith("No police dialogue")
+    assert rows["s.json/case_0002", "echo"].error.startswith("No police dialogue")
 
 
 def test_judge_run(spark, tmp_path):

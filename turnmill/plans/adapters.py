@@ -369,9 +369,33 @@ def scenario_cases(spark: SparkSession, sf: str) -> DataFrame:
     bad = record(F.concat(F.lit('"case_id":"bad_'), block_id(), F.lit('",')), F.lit('"not a list"'))
     made = blocks(spark, sf, bare, F.col("role") == "user")
     pos = F.col("conv_id").cast("int").alias("pos")
-    return made.select(pos, record(ident, listed).alias("case")).union(
-        made.filter("conv_id % 11 = 10").select(pos, bad)
-    )
+    return made.select(pos, record(ident, listed).alias("case"), "block", F.lit(False).alias("bad")).union(
+        made.filter("conv_id % 11 = 10").select(pos, bad, "block", F.lit(True))
+    )
+
+
+#: Files of scenario_files beside those of single cases.
+SCENARIO_FILES = 64
+
+
+def scenario_files(spark: SparkSession, sf: str, out: str) -> None:
+    """scenario_cases as JSON files: arrays, arrays under "cases", which both start with a case of
+    their own, and beside them files of one case."""
+    bucket = F.col("pos") % SCENARIO_FILES
+    alone = F.col("pos") % 97 == 5
+    rows = scenario_cases(spark, sf).withColumns({"bucket": bucket, "json": F.to_json("case")})
+    head = F.concat(F.lit('{"case_id":"head'), "bucket", F.lit('","police_dialogue":["x"]}'))
+    opening = F.concat(F.when(F.col("bucket") % 2 == 0, "[").otherwise('{"cases": ['), head)
+    closing = F.when(F.col("bucket") % 2 == 0, "]").otherwise("]}")
+    buckets = spark.range(SCENARIO_FILES).select(F.col("id").cast("int").alias("bucket"))
+    order = ["bucket", "phase", "pos", "block", "bad"]
+    edge = lambda n, text: buckets.select("bucket", F.lit(n).alias("phase"), *[F.lit(None).alias(c) for c in order[2:]], text.alias("value"))
+    inner = rows.where(~alone).select("bucket", F.lit(1).alias("phase"), *order[2:], F.concat(F.lit(","), "json").alias("value"))
+    lines = edge(0, opening).unionByName(inner).unionByName(edge(2, closing))
+    dealt = lines.repartitionById(SCENARIO_FILES, F.col("bucket")).sortWithinPartitions(*order)
+    dealt.select("bucket", "value").write.partitionBy("bucket").text(f"{out}/arrays")
+    singles = rows.where(alone).select(F.concat_ws("_", "pos", "block", "bad").alias("bucket"), F.col("json").alias("value"))
+    singles.write.partitionBy("bucket").text(f"{out}/single")
 
 
 def judge_cases(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,10 +10,11 @@ from turnmill.operators import diarization as D
 from turnmill.operators import generation as G
 from turnmill.operators import judging as J
 from turnmill.operators import relevance as R
+from turnmill.operators import scenarios as Cases
 from turnmill.operators import videos as V
 from turnmill.plans import adapters as A
 from turnmill.plans.diarization import LABELLED, MANIFEST, STATUS
-from turnmill.plans.evaluation import GENERATED, JUDGED_CASES, VERDICTS, cases, flat
+from turnmill.plans.evaluation import CASES, GENERATED, JUDGED_CASES, VERDICTS, cases, flat
 from turnmill.plans.registry import query, table
 from turnmill.plans.relevance import _verdicts, verdicts
 from turnmill.plans.training import MESSAGES
@@ -214,6 +215,32 @@ def read_chat_jsonl(spark, sf):
     return valid.select(F.posexplode("messages").alias("pos", "_m")).select("pos", "_m.role", "_m.content")
 
 
+@query(
+    "read_scenarios",
+    f"""WITH {CASES}, filed AS (
+  SELECT *, CASE WHEN conv_id % 97 = 5 THEN 1 ELSE row_number() OVER (
+    PARTITION BY conv_id % {A.SCENARIO_FILES}, conv_id % 97 = 5 ORDER BY conv_id, block, bad) + 1 END AS place
+  FROM cases),
+told AS (
+  SELECT conv_id, block, bad, string_agg(police, chr(30) ORDER BY turn_index) AS police FROM said GROUP BY ALL)
+SELECT CASE WHEN bad OR conv_id % 5 < 2 THEN case_id
+    ELSE concat('case_', lpad(CAST(place AS VARCHAR), 4, '0')) END AS case_id,
+  scenario_context, character_profile, coalesce(police, '') AS police, error
+FROM filed LEFT JOIN told USING (conv_id, block, bad)
+UNION ALL SELECT concat('head', i), '', '', 'x', NULL FROM range({A.SCENARIO_FILES}) t(i)""",
+)
+def read_scenarios(spark, sf):
+    """Cases from files of all three roots; ids made by place have the file's name before them."""
+    out = new_dir(spark, "scenarios")
+    A.scenario_files(spark, sf, out)
+    read = [readers.read_scenarios(spark, f"{out}/{part}") for part in ("arrays", "single")]
+    normal = Cases.normalize_cases(read[0].unionByName(read[1]))
+    return normal.select(
+        F.regexp_replace("case_id", r"^part-[^/]*/", "").alias("case_id"),
+        "scenario_context", "character_profile", F.array_join("police_turns", "\x1e").alias("police"), "error",
+    )
+
+
 @query(
     "read_judge_cases",
     f"""WITH {JUDGED_CASES} SELECT case_id, scenario_context, profile, ground_truth, model_name,

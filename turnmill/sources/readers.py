@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from turnmill.functions.json import ARRAY, OBJECT, field, parse, variant_items, variant_kind, variant_text
 from turnmill.functions.text import na_to_null
 from turnmill.operators.diarization import IGNORED, PROCESSED
+from turnmill.sources.json_arrays import json_items
 from turnmill.sources.schemas import (
     JUDGE_CASE,
     RAW_VIDEO,
@@ -260,24 +261,19 @@ def scenario_items(v: Column) -> Column:
     )
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+def read_scenarios(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
     """Scenario files as (source_file, pos, case), pos counting from 0 in each file.
 
-    source_file is NULL when the path holds a single file; else normalize_cases puts it into the
-    ids that it makes, which would be the same in every file.
+    normalize_cases puts source_file into the ids that it makes, so an id stays the same when files
+    are added. ``single`` leaves it NULL, for a path that is known to hold one file only. Large files are
+    read by many tasks: see json_items.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.parse_json("value").alias("v"), file_part("file_name").alias("file")
-    )
-    several = len(files.inputFiles()) > 1
-    return files.select(
-        F.col("file").alias("source_file") if several else F.lit(None).cast("string").alias("source_file"),
-        F.posexplode(scenario_items(F.col("v"))).alias("pos", "case"),
-    )
+    items = json_items(spark, path, scenario_items(F.col("_v")))
+    return items.withColumn("source_file", F.lit(None).cast("string")) if single else items
 
 
 def read_judge_cases(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """Cases with model outputs; one object per line splits over many tasks, an array does not.
+    """Cases with model outputs, from one object per line or from arrays: see json_items.
 
     A model output without conversation_transcript uses its target_conversation, while an
     explicit null stays NULL.
@@ -287,8 +283,7 @@ def read_judge_cases(spark: SparkSession, path: str, json_lines: bool = False) -
             F.parse_json("value").alias("v")
         )
     else:
-        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-        cases = whole.select(F.explode(variant_items(F.col("v"))).alias("v"))
+        cases = json_items(spark, path, variant_items(F.col("_v"))).withColumnRenamed("case", "v")
     return judge_cases(cases)
 
 
