@@ -50,8 +50,10 @@ def score_predictions(
     return scored.withColumns({m: F.when(~failed, c) for m, c in found.items()}).drop("_s", "_e")
 
 
-def _normalized(block: list) -> np.ndarray:
-    vectors = np.stack([np.asarray(v, dtype="float64") for v in block])
+def _normalized(block: list | np.ndarray) -> np.ndarray:
+    if not isinstance(block, np.ndarray) or block.dtype == object:
+        block = np.stack([np.asarray(v, dtype="float64") for v in block])
+    vectors = block.astype("float64", copy=False)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
@@ -65,11 +67,11 @@ class TokenEncoder(Protocol):
 class HashEncoder:
     """Baseline: one of 16 unit vectors per word, by the first digit of its MD5."""
 
-    def encode(self, texts: list[str]) -> list[list[list[float]]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         unit = np.eye(16)
-        return [
-            [unit[int(hashlib.md5(w.encode()).hexdigest()[0], 16)] for w in t.split()] for t in texts
-        ]
+        words = [t.split() for t in texts]
+        place = {w: hashlib.md5(w.encode()).digest()[0] >> 4 for w in {w for ws in words for w in ws}}
+        return [unit[[place[w] for w in ws]] for ws in words]
 
 
 def score_encoded_f1(

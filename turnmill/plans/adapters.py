@@ -261,10 +261,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation points with the replies of three plain baselines.
-
-    embedding_f1 stands for a score that came from elsewhere, and is missing in places.
-    """
+    """Evaluation points with the replies of three plain baselines."""
     near = with_neighbours(
         role_turns(turns(spark, sf)),
         "source_file",
@@ -280,8 +277,6 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("model_name") == "echo_finetuned", half)
         .otherwise(before)
     )
-    conv = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
-    score = ((conv * 7 + F.col("turn_index") * 3 + F.length("model_name")) % 100) / F.lit(100.0)
     return (
         near.withColumn("_m", F.explode(spec_array(BASELINES)))
         .select("*", "_m.model_name", "_m.model_family", "_m.model_type")
@@ -294,7 +289,6 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
             F.col("content").alias("officer_input"),
             "reference_response",
             reply.alias("predicted_response"),
-            F.when(conv % 5 != 0, score.cast("double")).alias("embedding_f1"),
         )
     )
 

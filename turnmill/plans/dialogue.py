@@ -263,10 +263,7 @@ predictions AS MATERIALIZED (
       WHEN 'echo_finetuned' THEN array_to_string(
         string_split(next_text, ' ')[1:CAST(ceil(len(string_split(next_text, ' ')) / 2.0) AS BIGINT)], ' ')
       ELSE CASE WHEN previous_role = 'assistant' THEN previous_text ELSE '' END
-    END AS predicted_response,
-    CASE WHEN conv_id % 5 <> 0
-      THEN CAST((conv_id * 7 + turn_index * 3 + length(model_name)) % 100 AS DOUBLE) / 100
-    END AS embedding_f1
+    END AS predicted_response
   FROM points CROSS JOIN models)"""
 
 # The longest common subsequence is the longest rising run of the places where words meet.
@@ -371,10 +368,26 @@ meteor AS MATERIALIZED (
     / (0.9::DOUBLE * (m / len(p)) + 0.1::DOUBLE * (m / len(r))), 0.0) AS meteor
   FROM meteor_words LEFT JOIN chunks USING ({KEY}))"""
 
-SCORED = f"""{PREDICTIONS}, {ROUGE}, {BLEU}, {METEOR},
+# Words with the same first digit of their MD5 have the same unit vector: see HashEncoder.
+ENCODED = f"""
+sides AS (
+  SELECT {KEY}, list_transform({_words('predicted_response')}, lambda w: md5(w)[1]) AS p,
+    list_transform({_words('reference_response')}, lambda w: md5(w)[1]) AS r
+  FROM predictions),
+parts AS (
+  SELECT {KEY}, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
+      ELSE len(list_filter(p, lambda x: list_contains(r, x)))::DOUBLE / len(p) END AS p,
+    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
+      ELSE len(list_filter(r, lambda x: list_contains(p, x)))::DOUBLE / len(r) END AS r
+  FROM sides),
+encoded AS MATERIALIZED (
+  SELECT {KEY}, p AS precision, r AS recall,
+    CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS embedding_f1 FROM parts)"""
+
+SCORED = f"""{PREDICTIONS}, {ROUGE}, {BLEU}, {METEOR}, {ENCODED},
 scored AS MATERIALIZED (
-  SELECT * FROM predictions JOIN rouge USING ({KEY}) JOIN bleu USING ({KEY})
-    JOIN meteor USING ({KEY}))"""
+  SELECT * EXCLUDE (precision, recall) FROM predictions JOIN rouge USING ({KEY}) JOIN bleu USING ({KEY})
+    JOIN meteor USING ({KEY}) JOIN encoded USING ({KEY}))"""
 
 
 def _one_score(name: str, ctes: str) -> str:
@@ -422,13 +435,11 @@ def _rounded(df, digits=6):
 @query(
     "score_predictions",
     f"""WITH {SCORED} SELECT {KEY}, round(rouge_l, 9) AS rouge_l, round(bleu_4, 9) AS bleu_4,
-  round(meteor, 9) AS meteor FROM scored""",
+  round(meteor, 9) AS meteor, round(embedding_f1, 9) AS embedding_f1 FROM scored""",
 )
 def score_predictions(spark, sf):
-    scored = S.score_predictions(A.predictions(spark, sf))
-    return _rounded(
-        scored.select("source_file", "turn_index", "model_name", "rouge_l", "bleu_4", "meteor"), 9
-    )
+    """All four metrics of every reply."""
+    return _rounded(scored(spark, sf).select("source_file", "turn_index", "model_name", *_METRICS), 9)
 
 
 @query(
@@ -455,18 +466,8 @@ def score_embedding_f1(spark, sf):
 
 @query(
     "score_encoded_f1",
-    f"""WITH {PREDICTIONS}, sides AS (
-  SELECT {KEY}, list_transform({_words('predicted_response')}, lambda w: md5(w)[1]) AS p,
-    list_transform({_words('reference_response')}, lambda w: md5(w)[1]) AS r
-  FROM predictions),
-parts AS (
-  SELECT {KEY}, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
-      ELSE len(list_filter(p, lambda x: list_contains(r, x)))::DOUBLE / len(p) END AS p,
-    CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
-      ELSE len(list_filter(r, lambda x: list_contains(p, x)))::DOUBLE / len(r) END AS r
-  FROM sides)
-SELECT {KEY}, round(p, 9) AS precision, round(r, 9) AS recall,
-  round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM parts""",
+    f"""WITH {PREDICTIONS}, {ENCODED} SELECT {KEY}, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(embedding_f1, 9) AS f1 FROM encoded""",
 )
 def score_encoded_f1(spark, sf):
     scores = S.score_encoded_f1("predicted_response", "reference_response")
@@ -480,7 +481,7 @@ _STD = ", ".join(f"round(stddev_samp({m}), 6) AS std_{m}" for m in _METRICS)
 
 
 def scored(spark, sf):
-    return S.score_predictions(A.predictions(spark, sf))
+    return S.score_predictions(A.predictions(spark, sf), S.HashEncoder)
 
 
 @query(
