@@ -26,14 +26,16 @@ def score_bleu4(prediction: Column | str, reference: Column | str) -> Column:
     return overlap(col(prediction), col(reference), ["bleu_4"])["bleu_4"]
 
 
-def score_meteor(prediction: Column | str, reference: Column | str) -> Column:
-    return overlap(col(prediction), col(reference), ["meteor"])["meteor"]
+def score_meteor(prediction: Column | str, reference: Column | str, stems: bool = False) -> Column:
+    """METEOR of equal words; with ``stems`` words left over pair up by their stems as well."""
+    name = "meteor_stems" if stems else "meteor"
+    return overlap(col(prediction), col(reference), [name])[name]
 
 
 def score_predictions(
-    predictions: DataFrame, encoder: Callable[[], TokenEncoder] | None = None
+    predictions: DataFrame, encoder: Callable[[], TokenEncoder] | None = None, stems: bool = False
 ) -> DataFrame:
-    """Add rouge_l, bleu_4 and meteor, and embedding_f1 when there is an encoder.
+    """Add rouge_l, bleu_4 and meteor (see score_meteor), and embedding_f1 when there is an encoder.
 
     They are computed in Arrow stages next to the row's own texts: no key, no join. Rows with an
     error keep NULL scores.
@@ -41,8 +43,9 @@ def score_predictions(
     failed = F.col("error").isNotNull() if "error" in predictions.columns else F.lit(False)
     # Blanks around a text do not change its words, so only the encoder needs it trimmed.
     words = F.col("predicted_response"), F.col("reference_response")
-    scored = predictions.withColumn("_s", overlap(*words, TEXT_METRICS))
-    found = {m: F.col("_s")[m] for m in TEXT_METRICS}
+    names = {m: f"{m}_stems" if stems and m == "meteor" else m for m in TEXT_METRICS}
+    scored = predictions.withColumn("_s", overlap(*words, list(names.values())))
+    found = {m: F.col("_s")[n] for m, n in names.items()}
     if encoder:
         texts = clean_text("predicted_response"), clean_text("reference_response")
         scored = scored.withColumn("_e", score_encoded_f1(*texts, encoder))
