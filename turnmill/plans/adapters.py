@@ -71,29 +71,40 @@ def channel_links(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def with_copies_of(docs: DataFrame, where: Column) -> DataFrame:
+    """documents, and beside those that meet a condition a copy under -1 - doc_id to leave things out of."""
+    copy = docs.filter(where).withColumn("doc_id", -1 - F.col("doc_id"))
+    return docs.withColumn("odd", F.lit(False)).unionByName(copy.withColumn("odd", F.lit(True)))
+
+
 def raw_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as raw info records, some without title, address, counts or text."""
+    """documents as raw info records, some without address or counts. Beside one in 23 there is a copy
+    without title, beside one in 29 one without description."""
     i = F.col("doc_id")
+    source = -1 - i
+    docs = with_copies_of(table(spark, sf, "documents"), (i % 23 == 0) | (i % 29 == 0))
     keep = lambda c, n: F.when(i % n != 0, c)
-    return table(spark, sf, "documents").select(
+    untold = lambda c, n: F.when(~(F.col("odd") & (source % n == 0)), c)
+    return docs.select(
         (i + 1).cast("int").alias("index"),
         F.concat(F.lit("v"), i).alias("video_id"),
         keep(F.concat(F.lit("https://video.example/"), i), 5).alias("webpage_url"),
-        keep(F.col("text"), 23).alias("title"),
+        untold(F.col("text"), 23).alias("title"),
         keep(F.col("source"), 11).alias("uploader"),
         F.when(i % 13 == 0, "N/A").otherwise((i * 7).cast("string")).alias("view_count"),
-        F.concat(F.lit("202401"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("upload_date"),
+        F.concat(F.lit("202401"), F.lpad((F.abs(i) % 28 + 1).cast("string"), 2, "0")).alias("upload_date"),
         keep(F.col("n_chars").cast("string"), 19).alias("duration"),
-        keep(F.col("text"), 29).alias("description"),
+        untold(F.col("text"), 29).alias("description"),
     )
 
 
 def channel_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as rows of channel files, one file per source."""
-    docs = table(spark, sf, "documents").select(
+    """documents as rows of channel files, one file per source; beside one in 23 a copy without title."""
+    copies = with_copies_of(table(spark, sf, "documents"), F.col("doc_id") % 23 == 0)
+    docs = copies.select(
         F.concat("source", F.lit(CHANNEL_FILE_SUFFIX)).alias("source_file"),
         "doc_id",
-        F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("title"),
+        F.when(~F.col("odd"), F.col("text")).alias("title"),
         F.col("n_chars").cast("int").alias("duration_sec"),
         F.concat(F.lit("About "), "text").alias("description"),
         F.col("text").alias("transcript"),
@@ -114,14 +125,15 @@ def video_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    """Transcript cells of pages, among them every mark that stands for a missing one."""
+    """Transcript cells of all pages, and beside seven in nine of them, under -1 - id, a missing one or
+    a mark that stands for one: every mark comes up."""
     i = F.col("page_id")
+    pages = table(spark, sf, "pages")
     cell = F.when(i % 9 == 0, F.lit(None).cast("string"))
     for n, (name, mark) in enumerate(TRANSCRIPT_MARKS.items(), 1):
         cell = cell.when(i % 9 == n, mark + ("x]" if name in ("rate_limited", "error") else ""))
-    return table(spark, sf, "pages").select(
-        i.alias("id"), cell.otherwise(F.col("html")).alias("transcript")
-    )
+    marks = pages.filter(i % 9 <= len(TRANSCRIPT_MARKS)).select((-1 - i).alias("id"), cell.alias("transcript"))
+    return pages.select(i.alias("id"), F.col("html").alias("transcript")).unionByName(marks)
 
 
 def transcript_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,6 +160,18 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as videos whose address is what is said in them; beside one in 7 a video whose answer is
+    broken, beside one in 11 one that fails."""
+    i = F.col("doc_id")
+    kinds = F.array_compact(F.array(F.lit(""), F.when(i % 7 == 0, "_broken"), F.when(i % 11 == 0, "_silent")))
+    return table(spark, sf, "documents").withColumn("kind", F.explode(kinds)).select(
+        F.concat(i, "kind").alias("id"),
+        F.coalesce("text", F.lit("")).alias("url"),
+        (F.col("n_chars").cast("double") / 100).alias("minutes"),
+    )
+
+
 def status(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     marks = F.array_compact(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from turnmill.operators import diarization as D
@@ -130,35 +132,41 @@ def read_transcriptions(spark, sf):
     )
 
 
-class UrlTranscriber:
-    """Baseline transcriber: one segment with the address; every seventh id is cut short."""
+class LineTranscriber:
+    """Baseline transcriber: a segment for each line of the address; some ids are cut short or fail."""
 
     def transcribe(self, video_id: str, url: str) -> dict:
-        n = int(video_id)
-        if n % 11 == 0:
+        number, _, kind = video_id.partition("_")
+        if kind == "silent":
             raise ValueError("no audio")
-        whole = f'{{"task1_transcripts": [{{"start": "00:00", "text": "{url}", "voice": 1}}]}}'
-        return {"response": whole[: 20 if n % 7 == 0 else None], "input_token": n}
+        segments = [{"start": "00:00", "text": line, "voice": 1} for line in url.split("\n")]
+        whole = json.dumps({"task1_transcripts": segments})
+        return {"response": whole[:-3] if kind == "broken" else whole, "input_token": int(number)}
 
 
 @query(
     "transcribe_videos",
-    f"""WITH {MANIFEST} SELECT id,
-  CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 0 ELSE 1 END AS n_segments,
-  CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE url END AS first_text,
-  CASE WHEN doc_id % 11 <> 0 THEN doc_id ELSE 0 END AS input_token, 0::BIGINT AS output_token,
-  CASE WHEN doc_id % 11 = 0 THEN 'no audio'
-    WHEN doc_id % 7 = 0 THEN 'Could not parse the structured response.' END AS error
-FROM manifest WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND minutes <= 45""",
+    """WITH spoken AS (
+  SELECT doc_id, kind, coalesce(text, '') AS said, CAST(n_chars AS DOUBLE) / 100 AS minutes
+  FROM documents CROSS JOIN (VALUES (''), ('_broken'), ('_silent')) kinds(kind)
+  WHERE kind = '' OR kind = '_broken' AND doc_id % 7 = 0 OR kind = '_silent' AND doc_id % 11 = 0)
+SELECT concat(doc_id, kind) AS id,
+  CASE WHEN kind = '' THEN CAST(len(string_split(said, chr(10))) AS INT) ELSE 0 END AS n_segments,
+  CASE WHEN kind = '' THEN said ELSE '' END AS texts,
+  CASE WHEN kind = '_silent' THEN 0 ELSE doc_id END AS input_token, 0::BIGINT AS output_token,
+  CASE kind WHEN '_silent' THEN 'no audio' WHEN '_broken' THEN 'Could not parse the structured response.' END AS error
+FROM spoken WHERE (kind <> '' OR doc_id % 3 <> 0 AND doc_id % 5 <> 0) AND minutes <= 45""",
 )
 def transcribe_videos(spark, sf):
-    pending = D.pending_videos(A.manifest(spark, sf), A.status(spark, sf))
+    """All segments of the videos that are open and not too long."""
+    pending = D.pending_videos(A.spoken(spark, sf), A.status(spark, sf))
     short = D.duration_guard(pending).filter("not too_long")
-    responses = X.transcribe_videos(short, UrlTranscriber, tries=2, first_wait=0, wait_step=0)
+    responses = X.transcribe_videos(short, LineTranscriber, tries=2, first_wait=0, wait_step=0)
+    texts = F.transform("task1_transcripts", lambda s: s["text"])
     return D.token_usage(X.parsed_transcriptions(responses)).select(
         "id",
         F.size("task1_transcripts").alias("n_segments"),
-        F.try_element_at("task1_transcripts", F.lit(1))["text"].alias("first_text"),
+        F.array_join(texts, "\n").alias("texts"),
         "input_token",
         "output_token",
         "error",

@@ -42,18 +42,21 @@ def read_raw_metadata(spark, sf):
 
 @query(
     "read_channel_videos",
-    """SELECT CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
+    """WITH rows AS (
+  SELECT doc_id, text, source, n_chars FROM documents
+  UNION ALL SELECT -1 - doc_id, text, source, n_chars FROM documents WHERE doc_id % 23 = 0)
+SELECT CASE WHEN doc_id >= 0 THEN text END AS title,
   CASE WHEN doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
   CAST(n_chars AS INT) AS duration_sec, text AS description, '2024-01-31' AS upload_date,
   source AS source_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index
-FROM documents""",
+FROM rows""",
 )
 def read_channel_videos(spark, sf):
-    """Channel rows as CSV with their line breaks and quotes, and 'N/A' where nothing is known; a folder
-    per channel, of one or more files."""
+    """Channel rows as CSV with their line breaks and quotes, and copies of some with 'N/A' for a title; a
+    folder per channel, of one or more files."""
     out, i = new_dir(spark, "channels"), F.col("doc_id")
-    rows = table(spark, sf, "documents").select(
-        F.when(i % 23 != 0, F.col("text")).otherwise("N/A").alias("Title"),
+    rows = A.with_copies_of(table(spark, sf, "documents"), i % 23 == 0).select(
+        F.when(F.col("odd"), "N/A").otherwise(F.col("text")).alias("Title"),
         F.when(i % 13 == 0, "N/A").otherwise((i * 7).cast("string")).alias("Views"),
         F.col("n_chars").alias("Duration (sec)"),
         F.lit("20240131").alias("Upload Date"),

@@ -33,24 +33,29 @@ def trim_sentinel_rows(spark, sf):
     return V.trim_sentinel_rows(table(spark, sf, "pages").select("page_id", "url"), "page_id")
 
 
-NORMALIZED = """SELECT CAST(doc_id + 1 AS INT) AS index,
-  CASE WHEN doc_id % 23 = 0 THEN concat('[RESTRICTED] ID: v', doc_id)
-       ELSE text END AS title,
+# Beside some documents there are copies that lack something: see adapters.raw_videos.
+RAW = """raw AS (
+  SELECT doc_id, text, source, n_chars, false AS odd FROM documents
+  UNION ALL SELECT -1 - doc_id, text, source, n_chars, true FROM documents WHERE doc_id % 23 = 0 OR doc_id % 29 = 0),
+told AS (
+  SELECT *, odd AND (-1 - doc_id) % 23 = 0 AS untitled, odd AND (-1 - doc_id) % 29 = 0 AS undescribed FROM raw)"""
+NORMALIZED = f"""WITH {RAW} SELECT CAST(doc_id + 1 AS INT) AS index,
+  CASE WHEN untitled THEN concat('[RESTRICTED] ID: v', doc_id) ELSE text END AS title,
   CASE WHEN doc_id % 5 <> 0 THEN concat('https://video.example/', doc_id)
-       WHEN doc_id % 23 = 0 THEN concat('https://www.youtube.com/watch?v=v', doc_id)
+       WHEN untitled THEN concat('https://www.youtube.com/watch?v=v', doc_id)
        ELSE '' END AS url,
-  CASE WHEN doc_id % 23 <> 0 THEN
+  CASE WHEN NOT untitled THEN
     CASE WHEN doc_id % 11 = 0 THEN 'Unknown' ELSE source END END AS uploader,
-  CASE WHEN doc_id % 23 <> 0 AND doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
-  CASE WHEN doc_id % 23 <> 0
-    THEN concat('2024-01-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')) END AS upload_date,
-  CASE WHEN doc_id % 23 <> 0 THEN
+  CASE WHEN NOT untitled AND doc_id % 13 <> 0 THEN doc_id * 7 END AS views,
+  CASE WHEN NOT untitled
+    THEN concat('2024-01-', lpad(CAST(abs(doc_id) % 28 + 1 AS VARCHAR), 2, '0')) END AS upload_date,
+  CASE WHEN NOT untitled THEN
     CASE WHEN doc_id % 19 = 0 THEN 0 ELSE CAST(n_chars AS INT) END END AS duration_sec,
-  CASE WHEN doc_id % 23 = 0 THEN 'Content is members-only, age-restricted, or private.'
-       WHEN doc_id % 29 = 0 THEN '…'
+  CASE WHEN untitled THEN 'Content is members-only, age-restricted, or private.'
+       WHEN undescribed THEN '…'
        ELSE concat(substring(replace(text, chr(10), ' '), 1, 500), '…') END AS description,
-  CASE WHEN doc_id % 23 = 0 THEN '[Cannot access restricted content]' ELSE '' END AS transcript
-FROM documents"""
+  CASE WHEN untitled THEN '[Cannot access restricted content]' ELSE '' END AS transcript
+FROM told"""
 
 
 @query("normalize_video", NORMALIZED)
@@ -75,7 +80,7 @@ def restricted_placeholder(spark, sf):
 
 @query(
     "drop_null_entries",
-    """SELECT doc_id AS id, text AS entry FROM documents WHERE doc_id % 23 <> 0""",
+    f"WITH {RAW} SELECT doc_id AS id, text AS entry FROM told WHERE NOT untitled",
 )
 def drop_null_entries(spark, sf):
     entries = A.raw_videos(spark, sf).select(
@@ -86,8 +91,8 @@ def drop_null_entries(spark, sf):
 
 @query(
     "video_url",
-    """SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN concat('https://video.example/', doc_id)
-  ELSE concat('https://www.youtube.com/watch?v=v', doc_id) END AS url FROM documents""",
+    f"""WITH {RAW} SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN concat('https://video.example/', doc_id)
+  ELSE concat('https://www.youtube.com/watch?v=v', doc_id) END AS url FROM told""",
 )
 def video_url(spark, sf):
     return A.raw_videos(spark, sf).select(
@@ -114,10 +119,11 @@ def extract_video_id(spark, sf):
 
 VIDEOS = """videos AS (
   SELECT concat(source, '_metadata_and_transcripts.csv') AS source_file, doc_id,
-    CASE WHEN doc_id % 23 <> 0 THEN text END AS title,
+    CASE WHEN doc_id >= 0 THEN text END AS title,
     CAST(n_chars AS INT) AS duration_sec, 'About ' || text AS description, text AS transcript,
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index, source
-  FROM documents)"""
+  FROM (SELECT doc_id, text, source, n_chars FROM documents
+    UNION ALL SELECT -1 - doc_id, text, source, n_chars FROM documents WHERE doc_id % 23 = 0))"""
 
 
 @query(
@@ -143,10 +149,7 @@ def merge_channel_videos(spark, sf):
 UNION ALL SELECT NULL, count(*) FROM videos""",
 )
 def merge_counts(spark, sf):
-    files = table(spark, sf, "documents").select(
-        F.concat("source", F.lit(V.CHANNEL_FILE_SUFFIX)).alias("source_file")
-    )
-    return V.merge_counts(files)
+    return V.merge_counts(A.channel_videos(spark, sf).select("source_file"))
 
 
 @query(
@@ -164,14 +167,14 @@ def join_snippets(spark, sf):
 
 @query(
     "transcript_status",
-    """SELECT page_id AS id,
+    """SELECT page_id AS id, 'ok' AS transcript_status, html AS transcript FROM pages
+UNION ALL SELECT -1 - page_id,
   CASE page_id % 9 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid_url' WHEN 2 THEN 'disabled'
-    WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'error' WHEN 5 THEN 'none_found'
-    WHEN 6 THEN 'restricted' ELSE 'ok' END AS transcript_status,
-  CASE WHEN page_id % 9 >= 7 THEN html END AS transcript
-FROM pages""",
+    WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'error' WHEN 5 THEN 'none_found' ELSE 'restricted' END, NULL
+FROM pages WHERE page_id % 9 < 7""",
 )
 def transcript_status(spark, sf):
+    """Every whole page, and marks beside them."""
     return V.split_transcript_status(A.transcripts(spark, sf))
 
 
