@@ -175,6 +175,29 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def pattern(n=1024):
+    """Two words of a doubling pattern and its complement, which running sums of powers can't tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_have_hashes_of_their_own(spark):
+    one, other = pattern()
+    texts = ["a b c d e f g h i j k l " + w for w in (one, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in relative_lz.remove_repeats(docs).collect()] == [0, 0]
+    assert class_lm.word_counts(docs).count() == 15
+    draw = random.Random(2)
+    words_ = ["".join(draw.choice(["a", "b", "é"]) for _ in range(draw.choice([1, 7, 8, 9, 16, 300]))) for _ in range(500)]
+    data = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    starts, ends, _ = common.find_words(data, np.array([0, len(data)]))
+    hashes = common.word_hashes(data, starts, ends)
+    assert np.array_equal(hashes, common.word_hashes(data, starts, ends, limit=40))
+    assert len(set(zip(words_, hashes.tolist()))) == len(set(words_)) == len(set(hashes.tolist()))
+
+
 def test_class_model(spark, docs, none):
     training = docs.where(~class_lm.held_out(docs["doc_id"])).select("doc_id", "text")
     counts = class_lm.word_counts(training)

@@ -100,26 +100,76 @@ def _find(ordered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ordered[at] == h
 
 
-def bigram_counts(docs: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Bigrams of the symbols in all texts, as a square matrix."""
-    m = symbols.size
-    share = docs.sparkSession.sparkContext.broadcast(symbols)
+@dataclass
+class Encoded:
+    """Training texts as numbers, written: ids are rows of some megabytes of text, little-endian 32-bit
+    places of the words in hashes, their number for a text's end, and -1 for any other word."""
+
+    ids: DataFrame
+    hashes: np.ndarray
+
+    def numbers(self, kind: np.ndarray, rest: int) -> np.ndarray:
+        """By id: the kind of each place, rest + 1 for a text's end, rest (as id -1) for other words."""
+        return np.append(kind, [rest + 1, rest])
+
+
+def encode(docs: DataFrame, hashes: np.ndarray) -> Encoded:
+    """The texts once, split and looked up; all that counts bigrams of these words reads the numbers."""
+    order = np.argsort(hashes)
+    share = docs.sparkSession.sparkContext.broadcast((hashes[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = share.value
+        ordered, order = share.value
         for batch in batches:
             for part in steps(batch):
-                s = symbols.of(tokens(*flat(part.column("text")))[0])
-                before = np.concatenate([[m - 1], s[:-1]])  # a text's first word follows an end
-                code, c = np.unique(before * m + s, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
+                h = tokens(*flat(part.column("text")))[0]
+                at, hit = _find(ordered, h)
+                ids = np.where(hit, order[at] if len(order) else 0, -1)
+                ids[h == np.uint64(END)] = len(order)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["ids"])
+
+    return Encoded(cut(docs.select("text").mapInArrow(run, "ids binary"), "encoded"), hashes)
+
+
+#: Rows of a batch that a task gives out.
+_OUT = 1 << 18
 
-    cells = docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+
+def _cells(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """code, c of the cells that are not 0."""
+    code = np.flatnonzero(counts)
+    for at in range(0, max(len(code), 1), _OUT):
+        part = code[at : at + _OUT]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["code", "c"])
+
+
+def encoded_bigrams(encoded: Encoded, numbers: np.ndarray) -> np.ndarray:
+    """Bigrams of the symbols that the ids stand for, as a square matrix. A task sums up its own texts."""
+    m = int(numbers.max()) + 1
+    share = encoded.ids.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, counts = share.value, np.zeros(m * m, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                s = numbers[np.frombuffer(ids.as_py(), "<i4")]
+                if len(s):
+                    # A text's first word follows an end.
+                    np.add.at(counts, np.concatenate([[m - 1], s[:-1]]) * m + s, 1)
+        yield from _cells(counts)
+
+    cells = encoded.ids.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(m * m)
     out[cells["code"].to_numpy()] = cells["c"].to_numpy()
     return out.reshape(m, m)
 
 
+def bigram_counts(docs: DataFrame, symbols: Symbols) -> np.ndarray:
+    """Bigrams of the symbols in all texts, as a square matrix."""
+    encoded = encode(docs, symbols.hashes)
+    return encoded_bigrams(encoded, encoded.numbers(symbols.numbers, symbols.rest))
+
+
 def transitions(pairs: np.ndarray) -> np.ndarray:
     """log10 P(class | class before), smoothed."""
     after = pairs.sum(0)
@@ -127,31 +177,35 @@ def transitions(pairs: np.ndarray) -> np.ndarray:
     return np.log10((pairs + SMOOTHING * common) / (pairs.sum(1) + SMOOTHING)[:, None])
 
 
-def neighbours(docs: DataFrame, symbols: Symbols, words: np.ndarray) -> DataFrame:
-    """code, c: for each of the words (hashes, in order), its counts with the class before and after
-    it. code: twice the number of symbols times the word's place, and the class, or for the class
-    after it the class and the number of symbols."""
-    k = symbols.size
-    share = docs.sparkSession.sparkContext.broadcast((symbols, words))
+def encoded_neighbours(encoded: Encoded, numbers: np.ndarray, places: np.ndarray) -> DataFrame:
+    """code, c: for the words of the ids in `places`, their counts with the class before and after
+    them. code: twice the number of symbols times the word's number in `places`, and the class, or for
+    the class after it the class and the number of symbols. A task sums up its own texts."""
+    k = int(numbers.max()) + 1
+    wanted = np.full(len(numbers), -1)
+    wanted[places] = np.arange(len(places))
+    share = encoded.ids.sparkSession.sparkContext.broadcast((numbers, wanted))
+    size = len(places) * 2 * k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, ordered = share.value
+        (numbers, wanted), counts = share.value, np.zeros(size, np.int32)
         for batch in batches:
-            for part in steps(batch):
-                h = tokens(*flat(part.column("text")))[0]
-                s = symbols.of(h)
-                at, hit = _find(ordered, h)
+            for row in batch.column("ids"):
+                ids = np.frombuffer(row.as_py(), "<i4")
+                s, word = numbers[ids], wanted[ids]
+                hit = word >= 0
                 before = np.concatenate([[k - 1], s[:-1]])[hit]
                 after = np.concatenate([s[1:], [k - 1]])[hit]  # an end is never a word, so none is cut off
-                base = at[hit] * (2 * k)
-                code, c = np.unique(np.concatenate([base + before, base + k + after]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
+                base = word[hit] * (2 * k)
+                np.add.at(counts, base + before, 1)
+                np.add.at(counts, base + k + after, 1)
+        yield from _cells(counts)
 
-    return docs.select("text").mapInArrow(run, "code long, c long")
+    return encoded.ids.mapInArrow(run, "code long, c long")
 
 
 def choices(cells: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """word, class: for the word of some cells (word, near, c; near as in the code of neighbours()),
+    """word, class: for the word of some cells (word, near, c; near as in the code of encoded_neighbours()),
     the class in which its occurrences and what follows them are likeliest.
 
     A word has at most two cells per class, each once; they are scored in tasks. The text's end and
@@ -180,7 +234,8 @@ def choices(cells: DataFrame, pairs: np.ndarray) -> DataFrame:
 
 
 def head_choices(cells: DataFrame, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """The choices of words (hashes) that the driver has; cells: those of neighbours(), of all words in order."""
+    """The choices of words (hashes) that the driver has; cells: encoded_neighbours() of all of them in
+    order of their hashes."""
     k = len(pairs)
     summed = cells.groupBy("code").agg(F.sum("c").alias("c"))
     found = choices(summed.select(F.expr(f"code div {2 * k}").alias("word"), F.expr(f"code % {2 * k}").alias("near"), "c"), pairs).toArrow()
@@ -191,7 +246,10 @@ def head_choices(cells: DataFrame, words: np.ndarray, pairs: np.ndarray) -> np.n
 
 def best_classes(docs: DataFrame, symbols: Symbols, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The choices of some words from their neighbours among the symbols."""
-    return head_choices(neighbours(docs, symbols, np.sort(words)), words, pairs)
+    encoded = encode(docs, np.concatenate([symbols.hashes, np.sort(words)]))
+    kind = np.concatenate([symbols.numbers, np.full(len(words), symbols.rest)])
+    places = len(symbols.hashes) + np.arange(len(words))
+    return head_choices(encoded_neighbours(encoded, encoded.numbers(kind, symbols.rest), places), words, pairs)
 
 
 @dataclass
@@ -286,9 +344,9 @@ def moved_pairs(x: Beyond, kind: np.ndarray, rest: int) -> np.ndarray:
 
 
 def moved_neighbours(x: Beyond, head: np.ndarray, others: np.ndarray, rest: int) -> DataFrame:
-    """What the classes of words beyond the head add to neighbours() of the head words at `others`."""
+    """What the classes of words beyond the head add to the neighbours of the head words at `others`."""
     m = rest + 2
-    number = np.full(len(head), -1)  # as neighbours() counts the words
+    number = np.full(len(head), -1)  # in order of hashes, as head_choices() takes them
     number[others[np.argsort(head[others])]] = np.arange(len(others))
     share = x.words.sparkSession.sparkContext.broadcast(number)
 
@@ -418,13 +476,16 @@ def fit(
     c = top["c"].to_numpy()
     words = np.flatnonzero(h != np.uint64(END))
     picked = words[:clustered]
-    grams = bigram_counts(docs, Symbols(h[picked], np.arange(len(picked)), len(picked)))
+    encoded = encode(docs, h)
+    alone = np.full(len(h), len(picked))
+    alone[picked] = np.arange(len(picked))
+    grams = encoded_bigrams(encoded, encoded.numbers(alone, len(picked)))
     label = exchange(grams, classes)
     rest, end = int(label[-2]), int(label[-1])
     kind = np.full(len(h), rest)
     kind[picked] = label[:-2]
     kind[h == np.uint64(END)] = end
-    known = lambda: Symbols(h[kind < rest], kind[kind < rest], rest)
+    known = lambda: encoded.numbers(np.minimum(kind, rest), rest)
     member = np.eye(rest + 2)[label]
     pairs = member.T @ grams @ member
     others = words[clustered:]
@@ -435,14 +496,14 @@ def fit(
         open_ = cut(counts.where(later & (F.col("c") >= seen) & (F.col("h") != end_hash)).select("h", "c"), "open_words")
         more = beyond(docs, h, open_) if open_.head(1) else None
     for _ in range(rounds if (len(others) or more) and rest else 0):
-        cells = neighbours(docs, known(), np.sort(h[others]))
+        cells = encoded_neighbours(encoded, known(), others[np.argsort(h[others])])
         joined = None
         if more:
             if more.classes is not None:
                 cells = cells.union(moved_neighbours(more, h, others, rest))
             joined = cut(choices(open_neighbours(more, kind, rest), pairs), "open_classes")
         kind[others] = head_choices(cells, h[others], pairs)
-        pairs = bigram_counts(docs, known())
+        pairs = encoded_bigrams(encoded, known())
         if more:
             more = with_classes(more, joined)
             pairs = pairs + moved_pairs(more, kind, rest)
