@@ -23,6 +23,11 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, where = hadoop_path(spark, path)
+    fs.delete(where, True)
+
+
 def published(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the published versions, in order."""
     fs, where = hadoop_path(spark, f"{path}/published")
@@ -52,8 +57,7 @@ def publish(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
     mark_published(spark, path, version)
     for old in published(spark, path)[:-keep]:
         for name in (f"{path}/published/{old}", version_path(path, old)):
-            fs, where = hadoop_path(spark, name)
-            fs.delete(where, True)
+            delete_folder(spark, name)
 
 
 def read_version(
