@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import cut, find_words, flat, mixed, steps, table, word_hashes
 from turnmill.llm.registry import query
+from turnmill.session import new_dir
+from turnmill.sources.versions import delete_folder
 
 #: Words whose counts and classes every task holds: 2**18 rows of 24 bytes. Those of others are joined.
 HEAD = 1 << 18
@@ -107,11 +109,16 @@ class Encoded:
 
     ids: DataFrame
     hashes: np.ndarray
+    path: str
 
     def numbers(self, kind: np.ndarray, rest: int) -> np.ndarray:
         """By id: the kind of each place, rest + 1 for a text's end, rest (as id -1) for other words."""
         return np.append(kind, [rest + 1, rest])
 
+    def delete(self) -> None:
+        """Everything that was counted from the table is with the caller, who has no more use for it."""
+        delete_folder(self.ids.sparkSession, self.path)
+
 
 def encode(docs: DataFrame, hashes: np.ndarray) -> Encoded:
     """The texts once, split and looked up; all that counts bigrams of these words reads the numbers."""
@@ -128,7 +135,9 @@ def encode(docs: DataFrame, hashes: np.ndarray) -> Encoded:
                 ids[h == np.uint64(END)] = len(order)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["ids"])
 
-    return Encoded(cut(docs.select("text").mapInArrow(run, "ids binary"), "encoded"), hashes)
+    spark, path = docs.sparkSession, new_dir(docs.sparkSession, "encoded")
+    docs.select("text").mapInArrow(run, "ids binary").write.parquet(path)
+    return Encoded(spark.read.schema("ids binary").parquet(path), hashes, path)
 
 
 #: Rows of a batch that a task gives out.
@@ -237,8 +246,10 @@ def head_choices(cells: DataFrame, words: np.ndarray, pairs: np.ndarray) -> np.n
     """The choices of words (hashes) that the driver has; cells: encoded_neighbours() of all of them in
     order of their hashes."""
     k = len(pairs)
-    summed = cells.groupBy("code").agg(F.sum("c").alias("c"))
-    found = choices(summed.select(F.expr(f"code div {2 * k}").alias("word"), F.expr(f"code % {2 * k}").alias("near"), "c"), pairs).toArrow()
+    # One shuffle, by word, serves the sums and the choices; tasks have summed up their own cells.
+    coded = cells.select(F.expr(f"code div {2 * k}").alias("word"), F.expr(f"code % {2 * k}").alias("near"), "c")
+    summed = coded.repartition("word").groupBy("word", "near").agg(F.sum("c").alias("c"))
+    found = choices(summed, pairs).toArrow()
     out = np.full(len(words), k - 2)
     out[np.argsort(words)[found["word"].to_numpy()]] = found["class"].to_numpy()
     return out
@@ -507,6 +518,7 @@ def fit(
         if more:
             more = with_classes(more, joined)
             pairs = pairs + moved_pairs(more, kind, rest)
+    encoded.delete()
     after = pairs.sum(0)
     # Words of the common class, with one unknown word more; half a count is added to each.
     inside = kind < rest
