@@ -439,6 +439,28 @@ def test_query_equals_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(spark, docs, kind):
+    """Whole numbers of any width give the same rows; where only whole numbers will do, others are refused."""
+    rows = docs.where("doc_id is not null and doc_id <> 11").dropDuplicates(["doc_id"])
+    other = rows.withColumn("doc_id", rows["doc_id"].cast(kind))
+    benchmark = spark.createDataFrame([(str(i), r[1]) for i, r in enumerate(corpus()) if r[1] and len(r[1]) > 100], "item_id string, text string")
+    ways = {
+        "bytes": suffix_groups.remove_repeats, "words": relative_lz.remove_repeats, "pieces": packing.pack,
+        "language": lambda x: langid.predict(x.select("doc_id", "text"), langid.fit(x)),
+    }
+    found = lambda x, way: sorted(str(tuple(r)) for r in way(x).collect())
+    for way in ways.values():
+        if kind == "string":
+            with pytest.raises(TypeError, match="whole number"):
+                way(other).collect()
+        else:
+            assert way(other).schema["doc_id"].dataType.simpleString() == "int"
+            assert found(other, way) == found(rows, way)
+    hits = lambda x: sorted((str(r.doc_id), r.item_id, r.distance) for r in decontaminate.contaminated(x, benchmark).collect())
+    assert hits(other) == hits(rows) != []
+
+
 def test_pipeline(spark, docs, none):
     rows = corpus_pipeline.run(spark, SF).collect()
     kept = {r.doc_id for r in rows}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from turnmill.session import new_dir
 
@@ -25,6 +26,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_type(docs: DataFrame, name: str = "doc_id") -> str:
+    """The type of an id that is a whole number; tasks take it as long, results have it again."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name} must be a whole number, not {kind.simpleString()}.")
+    return kind.simpleString()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and where each text starts in them (one entry more than
     texts). A null text is empty."""

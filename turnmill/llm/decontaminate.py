@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnmill.llm.common import table
 from turnmill.llm.registry import query
@@ -139,23 +140,31 @@ def contaminated(
     repeat an id are all looked for. Other columns are not looked at.
     """
 
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+
     def matches(share: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(share.value)
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    rows.extend((doc_id, item, distance) for item, distance in matcher.find(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["doc_id", "item_id", "distance"])
+                for i, text in enumerate(batch.column("text")):
+                    rows.extend((i, item, distance) for item, distance in matcher.find(text.as_py()))
+                at, items, distances = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, item_type), pa.array(distances, pa.int64())],
+                    ["doc_id", "item_id", "distance"],
+                )
 
         return run
 
     out = None
     for share in passes(benchmark, chars_per_edit, pass_chars):
-        found = docs.select("doc_id", "text").mapInArrow(matches(share), "doc_id long, item_id long, distance long")
+        found = docs.select("doc_id", "text").mapInArrow(matches(share), schema)
         out = found if out is None else out.union(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long")
+        return docs.sparkSession.createDataFrame([], schema)
     return out
 
 

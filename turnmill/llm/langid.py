@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import flat, steps, table
+from turnmill.llm.common import flat, id_type, steps, table
 from turnmill.llm.registry import query
 
 UNKNOWN = "und"
@@ -125,6 +125,8 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
     Of each language the `landmarks + sample` training rows with the smallest hash of their id are
     used, whole texts; every other row with a language only counts as one that could have been.
     """
+    id_type(docs)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     able = docs.where(training(F.col("doc_id"), F.col("lang"))).where(F.col("text").rlike("\\p{L}"))
     least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))
     picked = (
@@ -162,7 +164,8 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
     ids = sorted({r.doc_id for r in picked})
     rows = (
         able.where(F.col("doc_id").isin(ids))
-        .select("lang", "doc_id", "text")
+        .groupBy("lang", "doc_id")
+        .agg(F.min("text").alias("text"))  # one of the rows that repeat an id
         .mapInArrow(sets, "lang string, doc_id long, codes array<int>")
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("lang", "ascending")])
@@ -170,7 +173,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge
     nth = {(r.lang, r.doc_id): r.nth for r in picked}
     first = {}
     for lang, doc_id, codes in zip(*(rows[c].to_pylist() for c in ("lang", "doc_id", "codes")), strict=True):
-        first.setdefault((lang, doc_id), np.array(codes, np.int64))  # of rows that repeat an id, one
+        first.setdefault((lang, doc_id), np.array(codes, np.int64))
     chosen = sorted(k for k in first if nth[k] <= landmarks)
     codes = np.unique(np.concatenate([first[k] for k in chosen]))
     marks = np.zeros((len(chosen), len(codes)), np.float32)

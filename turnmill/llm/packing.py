@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnmill.llm.common import cut, flat, ranges, steps, table
+from turnmill.llm.common import cut, flat, id_type, ranges, steps, table
 from turnmill.llm.registry import query
 
 SIZE = 4096
@@ -221,7 +221,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     no pieces. Other columns are not looked at.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    tokens = tokenized(docs.select("doc_id", "text"), path)
+    kind = id_type(docs)
+    tokens = tokenized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +253,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                 )
 
     schema = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.drop("key").join(places(tokens), "row_id").select("doc_id", "n", "ids", "place").mapInArrow(run, schema)
+    pieces = tokens.drop("key").join(places(tokens), "row_id").select("doc_id", "n", "ids", "place").mapInArrow(run, schema)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 @query("op7_hilbert_packing")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import find_words, flat, steps, table, word_hashes
+from turnmill.llm.common import find_words, flat, id_type, steps, table, word_hashes
 from turnmill.llm.registry import query
 from turnmill.llm.repeats import covered, repeated_spans
 
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
-    return spanned.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return spanned.mapInArrow(run, f"doc_id {id_type(docs)}, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 @query("op9_relative_lempel_ziv")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import Hashes, cut, flat, mixed, ranges, runs, steps
+from turnmill.llm.common import Hashes, cut, flat, id_type, mixed, ranges, runs, steps
 
 #: Windows that one vectorised step looks at.
 PART = 1_000_000
@@ -164,9 +164,10 @@ def repeated_spans(
     but not the text are told apart by it, equal rows get equal spans. Rows without a doc_id have
     no spans and are no source.
     """
+    id_type(docs)
     by_id = docs.select(F.struct("*").alias("row")).repartition(F.col("row.doc_id"))
     source = docs.where("doc_id is not null").select(
-        "doc_id", "text", F.hash("text").alias("mark")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark")
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

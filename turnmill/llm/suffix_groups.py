@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import flat, steps, table
+from turnmill.llm.common import flat, id_type, steps, table
 from turnmill.llm.registry import query
 from turnmill.llm.repeats import covered, repeated_spans
 
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
 
     schema = (
-        "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, "
+        f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, "
         "kept binary, kept_sha256 string"
     )
     return spanned.mapInArrow(run, schema)
