@@ -43,8 +43,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack(docs).drop("ids")
+    """Pieces of training sequences, with their token ids (little-endian, 32 bits)."""
+    return packing.pack(docs)
 
 
 STAGES = [
