@@ -295,3 +295,13 @@ def test_parts_of_a_file_are_read_in_order(spark, tmp_path):
     key = ["source_file", "turn_index", "transcript"]
     back = R.read_turns(spark, str(tmp_path / "out"), folders=True).select(*key)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, turns.select(*key).collect()))
+
+
+def test_annotated_tables_are_converted_once(spark, tmp_path):
+    put(tmp_path / "a", "a.csv", 'id,title,x\n1,"caf\u00e9 \u20ac \u201cq\u201d\nline",9\n2,,1\n', "cp1252")
+    got = R.convert_annotated(spark, str(tmp_path / "a"), str(tmp_path / "out"), "title string, id int, none string")
+    assert sorted((r.id, r.title, r.none) for r in got.collect()) == [(1, "caf\u00e9 \u20ac \u201cq\u201d\nline", None), (2, None, None)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.csv").write_bytes(b"id,title\n1,\x81\x8d\n")  # bytes that the code page doesn't define
+    with pytest.raises(Exception, match="not in cp1252"):
+        R.convert_annotated(spark, str(tmp_path / "b"), str(tmp_path / "out2"), "title string, id int")

@@ -3,9 +3,11 @@ import json
 from pyspark.sql import functions as F
 
 from turnmill import jobs
+from turnmill.operators import chat
 from turnmill.operators.generation import builtin_factory
 from turnmill.operators.models import ModelSpec
 from turnmill.operators.scoring import HashEncoder
+from turnmill.operators.transcription import transcribe_videos
 from turnmill.sources import readers
 
 SPECS = [
@@ -119,3 +121,46 @@ def test_training_data_run(spark, tmp_path):
     got = jobs.training_data(spark.createDataFrame(rows, "record_id string, record string"), str(tmp_path / "t"), "qwen")
     texts = {r.record_id: r.text for side in got.values() for r in side.collect()}
     assert set(texts) == {str(i) for i in range(40)} and "q7" in texts["7"] and got["eval"].count() > 0
+
+
+def test_plans_report_without_running(spark, tmp_path):
+    class Never:
+        def transcribe(self, video_id, url):
+            raise ValueError("called")
+
+    class Says:
+        def transcribe(self, video_id, url):
+            if video_id == "b":
+                return {"response": "no list"}
+            return {"response": '{"task1_transcripts":[{"start":"0:1","text":"Hi","voice":1}]}'}
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id string, url string, minutes double"
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+    plan = lambda factory: jobs.plan_diarization(
+        spark.read.schema(schema).json(src), spark.readStream.schema(schema).json(src), out, factory
+    )
+    add([("a", "u", 1.0), ("b", "u", 1.0), ("long", "u", 90.0)])
+    first = plan(Never).report()
+    assert first["steps"] == {"manifest": 3, "done": 0, "failed_before": 0, "too_long": 1, "to_transcribe": 2}
+    assert first["outputs"]["results"] == f"{out}/results" and not (tmp_path / "out").exists()
+    plan(Says).run()
+    add([("c", "u", 1.0)])
+    again = plan(Never).report()
+    assert again["steps"] == {"manifest": 4, "done": 2, "failed_before": 1, "too_long": 0, "to_transcribe": 2}
+
+    alone = spark.createDataFrame([("a", "u")], "id string, url string")
+    failed = transcribe_videos(alone, Never, tries=1).first()
+    assert (failed.id, failed.response, failed.error) == ("a", None, "called")
+
+    records = spark.createDataFrame(
+        [(f"r{i}", json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]})) for i in range(40)]
+        + [("bad", "{")], "record_id string, record string",
+    )
+    family = next(iter(chat.TRAINING_SETUPS))
+    planned = jobs.plan_training(records, str(tmp_path / "train"), family)
+    steps = planned.report()["steps"]
+    assert steps["records"] == 41 and steps["texts"] == 40 == steps["train"] + steps["eval"]
+    assert not (tmp_path / "train").exists()
+    sides = planned.run()
+    assert {s: df.count() for s, df in sides.items()} == {s: steps[s] for s in ("train", "eval")}

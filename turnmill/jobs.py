@@ -7,6 +7,7 @@ once and read back, so that nothing after them calls a model again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,73 @@ def filter_videos(
     return tables
 
 
+@dataclass(frozen=True)
+class Plan:
+    """A run before it runs: what it reads, what it would handle, and where it would write.
+
+    report() only reads: no hook is called, nothing is written. run() does it.
+    """
+
+    inputs: DataFrame
+    handled: DataFrame
+    outputs: dict[str, str]
+    steps: DataFrame
+    run: Callable[[], object]
+
+    def report(self) -> dict:
+        """Counts per step, and the outputs."""
+        return {"steps": {r.step: r.n for r in self.steps.collect()}, "outputs": self.outputs}
+
+
+def _steps(**counted: DataFrame) -> DataFrame:
+    """step, n: how many rows each of the tables has, in one table."""
+    parts = [df.agg(F.lit(name).alias("step"), F.count(F.lit(1)).alias("n")) for name, df in counted.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def plan_diarization(
+    manifest: DataFrame,
+    manifest_stream: DataFrame,
+    out: str,
+    factory: Callable,
+    limit: float = diarization.MAX_MINUTES,
+    tasks: int | None = None,
+) -> Plan:
+    """diarize_arrivals over a manifest, which is given as a table too, so that it can be looked through.
+
+    Its steps: ids of the manifest, those that are done, failed before, too long, and to transcribe.
+    """
+    status = ingest.final_status(manifest.sparkSession, out)
+    ids = manifest.select("id", "url", "minutes").dropDuplicates(["id"])
+    guarded = diarization.duration_guard(diarization.pending_videos(ids, status), limit)
+    handled = guarded.filter("not too_long").drop("too_long")
+    failed = handled.join(status.filter(F.col("status") == diarization.FAILED).select("id"), "id", "left_semi")
+    done = ids.join(status.filter(F.col("status") != diarization.FAILED).select("id"), "id", "left_semi")
+    return Plan(
+        ids, handled, {name: f"{out}/{name}" for name in ("results", "status", "checkpoint")},
+        _steps(manifest=ids, done=done, failed_before=failed, too_long=guarded.filter("too_long"), to_transcribe=handled),
+        lambda: diarize_arrivals(manifest_stream, out, factory, limit, tasks, retry=manifest),
+    )
+
+
+def plan_training(
+    records: DataFrame, out: str, family: str, key: str = "record_id", compat: bool = False
+) -> Plan:
+    """training_data before it runs. Its steps: records, valid ones, and rows for training and evaluation."""
+    setup = chat.TRAINING_SETUPS[family]
+    texts = chat.training_text(records, setup, compat).select(key, "text")
+    split = chat.train_eval_split(texts, key, setup.eval_fraction)
+    sides = {side: split.filter(F.col("split") == side) for side in ("train", "eval")}
+    return Plan(
+        records, split, {side: f"{out}/split={side}" for side in sides},
+        _steps(records=records, texts=texts, **sides),
+        lambda: training_data(records, out, family, key, compat),
+    )
+
+
 def diarize_arrivals(
     manifest_stream: DataFrame,
     out: str,

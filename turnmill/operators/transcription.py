@@ -77,9 +77,11 @@ def transcribe_videos(
                         {**({} if failed else answer), "id": video_id,
                          "error": str(answer) if failed else None, "execution_time_sec": seconds}
                     )
-            yield pd.DataFrame(rows, columns=list(columns)).convert_dtypes()
+            frame = pd.DataFrame(rows, columns=list(kinds)).convert_dtypes()
+            # Where all videos of a batch failed, a text column has nothing to tell its type by.
+            yield frame.astype({c: "string" for c, kind in kinds.items() if kind == "string"})
 
-    columns = [c.split()[0] for c in TRANSCRIBED.split(", ")]
+    kinds = dict(c.split() for c in TRANSCRIBED.split(", "))
     return spread(pending.select("id", "url"), tasks, "id").mapInPandas(run, TRANSCRIBED)
 
 

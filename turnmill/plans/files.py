@@ -84,6 +84,35 @@ def read_turns(spark, sf):
     return readers.read_turns(spark, out, folders=True)
 
 
+ANNOTATED = "id bigint, title string, no_police_presence int, escalation_indicators_score int, minutes double, missing string"
+
+
+@query(
+    "read_annotated",
+    """SELECT doc_id AS id, text AS title, CASE quality WHEN 0 THEN 1 WHEN 1 THEN 0 END AS no_police_presence,
+  CAST(n_chars % 7 AS INT) AS escalation_indicators_score, CAST(n_chars AS DOUBLE) / 100 AS minutes,
+  CAST(NULL AS VARCHAR) AS missing
+FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def read_annotated(spark, sf):
+    """Whole texts and flags in a Windows code page, converted once."""
+    out = new_dir(spark, "annotated")
+    rows = table(spark, sf, "documents").withColumnsRenamed({"doc_id": "id", "text": "title"}).select(
+        F.lit("x").alias("other"), "title", (F.col("n_chars").cast("double") / 100).alias("minutes"), "id"
+    )
+    rows = rows.join(A.annotated(spark, sf).select("id", "no_police_presence", "escalation_indicators_score"), "id")
+    old = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        rows.write.options(**writers.CSV_TEXT, encoding="cp1252").csv(f"{out}/csv")
+        return readers.convert_annotated(spark, f"{out}/csv", f"{out}/table", ANNOTATED)
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.legacy.javaCharsets")
+        else:
+            spark.conf.set("spark.sql.legacy.javaCharsets", old)
+
+
 @query("read_manifest", f"WITH {MANIFEST} SELECT id, url, minutes FROM manifest")
 def read_manifest(spark, sf):
     out = new_dir(spark, "manifest")

@@ -193,7 +193,7 @@ def read_annotated(spark: SparkSession, path: str, schema: str, encoding: str =
 
     A column that the file lacks is NULL, others are left out, and a value that its type cannot
     hold is NULL. The code page needs spark.sql.legacy.javaCharsets, which session.RECOMMENDED
-    sets. Read the table once and keep Parquet.
+    sets. A job converts the table once: see convert_annotated.
     """
     raw = spark.read.options(**CSV_TEXT, encoding=encoding).csv(path)
     return raw.select(
@@ -204,6 +204,27 @@ def read_annotated(spark: SparkSession, path: str, schema: str, encoding: str =
     )
 
 
+def convert_annotated(
+    spark: SparkSession, path: str, out: str, schema: str, encoding: str = "cp1252"
+) -> DataFrame:
+    """read_annotated once, into Parquet below ``out``, and the table that was written.
+
+    Text that the code page can't give back as it was read (bytes that it doesn't define) is an error:
+    the table is then in another encoding.
+    """
+    rows = read_annotated(spark, path, schema, encoding)
+    texts = [f.name for f in T.StructType.fromDDL(schema) if isinstance(f.dataType, T.StringType)]
+    lost = F.lit(False)
+    for name in texts:
+        # A byte without a letter is read as this one; all others of a code page can be given back.
+        lost = lost | F.coalesce(F.contains(F.col(f"`{name}`"), F.lit("\ufffd")), F.lit(False))
+    checked = rows.where(
+        F.when(lost, F.raise_error(F.lit(f"The table is not in {encoding}.")).cast("boolean")).otherwise(True)
+    )
+    checked.write.mode("overwrite").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """id (always text), url, minutes, found by their names in each file's header."""
     raw = read_csv_by_name(spark, path, ["id", "URL", "minutes"], ["id"])
