@@ -274,6 +274,49 @@ def test_class_model_is_the_same_beyond_the_head(spark, docs, head):
     assert np.allclose([x[3:] for x in a], [x[3:] for x in b], rtol=1e-9)
 
 
+@pytest.mark.parametrize("head", [class_lm.HEAD, 12])
+def test_scores_of_the_class_model_by_hand(spark, head):
+    """Transitions, emissions and scores from the classes alone, word by word."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7)) % 40}" for _ in range(rnd.randrange(30))) for _ in range(50)]
+    rows = list(enumerate([*texts, None, "", "never w1 seen w2"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    training = docs.where("doc_id < 40")
+    counts = class_lm.word_counts(training)
+    model = class_lm.fit(training, counts, head=head, clustered=4, classes=3, seen=2)
+    of = dict(zip(model.hashes.tolist(), model.classes.tolist()))
+    if model.beyond is not None:
+        of |= {r.word % 2**64: r["class"] for r in model.beyond.collect()}
+    end, rest = class_lm.END, model.rest
+    kind = lambda h: rest + 1 if h == end else of.get(h, rest)
+    number = lambda t: class_lm.tokens(*common.flat(pa.array([t], pa.string())))[0].tolist()
+    seen, pairs = {}, np.zeros((rest + 2, rest + 2))
+    for i, t in rows:
+        chain = [end, *number(t)]
+        for a, b in zip(chain, chain[1:]) if i < 40 else ():
+            pairs[kind(a), kind(b)] += 1
+            seen[b] = seen.get(b, 0) + 1
+    after = pairs.sum(0)
+    common_ = (after + 0.5) / (after + 0.5).sum()
+    step = np.log10((pairs + class_lm.SMOOTHING * common_) / (pairs.sum(1) + class_lm.SMOOTHING)[:, None])
+    tail = sum(kind(h) == rest for h in seen)
+
+    def emission(h):
+        if h == end:
+            return 0.0
+        if kind(h) < rest:
+            return np.log10(seen[h] / after[kind(h)])
+        return np.log10((seen.get(h, 0) + 0.5) / (after[rest] + 0.5 * (tail + 1)))
+
+    got = {r.id: r for r in class_lm.score(docs, counts, model).collect()}
+    assert len(got) == len(rows) and len({kind(h) for h in seen}) > 3
+    for i, t in rows:
+        chain = [end, *number(t)]
+        want = sum(step[kind(a), kind(b)] + emission(b) for a, b in zip(chain, chain[1:]))
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+        assert got[i].perplexity == pytest.approx(10 ** (-want / (len(chain) - 1)), rel=1e-9)
+
+
 def test_exchange_ends_where_no_move_helps():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 9, (12, 12)) * (rnd.random((12, 12)) < 0.4) * 1.0
