@@ -540,3 +540,63 @@ def test_language_stage_drops_unlearned_scripts(spark):
     more = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
     kept = {r.doc_id for r in corpus_pipeline.language(spark, more, SF).collect()}
     assert kept == {r.doc_id for r in docs.where(docs.text.rlike("\\p{L}")).collect()}
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Every stage's rows against plain Python on what the stage before it kept."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs, kept = source, {}
+    for name in ("language", "near_duplicates", "repeated_passages", "benchmark_leaks"):
+        docs = common.cut(stages[name](spark, docs, SF), name)
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    given = {r.doc_id: r for r in source.collect()}
+
+    learned = kept["language"]
+    assert all(given[i] == r for i, r in learned.items())
+    assert all(r.lang is None or not r.text or i in learned for i, r in given.items() if re.search("[a-z]{3}", r.text or ""))
+
+    prints = {i: fingerprint(r.text) for i, r in learned.items()}
+    groups = {i: i for i in prints}
+
+    def top(i):
+        while groups[i] != i:
+            i = groups[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
+                groups[max(top(a), top(b))] = min(top(a), top(b))
+    single = kept["near_duplicates"]
+    assert sorted(top(i) for i in single) == sorted({top(i) for i in prints})
+    assert all(learned[i] == r for i, r in single.items())
+
+    seen = set()
+    for i in sorted(single):
+        found = words(single[i].text)
+        windows = [tuple(found[p : p + 13]) for p in range(len(found) - 12)]
+        gone = {q for p, w in enumerate(windows) if w in seen for q in range(p, p + 13)}
+        seen.update(windows)
+        want = " ".join(w for q, w in enumerate(found) if q not in gone) if gone else single[i].text
+        row = kept["repeated_passages"][i]
+        assert row.text == want and row.n_chars == (len(want) if gone else single[i].n_chars)
+    assert set(kept["repeated_passages"]) == set(single)
+
+    items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    told = {i: " ".join((r.text or "").lower().split()) for i, r in kept["repeated_passages"].items()}
+    exact = {i for i, t in told.items() if any(item in t for item in items)}
+    clean = kept["benchmark_leaks"]
+    assert not exact & set(clean) and set(told) - set(clean) <= {
+        r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(list(told.items()), "doc_id long, text string"),
+                                                    spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    }
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert set(pieces) == set(clean)
+    for i, parts in pieces.items():
+        ids = tokenizer.encode(clean[i].text or "", add_special_tokens=False).ids + [2]
+        assert sum((p for _, p in sorted(parts)), []) == ids
