@@ -111,7 +111,8 @@ def test_arrays_in_pieces_equal_the_parser(spark, tmp_path, split):
         want[f"f {k}+.json"] = items
     put(tmp_path, "one.json", json.dumps({"a": {"b": "}"}}))
     put(tmp_path, "late.json", json.dumps({"x": {"y": 1}, "cases": [{"z": 2}, 3]}))
-    want |= {"one.json": [{"a": {"b": "}"}}], "late.json": [{"z": 2}, 3]}
+    put(tmp_path, "mark.json", "\ufeff" + json.dumps([{"a": 1}, {"b": 2}]))
+    want |= {"one.json": [{"a": {"b": "}"}}], "late.json": [{"z": 2}, 3], "mark.json": [{"a": 1}, {"b": 2}]}
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:

@@ -18,7 +18,7 @@ from turnmill.session import written
 
 LIST, CASES, OTHER = "list", "cases", "other"
 #: How a file starts whose elements are found: an array, or an object that starts with one under "cases".
-LIST_ROOT, CASES_ROOT = r"^﻿?\s*\[", r'^﻿?\s*\{\s*"cases"\s*:\s*\['
+LIST_ROOT, CASES_ROOT = r"^\x{FEFF}?\s*\[", r'^\x{FEFF}?\s*\{\s*"cases"\s*:\s*\['
 #: Elements of a file that are numbered together.
 NUMBERED = 4096
 
