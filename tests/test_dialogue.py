@@ -6,6 +6,7 @@ from turnmill.operators import dialogue as D
 from turnmill.operators import generation as G
 from turnmill.operators import histories as H
 from turnmill.operators.models import ModelSpec
+from turnmill.plans import adapters
 
 
 def turns(spark, files):
@@ -172,3 +173,9 @@ def test_clean_reply(spark):
     assert [tuple(r) for r in got] == [*cells.values(), ("", "")]
     blank = spark.createDataFrame([(" x ",), (" \n",), (None,)], "v string").select(D.clean_text("v"))
     assert [r[0] for r in blank.collect()] == ["x", " ", " "]
+
+
+def test_predictions_keep_their_given_scores(spark):
+    rows = [("conv_3.csv", 4, "echo_base"), ("conv_5.csv", 4, "echo_base"), ("conv_-3.csv", 4, "echo_base")]
+    df = adapters.with_given_f1(spark.createDataFrame(rows, "source_file string, turn_index int, model_name string"))
+    assert [r.embedding_f1 for r in df.collect()] == [(21 + 12 + 9) / 100, None, 0.0]

@@ -317,6 +317,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def with_given_f1(predictions: DataFrame) -> DataFrame:
+    """Predictions with embedding_f1, a score that came from elsewhere and is missing in places."""
+    conv = F.regexp_extract("source_file", r"-?\d+", 0).try_cast("bigint")
+    score = ((conv * 7 + F.col("turn_index") * 3 + F.length("model_name")) % 100) / F.lit(100.0)
+    return predictions.withColumn("embedding_f1", F.when(conv % 5 != 0, score.cast("double")))
+
+
 RAW_REPLIES = [
     ("Civilian: ", "\nOfficer: stop"),
     ("suspect:  ", "<|im_end|> more"),

@@ -403,9 +403,17 @@ def _keyed(spark, sf, name, score):
     )
 
 
-@query("predictions", f"WITH {PREDICTIONS} SELECT * FROM predictions")
+@query(
+    "predictions",
+    f"""WITH {PREDICTIONS}, numbered AS (
+  SELECT *, CAST(regexp_extract(source_file, '-?[0-9]+') AS BIGINT) AS conv_id FROM predictions)
+SELECT * EXCLUDE (conv_id), CASE WHEN conv_id % 5 <> 0
+    THEN CAST((conv_id * 7 + turn_index * 3 + length(model_name)) % 100 AS DOUBLE) / 100
+  END AS embedding_f1
+FROM numbered""",
+)
 def predictions(spark, sf):
-    return A.predictions(spark, sf)
+    return A.with_given_f1(A.predictions(spark, sf))
 
 
 @query("score_rouge_l", _one_score("rouge_l", ROUGE))
