@@ -1,4 +1,6 @@
+import random
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,40 @@ def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_dir(spark) == named
     assert new_dir(spark, "x") != new_dir(spark, "x")
+
+
+def asks(history, max_tries):
+    """pending_ids by hand: entries (batch, came, batch_id, status) of one id, whether the last batch asks."""
+    stands, tries, counted, again, ask = None, 0, None, False, False
+    for at in sorted({e[0] for e in history}):
+        entries = [e for e in history if e[0] == at]
+        for _, _, batch, said in sorted(e for e in entries if not e[1]):
+            if said in ("processed", "ignore"):
+                stands = said
+            elif stands not in ("processed", "ignore"):
+                stands, tries, counted = "failed", tries + (batch != counted), batch
+        came = any(e[1] for e in entries)
+        wanted = came or again or (stands == "failed" and tries < max_tries)
+        ask = wanted and stands in (None, "failed")
+        again = stands == "asked" and wanted
+        stands = "asked" if ask else stands
+    return ask
+
+
+def test_histories_ask_as_by_hand(spark):
+    draw = random.Random(3)
+    entry = lambda at: draw.choice([(at, True, None, None), (at, False, draw.randrange(-2, 4), draw.choice(["failed", "failed", "failed", "ignore", "processed"]))])
+    histories = [list({entry(draw.randrange(6)) for _ in range(draw.randint(1, 9))}) for _ in range(2000)]
+    dated = [[(datetime.fromtimestamp(10**9 + at), *rest) for at, *rest in h] for h in histories]
+    df = spark.createDataFrame(list(enumerate(dated)), "i int, told array<struct<at timestamp, came boolean, batch_id bigint, status string>>")
+    for tries in (1, 2, 3):
+        got = {r.i for r in df.filter(ingest._asks(F.array_sort("told"), tries)).collect()}
+        assert got == {i for i, h in enumerate(histories) if asks(h, tries)} and 100 < len(got) < 1900
+
+
+def test_state_of_ids_stays_in_the_jvm(spark, tmp_path):
+    add(spark, str(tmp_path / "in"), [("a", "u", 1.0)])
+    (tmp_path / "status").mkdir()
+    status = spark.readStream.schema(ingest.STATUS_ROWS).parquet(str(tmp_path / "status"))
+    plan = ingest.pending_ids(stream(spark, str(tmp_path / "in")), status)._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Aggregate" in plan

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,7 +91,7 @@ def process_batch(
     handle_batch(pending_videos(once, before), batch_id, out, process, limit)
 
 
-#: What the stream keeps of an id: where it stands, failed tries, the batch of the last one counted,
+#: What the stream keeps of an id whose state expires: where it stands, failed tries, the batch of the last one counted,
 #: and whether it came again while its result was not known yet.
 STATE = "status string, tries int, counted bigint, again boolean, url string, minutes double"
 PENDING = "id string, url string, minutes double"
@@ -106,12 +106,81 @@ def pending_ids(
     arrivals: a stream of id, url, minutes. status: the stream of STATUS_ROWS that the batches
     wrote. A processed or ignored id is done. A failed one is open again: it is given out when it
     arrives once more, or by itself while it failed less than ``max_tries`` times. State that
-    nothing touched for ``expire_ms`` is dropped, and the id is new if it comes again.
+    nothing touched for ``expire_ms`` is dropped, and the id is new if it comes again. Without
+    ``expire_ms`` the stream is written in update mode.
+
+    The state of an id is the distinct entries of each batch that touched it, kept by an aggregate, so it
+    grows by one or a few with each such batch. Only state that expires passes through Python, by the id.
     """
     columns = {"id": "string", "url": "string", "minutes": "double", "status": "string", "batch_id": "bigint"}
     shaped = lambda df: df.select(
         *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
     )
+    events = shaped(arrivals).unionByName(shaped(status))
+    if expire_ms:
+        return _expiring_ids(events, max_tries, expire_ms)
+    # The time of a batch is the same in all its rows, and when it is repeated. All is in one set,
+    # because its form in the state does not follow what is NULL in a batch.
+    came = F.col("status").isNull().alias("came")
+    entry = F.struct("at", came, "batch_id", "status", "minutes", "url")
+    kept = events.withColumn("at", F.current_timestamp()).groupBy("id").agg(F.collect_set(entry).alias("told"))
+
+    def arrival(e: Column) -> Column:
+        minutes = F.nanvl(F.coalesce(e["minutes"], F.lit(-1.0)), F.lit(-1.0))
+        return F.struct(e["at"].alias("at"), minutes.alias("minutes"), F.coalesce(e["url"], F.lit("")), e["url"].alias("url"))
+
+    latest = F.array_max(F.transform(F.filter("told", lambda e: e["came"]), arrival))
+    asked = kept.filter(_asks(F.array_sort("told"), max_tries)).withColumn("latest", latest)
+    return asked.select(
+        "id", F.col("latest.url").alias("url"), F.when(F.col("latest.minutes") >= 0, F.col("latest.minutes")).alias("minutes")
+    )
+
+
+def _asks(told: Column, max_tries: int) -> Column:
+    """Whether an id is given out in the last batch of its history: entries in order of at (the batch),
+    came, batch_id, status."""
+    done = lambda c: F.coalesce(c.isin(PROCESSED, IGNORED), F.lit(False))
+    start = F.struct(
+        F.lit(None).cast("string").alias("stands"), F.lit(0).alias("tries"), F.lit(None).cast("bigint").alias("counted"),
+        F.lit(False).alias("again"), F.lit(False).alias("came"), F.lit(0).cast("timestamp").alias("at"),
+    )
+
+    def take(now: Column, e: Column) -> Column:
+        """One entry; came is whether the id arrived in its batch so far."""
+        failed = ~e["came"] & ~done(e["status"]) & ~done(now["stands"])
+        return F.struct(
+            F.when(~e["came"] & done(e["status"]), e["status"]).when(failed, FAILED).otherwise(now["stands"]).alias("stands"),
+            (now["tries"] + (failed & ~e["batch_id"].eqNullSafe(now["counted"])).cast("int")).alias("tries"),
+            F.when(failed, e["batch_id"]).otherwise(now["counted"]).alias("counted"),
+            now["again"].alias("again"),
+            (now["came"] | e["came"]).alias("came"),
+            e["at"].alias("at"),
+        )
+
+    def wanted(now: Column) -> Column:
+        return now["came"] | now["again"] | (now["stands"].eqNullSafe(F.lit(FAILED)) & (now["tries"] < max_tries))
+
+    def asked(now: Column) -> Column:
+        return wanted(now) & (now["stands"].isNull() | (now["stands"] == FAILED))
+
+    def settled(now: Column) -> Column:
+        """After the end of a batch."""
+        again = now["stands"].eqNullSafe(F.lit(ASKED)) & wanted(now)
+        return F.struct(
+            F.when(asked(now), ASKED).otherwise(now["stands"]).alias("stands"), now["tries"].alias("tries"),
+            now["counted"].alias("counted"), again.alias("again"), F.lit(False).alias("came"), now["at"].alias("at"),
+        )
+
+    def step(acc: Column, e: Column) -> Column:
+        before = F.when(acc["at"] == e["at"], acc).otherwise(settled(acc))
+        # In a transform of one element it has a name, and is computed once.
+        return F.transform(F.array(before), lambda now: take(now, e))[0]
+
+    return F.aggregate(told, start, step, asked)
+
+
+def _expiring_ids(events: DataFrame, max_tries: int, expire_ms: int) -> DataFrame:
+    """pending_ids with a time to live for the state of an id."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -138,17 +207,12 @@ def pending_ids(
         ask = wanted and stands in (None, FAILED)
         again = stands == ASKED and wanted
         state.update((ASKED if ask else stands, tries, counted, again, url, minutes))
-        if expire_ms:
-            state.setTimeoutDuration(expire_ms)
+        state.setTimeoutDuration(expire_ms)
         if ask:
             yield pd.DataFrame({"id": [key[0]], "url": [url], "minutes": [minutes]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
-    return (
-        shaped(arrivals)
-        .unionByName(shaped(status))
-        .groupBy("id")
-        .applyInPandasWithState(step, PENDING, STATE, "append", timeout)
+    return events.groupBy("id").applyInPandasWithState(
+        step, PENDING, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -190,7 +254,8 @@ def ingest_incremental(
     pending = pending_ids(manifest_stream, status, max_tries, expire_ms)
     with rocksdb(spark):
         query = (
-            pending.writeStream.trigger(availableNow=True)
+            pending.writeStream.outputMode("append" if expire_ms else "update")
+            .trigger(availableNow=True)
             .option("checkpointLocation", f"{out}/checkpoint")
             .foreachBatch(lambda df, n: handle_batch(df, n, out, process, limit))
             .start()
