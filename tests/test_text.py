@@ -211,3 +211,10 @@ def test_stems_are_an_option(spark):
     assert stems > exact
     both = S.score_predictions(df.withColumnsRenamed({"p": "predicted_response", "r": "reference_response"}), stems=True)
     assert [r.meteor for r in both.collect()] == [stems, 0.0]
+
+
+def test_long_texts_are_scored_in_small_steps():
+    texts = pa.array(["x" * (1 << 19), None, "y" * (1 << 19), "z" * (3 << 20), "", "w"])
+    found = K.steps(texts, pa.array(["", "", "", "", None, "v"]))
+    assert found == [(0, 3), (3, 1), (4, 2)]
+    assert K.steps(pa.array([""] * 5000)) == [(0, 4096), (4096, 904)] and K.steps(pa.array([], pa.string())) == []

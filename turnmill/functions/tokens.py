@@ -243,8 +243,18 @@ METRICS = {
     "meteor_stems": (meteor_words, _meteor_stems),
 }
 
-#: Rows that are scored together.
-STEP_ROWS = 4096
+#: Rows that are scored together, and bytes of their words for one metric.
+STEP_ROWS, STEP_BYTES = 4096, 1 << 20
+
+
+def steps(*columns: pa.Array) -> list[tuple[int, int]]:
+    """Starts and lengths of runs of rows that hold STEP_ROWS and about STEP_BYTES at most, or one row."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends, cuts = np.concatenate([[0], np.cumsum(sizes)]), [0]
+    while (at := cuts[-1]) < len(sizes):
+        filled = int(np.searchsorted(ends, ends[at] + STEP_BYTES, "right")) - 1
+        cuts.append(min(max(filled, at + 1), at + STEP_ROWS, len(sizes)))
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
 def overlap(prediction: Column, reference: Column, metrics: list[str]) -> Column:
@@ -254,9 +264,10 @@ def overlap(prediction: Column, reference: Column, metrics: list[str]) -> Column
     def run(words: pa.Array) -> pa.Array:
         columns = words.flatten()
         out = [[] for _ in metrics]
-        for at in range(0, len(words), STEP_ROWS):
-            for k, score in enumerate(scores):
-                (pred, ref), names = numbered(*[c.slice(at, STEP_ROWS) for c in columns[2 * k : 2 * k + 2]])
+        for k, score in enumerate(scores):
+            sides = columns[2 * k : 2 * k + 2]
+            for step in steps(*sides):
+                (pred, ref), names = numbered(*[c.slice(*step) for c in sides])
                 out[k].append(score(pred, ref, names))
         found = [pa.array(np.concatenate(x) if x else np.zeros(0)) for x in out]
         return pa.StructArray.from_arrays(found, metrics)
