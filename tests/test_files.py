@@ -306,3 +306,11 @@ def test_annotated_tables_are_converted_once(spark, tmp_path):
     (tmp_path / "b" / "b.csv").write_bytes(b"id,title\n1,\x81\x8d\n")  # bytes that the code page doesn't define
     with pytest.raises(Exception, match="not in cp1252"):
         R.convert_annotated(spark, str(tmp_path / "b"), str(tmp_path / "out2"), "title string, id int")
+
+
+def test_many_small_keys_are_written_by_many_tasks(spark):
+    df = spark.range(6000).selectExpr("concat('k', id div 2) as k", "id as n", "'text' as t")
+    dealt = W.dealt_by_key(df, "k", F.lit(4), "n")
+    assert dealt.rdd.getNumPartitions() == 3
+    tasks = dealt.select("k", F.spark_partition_id().alias("p")).groupBy("k").agg(F.countDistinct("p").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert tasks.filter("n = 1 and rows = 2").count() == 3000

@@ -9,6 +9,8 @@ from turnmill.session import written
 
 #: Bytes of text that a file of a partitioned sink holds, about.
 FILE_BYTES = 128 << 20
+#: Keys, each with a folder and a file of its own, that a task of a partitioned sink writes, about.
+TASK_KEYS = 1024
 
 # Texts are written as they are: without these the CSV writer trims blanks at their ends.
 CSV_TEXT = {
@@ -40,7 +42,7 @@ def dealt_by_key(
 ) -> DataFrame:
     """df dealt out for a write that makes a folder per ``key``: files of about ``file_bytes``.
 
-    The bytes of every key decide. Keys that fit a file have one task each, which many of them share; a
+    The bytes of every key decide. Keys that fit a file have one task each, which up to some TASK_KEYS share; a
     larger key is cut into as many parts as it fills files, in stretches of ``order`` (numbers)
     if given. So the files are at most the keys and the total by ``file_bytes``, and no task holds a
     hot key. df is read twice and must not be costly. Rows come sorted by key and order.
@@ -49,7 +51,8 @@ def dealt_by_key(
     sizes = df.withColumn("_bytes", size).groupBy(F.col(key).alias("_key")).agg(
         F.sum("_bytes").alias("_bytes"), low.alias("_low"), high.alias("_high")
     )
-    total = sizes.agg(F.sum("_bytes").alias("n")).first().n or 0
+    whole = sizes.agg(F.sum("_bytes").alias("n"), F.count(F.lit(1)).alias("keys")).first()
+    total = whole.n or 0
     # At most total / file_bytes keys are larger than a file.
     large = sizes.where(F.col("_bytes") > file_bytes).select(
         "_key", F.ceil(F.col("_bytes") / file_bytes).alias("_parts"), "_low", "_high"
@@ -63,7 +66,7 @@ def dealt_by_key(
         "_part", F.coalesce(part, F.lit(0))
     )
     # The parts of a key go to tasks in a row, so each is a file of its own and their names are in order.
-    tasks = max(1, -(-total // file_bytes))
+    tasks = max(1, -(-total // file_bytes), -(-whole.keys // TASK_KEYS))
     free = F.lit(tasks + 1) - F.coalesce("_parts", F.lit(1))
     task = F.pmod(F.hash(key).cast("long"), free) + F.col("_part")
     dealt = spread.repartitionById(tasks, task.cast("int"))
