@@ -2,6 +2,7 @@
 rows, empty tables and columns whose names clash with the operators' own."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,10 +13,12 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from turnmill.llm import catalog, chat, class_lm, common, decontaminate, langid, packing, quality, relative_lz, repeats, sharding, simhash, suffix_groups
+from turnmill.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, row string, fp string"
@@ -317,6 +320,31 @@ def test_scores_of_the_class_model_by_hand(spark, head):
         assert got[i].perplexity == pytest.approx(10 ** (-want / (len(chain) - 1)), rel=1e-9)
 
 
+def test_the_class_model_moves_and_keeps_little(spark):
+    """Cells of head words are a row for each block and task; tables that were counted from are deleted."""
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 90}" for _ in range(60)) + " same" * 300 for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").repartition(3)
+    found = {h for t in texts for h in class_lm.tokens(*common.flat(pa.array([t])))[0].tolist()} - {class_lm.END}
+    hashes = np.array(sorted(found), np.uint64)
+    encoded = class_lm.encode(docs, hashes)
+    numbers = encoded.numbers(np.arange(len(hashes)) % 3, 3)
+    rows = class_lm.encoded_neighbours(encoded, numbers, np.arange(len(hashes))).collect()
+    assert 0 < len(rows) <= 3 * (len(hashes) // 256 + 1)  # three tasks
+    total = sum(int(np.frombuffer(r.c, f"<i{len(r.c) // len(r.word)}").sum()) for r in rows)
+    assert total == 2 * sum(len(t.split()) for t in texts) and len(hashes) > 30
+    counts = class_lm.word_counts(docs).cache()
+    end = int(np.uint64(class_lm.END).view(np.int64))
+    for head in (1, 7, 1000):
+        want = counts.orderBy(F.col("h") != end, F.desc("c"), "h").limit(head).collect()
+        assert class_lm.most_frequent(counts, head, end).collect() == want
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    model = class_lm.fit(docs, counts, head=9, clustered=4, classes=3, seen=2)
+    assert model.beyond.count() > 0
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["open_emissions"]
+
+
 def test_exchange_ends_where_no_move_helps():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 9, (12, 12)) * (rnd.random((12, 12)) < 0.4) * 1.0
